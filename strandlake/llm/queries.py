@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, packing, substring_dedup
+from . import near_dedup, packing, secrets, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file(), keep_ids=False)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.span_report(secrets.secret_spans(_table(spark, sf_dir, "documents")))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.remove_repeated_windows(_table(spark, sf_dir, "documents")))
 
@@ -37,6 +41,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op7_secret_scan": op7_secret_scan,
         "op8_substring_dedup": op8_substring_dedup,
     }
 

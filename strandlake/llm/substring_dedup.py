@@ -225,7 +225,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
         found.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.first("doc_id").alias("doc_id")).where("n = 1")
         .groupBy(F.col("doc_id").alias("own")).agg(F.collect_list("h1").alias("h1"), F.collect_list("h2").alias("h2"))
     )
-    joined = source.join(once, F.col("doc_id").eqNullSafe(F.col("own")), "left").select("doc_id", "text", "h1", "h2")
+    joined = source.join(once.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("own")), "left").select("doc_id", "text", "h1", "h2")
     return joined.mapInArrow(_removed(window, sketch), "doc_id long, n_words long, n_removed long, kept binary")
 
 
