@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, packing, secrets, substring_dedup
+from . import near_dedup, packing, secrets, substring_dedup, transport_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file(), keep_ids=False)
 
 
+def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = transport_stream.media_features(transport_stream.media_column(_table(spark, sf_dir, "documents")))
+    return features.drop("pts", "random_access")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_report(secrets.secret_spans(_table(spark, sf_dir, "documents")))
 
@@ -41,6 +46,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op5_transport_stream": op5_transport_stream,
         "op7_secret_scan": op7_secret_scan,
         "op8_substring_dedup": op8_substring_dedup,
     }
