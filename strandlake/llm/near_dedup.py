@@ -3,7 +3,8 @@
 Every permutation of the hashed shingles gives two signature values, the least and the greatest, so 80
 permutations give the 160 values of 32 bands of 5. Documents with equal shingle sets are one class before
 banding; only one representative a class goes on. Bucket members are linked to a hub first, links are confirmed
-on whole sets, and buckets that still hold several components go on to further pairs until none is untested.
+on whole sets, and buckets that still hold several components go on to further pairs until each pair is linked,
+joined by other links, or shown too different by a bound.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .common import U64, Words, column, connected_components, mix, staged, text_
 
 BANDS, ROWS = 32, 5
 #: Members of a bucket that are compared with the whole bucket in one round.
-HUBS = 64
+HUBS = 2048
 
 _MULTIPLIERS = mix(np.arange(BANDS * ROWS // 2, dtype=U64), 101) | U64(1)
 _BAND = mix(np.arange(ROWS, dtype=U64), 202) | U64(1)
@@ -87,8 +88,11 @@ def _signatures(words: int):
     return run
 
 
-def _verify(words: int, percent: int):
-    """Keeps the pairs (a, b) whose whole sets are similar enough; rows come ordered by b, so b's set is kept."""
+def _intersections(words: int, percent: int):
+    """(a, b, same, linked): how many shingles whole texts share, and whether that links them.
+
+    Rows come ordered by b, so b's set is kept from one to the next.
+    """
 
     def sets_of(texts: list[str]) -> list[np.ndarray]:
         found: list[np.ndarray] = []
@@ -102,7 +106,7 @@ def _verify(words: int, percent: int):
         for batch in batches:
             a, b = column(batch, "a").to_pylist(), column(batch, "b").to_pylist()
             left, right = sets_of(column(batch, "text_a").to_pylist()), column(batch, "text_b")
-            good = []
+            found, linked = [], []
             for k in range(len(a)):
                 text = right[k].as_py()
                 if kept is None or kept[0] != b[k] or kept[1] != text:
@@ -110,19 +114,30 @@ def _verify(words: int, percent: int):
                 x, y = left[k], kept[2]
                 if len(x) > len(y):
                     x, y = y, x
-                if not len(x):
-                    continue
                 spot = np.searchsorted(y, x)
-                same = int((y[np.minimum(spot, len(y) - 1)] == x).sum())
-                if 100 * same >= percent * (len(x) + len(y) - same):
-                    good.append(k)
+                same = int((y[np.minimum(spot, len(y) - 1)] == x).sum()) if len(x) else 0
+                found.append(same)
+                linked.append(len(x) > 0 and 100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([a[k] for k in good], pa.int64()), pa.array([b[k] for k in good], pa.int64())], names=["a", "b"]
+                [column(batch, "a"), column(batch, "b"), pa.array(found, pa.int64()), pa.array(linked, pa.bool_())],
+                names=["a", "b", "same", "linked"],
             )
 
     return run
 
 
+def _shingles(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = column(batch, "doc_id")
+            for i, _, data, offsets in text_steps(column(batch, "text")):
+                sets, begin = shingle_sets(data, offsets, words)
+                owner = np.repeat(np.arange(len(offsets) - 1) + i, np.diff(begin))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(sets.view(np.int64))], names=["rep", "shingle"])
+
+    return run
+
+
 def near_duplicate_classes(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs (doc_id long, text string).
 
@@ -148,52 +163,67 @@ def near_duplicate_classes(docs: DataFrame, words: int = 4, percent: int = 80) -
     pooled = members.join(pooled.select("doc_id", "b"), "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")
 
     rows = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("size"))
-    buckets = staged(
-        rows.join(shared.where("hub < last").drop("last"), ["band", "key"]).select(
-            "band", "key", "rep", "n", "hub", "size",
-            F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / HUBS)).alias("slot"),
-        ),
-        "buckets",
-    )
+    shared = rows.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = staged(rows.join(shared, ["band", "key"]), "shared")
+    # the hub of a bucket is its member with the most company over all bands: the middle of its group
+    company = shared.groupBy("rep").agg(F.sum("size").alias("company"))
+    hubs = shared.join(company, "rep").groupBy("band", "key").agg(F.max(F.struct("company", -F.col("rep"))).alias("hub"))
+    hubs = hubs.select("band", "key", (-F.col("hub.col2")).alias("hub"))
+    slot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / HUBS)).alias("slot")
+    buckets = staged(shared.join(hubs, ["band", "key"]).select("band", "key", "rep", "n", "hub", slot), "buckets")
     texts = staged(source.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidates")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-            texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
-        )
-        return full.mapInArrow(_verify(words, percent), "a long, b long")
-
-    near = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
-    sizes = buckets.where("rep = hub").select("band", "key", F.col("n").alias("hub_n"))
-    first = buckets.join(sizes, ["band", "key"]).where("rep <> hub").where(near("n", "hub_n"))
-    links = staged(confirmed(first.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).union(pooled), "links")
-    labels = connected_components(links)
-    rounds = buckets.agg(F.max("slot")).first()[0]
-    for t in range(0 if rounds is None else rounds + 1):
-        # buckets whose members are not yet one component, and whose hubs have not all been compared
-        known = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")
-        )
-        split = staged(
-            known.groupBy("band", "key").agg(
-                F.min("component").alias("low"), F.max("component").alias("high"), F.max("slot").alias("slots"), F.count("*").alias("members")
-            ).where(f"low < high and slots >= {t} and members > 2").select("band", "key"), "split",
+    def compared(pairs: DataFrame) -> DataFrame:
+        """(a, b, same, linked) for distinct pairs (a, b); of texts that share a doc_id, the most similar count."""
+        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+        both = pairs.distinct().join(left, "a").join(right, "b")
+        each = both.mapInArrow(_intersections(words, percent), "a long, b long, same long, linked boolean")
+        return each.groupBy("a", "b").agg(F.max("same").alias("same"), F.max("linked").alias("linked"))
+
+    scores = staged(compared(buckets.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))), "scores")
+    labels = connected_components(scores.where("linked").select("a", "b").union(pooled))
+    # Buckets that still hold several components go on: pairs of these are compared unless they can't be similar.
+    # What two texts share lies in the hub's set, or outside of it among shingles that another open text has too.
+    scored = buckets.join(scores.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "same"), ["rep", "hub"], "left")
+    scored = scored.withColumn("same", F.coalesce("same", "n")).drop("linked")
+    named = lambda: scored.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")
+    )
+    split = named().groupBy("band", "key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.max("slot").alias("slots")
+    ).where("low < high and members > 2")
+    open_ = staged(scored.join(split.select("band", "key"), ["band", "key"]), "open")
+    last = open_.agg(F.max("slot")).first()[0]
+    if last is not None:
+        open_texts = texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        alone = (
+            open_texts.mapInArrow(_shingles(words), "rep long, shingle long").groupBy("shingle")
+            .agg(F.count("*").alias("texts"), F.first("rep").alias("rep")).where("texts = 1")
+            .groupBy("rep").agg(F.count("*").alias("own"))
+        )
+        scored = staged(
+            open_.join(alone, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+            .withColumn("rest", F.greatest(F.lit(0), F.expr("n - same - own"))), "scored",
         )
-        if split.isEmpty():
-            break
-        open_ = known.drop("hub", "size").join(split, ["band", "key"])
-        hubs = open_.where(f"slot = {t}").select("band", "key", *(F.col(c).alias(f"h_{c}") for c in ("rep", "n", "component")))
-        pairs = open_.join(hubs, ["band", "key"]).where("component <> h_component").where(near("n", "h_n"))
-        pairs = pairs.where(f"slot > {t} or slot = {t} and rep > h_rep").select(F.col("rep").alias("a"), F.col("h_rep").alias("b"))
-        more = staged(confirmed(pairs), "links")
-        if not more.isEmpty():
-            labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(
+        for t in range(last + 1):
+            each = named()
+            mine = each.where(f"slot = {t} and rep <> hub").select(
+                "band", "key", *(F.col(c).alias(f"h_{c}") for c in ("rep", "n", "same", "rest", "component"))
+            )
+            most = "(least(same, h_same) + least(rest, h_rest))"
+            pairs = each.where("rep <> hub").join(mine, ["band", "key"]).where("component <> h_component")
+            pairs = pairs.where(f"100 * {most} >= {percent} * (n + h_n - {most})")
+            pairs = pairs.where(f"slot > {t} or slot = {t} and rep > h_rep").select(
+                F.greatest("rep", "h_rep").alias("a"), F.least("rep", "h_rep").alias("b")
+            )
+            found = staged(compared(pairs).where("linked").select("a", "b"), "links")
+            if not found.isEmpty():
+                labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+    result = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("component", "rep")).alias("component_id")
     )
-    out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
+    out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(result, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"),
