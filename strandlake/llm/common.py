@@ -93,7 +93,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse
     if len(_powers) < n:
         size = max(n, STEP_BYTES + 1)
@@ -132,7 +132,7 @@ class Words:
         self.start = np.flatnonzero(inside & (before | edge[:n]))
         self.end = np.flatnonzero(inside & (after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, offsets)
-        powers, inverse = _power_tables(n + 1)
+        powers, inverse = power_tables(n + 1)
         sums = np.zeros(n + 1, U64)
         np.cumsum((_FOLDED if fold else _VALUES)[data] * powers[:n], out=sums[1:])
         self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start])
@@ -142,7 +142,7 @@ class Words:
         total = len(self.hash)
         if total < k:
             return np.zeros(0, U64), np.zeros(0, bool)
-        powers, inverse = _power_tables(total + 1)
+        powers, inverse = power_tables(total + 1)
         sums = np.zeros(total + 1, U64)
         np.cumsum(self.hash * powers[:total], out=sums[1:])
         at = np.arange(total - k + 1)
