@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup, packing, secrets, substring_dedup, transport_stream
+from . import language_id, near_dedup, packing, secrets, substring_dedup, toxicity, transport_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file(), keep_ids=False)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(docs, model).select(
+        "doc_id", (toxicity.remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = transport_stream.media_features(transport_stream.media_column(_table(spark, sf_dir, "documents")))
     return features.drop("pts", "random_access")
@@ -42,12 +51,22 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.remove_repeated_windows(_table(spark, sf_dir, "documents")))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = language_id.remainder(4) == 2
+    model = language_id.train(docs.where(~held_out))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op4_toxicity": op4_toxicity,
         "op5_transport_stream": op5_transport_stream,
         "op7_secret_scan": op7_secret_scan,
+        "op9_language_id": op9_language_id,
         "op8_substring_dedup": op8_substring_dedup,
     }
 
