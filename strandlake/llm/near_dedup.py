@@ -22,6 +22,9 @@ BANDS, ROWS = 32, 5
 #: Members of a bucket that are compared with the whole bucket in one round.
 HUBS = 2048
 
+#: Rows of the broadcast table of hashed ids (12 bytes each).
+WORDS = 1 << 18
+
 _MULTIPLIERS = mix(np.arange(BANDS * ROWS // 2, dtype=U64), 101) | U64(1)
 _BAND = mix(np.arange(ROWS, dtype=U64), 202) | U64(1)
 
@@ -138,6 +141,19 @@ def _shingles(words: int):
     return run
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in ids, which repeats none.
+
+    A table of hashed bits of ids, at most WORDS rows of 64 bits and so broadcast, holds back most other rows
+    before texts are shuffled.
+    """
+    words = F.pmod(F.xxhash64("doc_id"), F.lit(WORDS)).cast("int").alias("word")
+    bit = F.pmod(F.shiftright(F.xxhash64("doc_id"), 40), F.lit(64)).cast("int")
+    bits = ids.groupBy(words).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    near = docs.withColumn("word", words).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1)
+    return near.select(*docs.columns).join(ids, "doc_id", "left_semi")
+
+
 def near_duplicate_classes(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs (doc_id long, text string).
 
@@ -162,16 +178,17 @@ def near_duplicate_classes(docs: DataFrame, words: int = 4, percent: int = 80) -
     pooled = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("m")).where("b < m")
     pooled = members.join(pooled.select("doc_id", "b"), "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")
 
-    rows = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = staged(rows.join(shared, ["band", "key"]), "shared")
+    # band keys are salted by their band, so a key alone names a bucket
+    rows = classes.select("rep", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = staged(rows.join(shared, "key"), "shared")
     # the hub of a bucket is its member with the most company over all bands: the middle of its group
     company = shared.groupBy("rep").agg(F.sum("size").alias("company"))
-    hubs = shared.join(company, "rep").groupBy("band", "key").agg(F.max(F.struct("company", -F.col("rep"))).alias("hub"))
-    hubs = hubs.select("band", "key", (-F.col("hub.col2")).alias("hub"))
+    hubs = shared.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", -F.col("rep"))).alias("hub"))
+    hubs = hubs.select("key", (-F.col("hub.col2")).alias("hub"))
     slot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / HUBS)).alias("slot")
-    buckets = staged(shared.join(hubs, ["band", "key"]).select("band", "key", "rep", "n", "hub", slot), "buckets")
-    texts = staged(source.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidates")
+    buckets = staged(shared.join(hubs, "key").select("key", "rep", "hub", slot), "buckets")
+    texts = staged(_among(source, buckets.select(F.col("rep").alias("doc_id")).distinct()), "candidates")
 
     def compared(pairs: DataFrame) -> DataFrame:
         """(a, b, same, linked) for distinct pairs (a, b); of texts that share a doc_id, the most similar count."""
@@ -185,38 +202,41 @@ def near_duplicate_classes(docs: DataFrame, words: int = 4, percent: int = 80) -
     labels = connected_components(scores.where("linked").select("a", "b").union(pooled))
     # Buckets that still hold several components go on: pairs of these are compared unless they can't be similar.
     # What two texts share lies in the hub's set, or outside of it among shingles that another open text has too.
-    scored = buckets.join(scores.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "same"), ["rep", "hub"], "left")
-    scored = scored.withColumn("same", F.coalesce("same", "n")).drop("linked")
+    scored = buckets
     named = lambda: scored.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep")
     )
-    split = named().groupBy("band", "key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.max("slot").alias("slots")
+    split = named().groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")
     ).where("low < high and members > 2")
-    open_ = staged(scored.join(split.select("band", "key"), ["band", "key"]), "open")
+    open_ = staged(buckets.join(split.select("key"), "key"), "open")
     last = open_.agg(F.max("slot")).first()[0]
     if last is not None:
-        open_texts = texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        reps = open_.select("rep").distinct()
+        open_texts = texts.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
         alone = (
             open_texts.mapInArrow(_shingles(words), "rep long, shingle long").groupBy("shingle")
             .agg(F.count("*").alias("texts"), F.first("rep").alias("rep")).where("texts = 1")
             .groupBy("rep").agg(F.count("*").alias("own"))
         )
+        facts = classes.join(reps, "rep", "left_semi").join(alone, "rep", "left").select("rep", "n", "bands", F.coalesce("own", F.lit(0)).alias("own"))
+        with_hub = scores.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "same")
         scored = staged(
-            open_.join(alone, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-            .withColumn("rest", F.greatest(F.lit(0), F.expr("n - same - own"))), "scored",
+            open_.join(facts, "rep").join(with_hub, ["rep", "hub"], "left").withColumn("same", F.coalesce("same", "n"))
+            .withColumn("rest", F.greatest(F.lit(0), F.expr("n - same - own"))).drop("own"), "scored",
         )
         for t in range(last + 1):
-            each = named()
-            mine = each.where(f"slot = {t} and rep <> hub").select(
-                "band", "key", *(F.col(c).alias(f"h_{c}") for c in ("rep", "n", "same", "rest", "component"))
-            )
+            each = named().where("rep <> hub")
+            mine = each.where(f"slot = {t}").select("key", *(F.col(c).alias(f"h_{c}") for c in ("rep", "n", "same", "rest", "bands", "component")))
             most = "(least(same, h_same) + least(rest, h_rest))"
-            pairs = each.where("rep <> hub").join(mine, ["band", "key"]).where("component <> h_component")
-            pairs = pairs.where(f"100 * {most} >= {percent} * (n + h_n - {most})")
-            pairs = pairs.where(f"slot > {t} or slot = {t} and rep > h_rep").select(
-                F.greatest("rep", "h_rep").alias("a"), F.least("rep", "h_rep").alias("b")
-            )
+            # a pair comes from the first bucket that it shares
+            pairs = each.join(mine, "key").where(f"""
+                component <> h_component and (slot > {t} or slot = {t} and rep > h_rep)
+                and 100 * {most} >= {percent} * (n + h_n - {most})
+                and not exists(zip_with(slice(bands, 1, cast(array_position(bands, key) as int) - 1),
+                                        slice(h_bands, 1, cast(array_position(bands, key) as int) - 1), (x, y) -> x = y), same_key -> same_key)
+            """)
+            pairs = pairs.select(F.greatest("rep", "h_rep").alias("a"), F.least("rep", "h_rep").alias("b"))
             found = staged(compared(pairs).where("linked").select("a", "b"), "links")
             if not found.isEmpty():
                 labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
