@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +38,23 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of the broadcast table of hashed ids (12 bytes each).
+WORDS = 1 << 18
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in ids, which repeats none.
+
+    A table of hashed bits of ids, at most WORDS rows of 64 bits and so broadcast, holds back most other rows
+    before texts are shuffled.
+    """
+    words = F.pmod(F.xxhash64("doc_id"), F.lit(WORDS)).cast("int").alias("word")
+    bit = F.pmod(F.shiftright(F.xxhash64("doc_id"), 40), F.lit(64)).cast("int")
+    bits = ids.groupBy(words).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    near = docs.withColumn("word", words).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1)
+    return near.select(*docs.columns).join(ids, "doc_id", "left_semi")
+
+
 # ---------------------------------------------------------------- connected components
 
 
@@ -168,6 +184,3 @@ def text_steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
-
-def any_of(conditions: list) -> F.Column:
-    return reduce(lambda a, b: a | b, conditions)

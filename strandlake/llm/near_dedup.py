@@ -16,15 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, column, connected_components, mix, staged, text_steps
+from .common import U64, Words, among, column, connected_components, mix, staged, text_steps
 
 BANDS, ROWS = 32, 5
 #: Members of a bucket that are compared with the whole bucket in one round.
 HUBS = 2048
 
-#: Rows of the broadcast table of hashed ids (12 bytes each).
-WORDS = 1 << 18
-
 _MULTIPLIERS = mix(np.arange(BANDS * ROWS // 2, dtype=U64), 101) | U64(1)
 _BAND = mix(np.arange(ROWS, dtype=U64), 202) | U64(1)
 
@@ -141,19 +138,6 @@ def _shingles(words: int):
     return run
 
 
-def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids, which repeats none.
-
-    A table of hashed bits of ids, at most WORDS rows of 64 bits and so broadcast, holds back most other rows
-    before texts are shuffled.
-    """
-    words = F.pmod(F.xxhash64("doc_id"), F.lit(WORDS)).cast("int").alias("word")
-    bit = F.pmod(F.shiftright(F.xxhash64("doc_id"), 40), F.lit(64)).cast("int")
-    bits = ids.groupBy(words).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-    near = docs.withColumn("word", words).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1)
-    return near.select(*docs.columns).join(ids, "doc_id", "left_semi")
-
-
 def near_duplicate_classes(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs (doc_id long, text string).
 
@@ -188,7 +172,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = 4, percent: int = 80) -
     hubs = hubs.select("key", (-F.col("hub.col2")).alias("hub"))
     slot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / HUBS)).alias("slot")
     buckets = staged(shared.join(hubs, "key").select("key", "rep", "hub", slot), "buckets")
-    texts = staged(_among(source, buckets.select(F.col("rep").alias("doc_id")).distinct()), "candidates")
+    texts = staged(among(source, buckets.select(F.col("rep").alias("doc_id")).distinct()), "candidates")
 
     def compared(pairs: DataFrame) -> DataFrame:
         """(a, b, same, linked) for distinct pairs (a, b); of texts that share a doc_id, the most similar count."""

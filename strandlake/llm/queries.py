@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, packing, secrets, substring_dedup, toxicity, transport_stream
+from . import chat, decontamination, language_id, near_dedup, packing, quality, secrets, substring_dedup, toxicity, transport_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file(), keep_ids=False)
 
 
+def op3_quality_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -43,6 +47,10 @@ def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.drop("pts", "random_access")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_report(secrets.secret_spans(_table(spark, sf_dir, "documents")))
 
@@ -59,17 +67,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_quality_kneser_ney": op3_quality_kneser_ney,
         "op4_toxicity": op4_toxicity,
         "op5_transport_stream": op5_transport_stream,
+        "op6_decontamination": op6_decontamination,
         "op7_secret_scan": op7_secret_scan,
         "op9_language_id": op9_language_id,
+        "op10_perspective_rotation": op10_perspective_rotation,
         "op8_substring_dedup": op8_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_perspective_rotation": chat.SQL}
