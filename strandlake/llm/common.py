@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- durable tables
@@ -42,17 +42,26 @@ def drop_staged(df: DataFrame) -> None:
 WORDS = 1 << 18
 
 
-def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids, which repeats none.
-
-    A table of hashed bits of ids, at most WORDS rows of 64 bits and so broadcast, holds back most other rows
-    before texts are shuffled.
-    """
+def _hashed(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, Column]:
+    """docs with a column of hashed bits of ids, at most WORDS rows of 64 bits and so broadcast; and the test of them."""
     words = F.pmod(F.xxhash64("doc_id"), F.lit(WORDS)).cast("int").alias("word")
     bit = F.pmod(F.shiftright(F.xxhash64("doc_id"), 40), F.lit(64)).cast("int")
-    bits = ids.groupBy(words).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-    near = docs.withColumn("word", words).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1)
-    return near.select(*docs.columns).join(ids, "doc_id", "left_semi")
+    bits = ids.groupBy(words).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("id_bits"))
+    joined = docs.withColumn("id_word", words).join(F.broadcast(bits.withColumnRenamed("word", "id_word")), "id_word", "left")
+    return joined, F.coalesce(F.getbit("id_bits", bit) == 1, F.lit(False))
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in ids, which repeats none. Most others are held back before texts are shuffled."""
+    joined, likely = _hashed(docs, ids)
+    return joined.where(likely).select(*docs.columns).join(ids, "doc_id", "left_semi").select(*docs.columns)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is null or not in ids. Most of these pass without a shuffle of texts."""
+    joined, likely = _hashed(docs, ids)
+    unsure = joined.where(likely).select(*docs.columns).join(ids, "doc_id", "left_anti").select(*docs.columns)
+    return joined.where(~likely).select(*docs.columns).unionByName(unsure)
 
 
 # ---------------------------------------------------------------- connected components

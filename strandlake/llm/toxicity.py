@@ -381,3 +381,17 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS short strings
     return source.mapInArrow(_score(sent), "doc_id long, score double")
+
+
+def score_of(text: Column, model: Model, spark) -> Column:
+    """The score of a text column, for filters that keep all other columns out of Python."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts))
+        for i, j, data, offsets in text_steps(texts):
+            out[i:j] = sent.value.scores(data, offsets)
+        return pa.array(out)
+
+    return scored(text)
