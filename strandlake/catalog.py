@@ -26,3 +26,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+def _load() -> None:
+    from .plans import sequence_queries, variant_queries  # noqa: F401
+
+
+_load()
