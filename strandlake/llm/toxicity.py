@@ -257,9 +257,9 @@ def _mine(toxic: list[str], clean: list[str], limit: int) -> list[bytes]:
 
 
 def _disguised(word: bytes) -> list[bytes]:
-    """Spellings with one inserted character or with a mark between all characters."""
+    """Spellings with a mark between all characters and, of words over LENGTH, with a letter put into the middle."""
     half = len(word) // 2
-    return [word[:half] + b"*" + word[half:], b"-".join(word[i : i + 1] for i in range(len(word)))]
+    return [b"-".join(word[i : i + 1] for i in range(len(word)))] + [word[:half] + b"x" + word[half:]] * (len(word) > LENGTH)
 
 
 def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Model:
