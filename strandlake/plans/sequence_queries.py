@@ -32,7 +32,9 @@ K, RUN, LEVEL, LONG = residues.MIN_MATCH, 2, 7, 40
 )
 def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fasta.records(table(spark, sf_dir, "pages"), "page_id", "html")
-    return fasta.sequences(found, "page_id").select("page_id", "seq_no", "seq_name", "line_len", "seq", "size", "start_pos")
+    return fasta.sequences(found, "page_id").select(
+        "page_id", F.col("seq_no").cast("long").alias("seq_no"), "seq_name", F.col("line_len").cast("long").alias("line_len"), "seq", "size", "start_pos"
+    )
 
 
 @register("file_stats", f"with {fx.LINES} select doc_id, count(*) n_seqs, sum(length(seq))::bigint n_residues, max(length(seq)) line_width from lines group by 1")
@@ -47,7 +49,7 @@ def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def residue_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").withColumn("k", residues.residues(F.col("text")))
-    return rows.select("doc_id", F.length("k").alias("kept"), (F.length("text") - F.length("k")).alias("dropped"), F.md5(F.col("k").cast("binary")).alias("seq_md5"))
+    return rows.select("doc_id", F.length("k").cast("long").alias("kept"), (F.length("text") - F.length("k")).cast("long").alias("dropped"), F.md5(F.col("k").cast("binary")).alias("seq_md5"))
 
 
 @register(
@@ -63,7 +65,7 @@ def residue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = seq.agg(*(F.sum(F.length("s") - F.length(F.translate("s", c, ""))).alias(c + "_" + str(ord(c))) for c in alphabet))
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("ch"), F.col(c + "_" + str(ord(c))).alias("n")) for c in alphabet))).alias("p")
     rows = counts.select(pairs).select("p.ch", "p.n").where("n > 0")
-    return rows.select("ch", residues.residue_code(F.col("ch")).alias("code"), "n")
+    return rows.select("ch", residues.residue_code(F.col("ch")).cast("long").alias("code"), F.col("n").cast("long").alias("n"))
 
 
 @register(
@@ -75,7 +77,7 @@ def residue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trigram_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = matching.spread(fx.seqs(spark, sf_dir), "doc_id")
     cut = F.explode(F.regexp_extract_all("seq", F.lit("(.{1,3})"), F.lit(1))).alias("g")
-    return raw.select(cut).groupBy("g").count().groupBy(residues.trigram_code(F.col("g")).alias("code")).agg(F.sum("count").alias("n"))
+    return raw.select(cut).groupBy("g").count().groupBy(residues.trigram_code(F.col("g")).cast("long").alias("code")).agg(F.sum("count").alias("n"))
 
 
 @register(
@@ -86,7 +88,7 @@ def trigram_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("s"))
     runs = seq.select("doc_id", F.explode(matching.n_runs(F.col("s"), RUN)).alias("run"))
-    return runs.groupBy("doc_id", F.substring("run", 1, 1).alias("ch"), F.length("run").alias("len")).agg(F.count("*").alias("n"))
+    return runs.groupBy("doc_id", F.substring("run", 1, 1).alias("ch"), F.length("run").cast("long").alias("len")).agg(F.count("*").alias("n"))
 
 
 @register(
@@ -300,7 +302,7 @@ def context_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("file_id").orderBy("tuple_no")
     rows = fx.tuples(spark, sf_dir).select(
         F.coalesce(F.lag("kind").over(order), F.lit("-")).alias("before"),
-        F.coalesce(buckets.literal_context(F.lag("lit").over(order)), F.lit(0)).alias("ctx"), "kind",
+        F.coalesce(buckets.literal_context(F.lag("lit").over(order)), F.lit(0)).cast("long").alias("ctx"), "kind",
     )
     counts = rows.groupBy("before", "ctx", "kind").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("before", "ctx"))

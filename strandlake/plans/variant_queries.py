@@ -81,7 +81,7 @@ def filter_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def genotype_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _genotypes(spark, sf_dir)
-    return rows.select("line_no", "sample", "hap", "number", "allele", (F.col("number") > F.size("alts")).alias("out_of_range"))
+    return rows.select("line_no", "sample", "hap", F.col("number").cast("long").alias("number"), F.col("allele").cast("long").alias("allele"), (F.col("number") > F.size("alts")).alias("out_of_range"))
 
 
 @register(

@@ -46,7 +46,7 @@ def sequences(found: DataFrame, key: str = "file_id") -> DataFrame:
 def file_stats(found: DataFrame, key: str = "file_id") -> DataFrame:
     """Records, residues and line width of each file."""
     return found.groupBy(key).agg(
-        F.count("*").alias("n_seqs"), F.sum(F.length("seq").cast("long")).alias("n_residues"), F.max("line_len").alias("line_width")
+        F.count("*").alias("n_seqs"), F.sum(F.length("seq").cast("long")).alias("n_residues"), F.max("line_len").cast("long").alias("line_width")
     )
 
 
@@ -57,5 +57,7 @@ def rendered(name: Column, sequence: Column, width: Column | int, final_feed: bo
 
 
 def write_fasta(found: DataFrame, path: str, width: int = 70) -> None:
-    """One text row a record, by file."""
-    found.select("file_id", rendered(F.col("seq_name"), F.col("seq"), width, final_feed=False).alias("value")).write.partitionBy("file_id").text(path)
+    """One text row a record, a folder for each file; a file's records stay in order."""
+    order = [c for c in ("file_id", "seq_no") if c in found.columns]
+    rows = found.repartition("file_id").sortWithinPartitions(*order)
+    rows.select("file_id", rendered(F.col("seq_name"), F.col("seq"), width, final_feed=False).alias("value")).write.partitionBy("file_id").text(path)
