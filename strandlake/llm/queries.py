@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_id, near_dedup, packing, quality, secrets, substring_dedup, toxicity, transport_stream
+from . import chat, decontamination, language_id, near_dedup, oracles, packing, quality, secrets, substring_dedup, toxicity, transport_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,4 +87,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_perspective_rotation": chat.SQL}
+    return oracles.oracle_sql()
