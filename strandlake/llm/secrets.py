@@ -137,13 +137,13 @@ def _vocabulary(rules: tuple[Rule, ...]) -> dict[bool, list[str]]:
 def trigram_postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(trigram, fold, doc_id): the documents that hold each needed trigram, without repeats in a text."""
     needed = _vocabulary(rules)
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    held = [
-        F.when(F.contains(lower if fold else F.col("text"), F.lit(t)), F.struct(F.lit(t).alias("trigram"), F.lit(fold).alias("fold")))
-        for fold in (False, True)
-        for t in needed[fold]
-    ]
-    return docs.select("doc_id", F.explode(F.array_compact(F.array(*held))).alias("p")).select("p.trigram", "p.fold", "doc_id")
+    listed = {fold: F.array(*map(F.lit, needed[fold])).cast("array<string>") for fold in needed}
+    # case is folded once a text: the lambda's variable is the folded text
+    folded = F.transform(F.array(F.lower("text")), lambda low: F.filter(listed[True], lambda t: F.contains(low, t)))
+    exact = F.filter(listed[False], lambda t: F.contains(F.col("text"), t))
+    pair = lambda fold: lambda t: F.struct(t.alias("trigram"), F.lit(fold).alias("fold"))
+    held = F.concat(F.transform(F.get(folded, F.lit(0)), pair(True)), F.transform(exact, pair(False)))
+    return docs.select("doc_id", F.explode(held).alias("p")).select("p.trigram", "p.fold", "doc_id")
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
