@@ -24,13 +24,22 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors."""
+    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    The files stay for results that are read later; clear_staged removes those of a session.
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/strandlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Removes all staged tables of the session; results that read them must be written or collected before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/strandlake/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Removes the files of a staged table that nothing will read again."""
     for uri in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
