@@ -7,7 +7,8 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import parsing, selection, variants
+from .functions import buckets
+from .operators import dedup, parsing, selection, variants
 from .sources import archive, fasta, vcf
 
 
@@ -16,7 +17,8 @@ def _parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     e = sub.add_parser("encode", help="write FASTA files to an archive; the first is the reference")
     e.add_argument("archive")
-    e.add_argument("files", nargs="+")
+    e.add_argument("files", nargs="+", help="paths, or @path of a list of them")
+    e.add_argument("--level", type=int, default=10, help="share of files, in tenths, that later files are matched with")
     e.add_argument("--min-match", type=int, default=15)
     e.add_argument("--min-after", type=int, default=4)
     e.add_argument("--indel2", action="store_true")
@@ -46,8 +48,16 @@ def _joined(found):
     return found.groupBy("file_id").agg(F.array_join(F.transform(row, lambda r: r["seq"]), "").alias("seq"))
 
 
+def named_files(spark: SparkSession, given: list[str]) -> list[str]:
+    """The given paths; @path stands for the white-space separated paths in that file."""
+    out: list[str] = []
+    for name in given:
+        out += spark.read.text(name[1:], wholetext=True).first().value.split() if name.startswith("@") else [name]
+    return out
+
+
 def encode(spark: SparkSession, a) -> None:
-    contents = fasta.read_files(spark, *a.files)
+    contents = fasta.read_files(spark, *named_files(spark, a.files))
     found = fasta.records(contents)
     files = selection.catalog(fasta.file_stats(found).join(contents.select("file_id", F.col("filename").alias("name")), "file_id"), F.col("name"), "file_id")
     files = selection.checked(files.drop("name"))
@@ -55,7 +65,11 @@ def encode(spark: SparkSession, a) -> None:
     whole = _joined(found)
     reference = whole.where("file_id = 0")
     tuples = parsing.encode(whole.where("file_id > 0"), reference.first().seq, a.min_match, a.min_after, a.indel2)
-    archive.write(a.archive, files, reference, tuples)
+    tuples = tuples.withColumn("ref_pos", buckets.checked_position(F.col("ref_pos")))
+    signed = tuples.withColumn("sig", F.concat_ws(":", "kind", "ref_pos", "len", "lit"))
+    kept = dedup.retained(files.select("ord", "file_id"), a.level).where("retained")
+    segments = dedup.best_segments(dedup.segment_matches(dedup.window_hits(dedup.windows(signed), kept)))
+    archive.write(a.archive, files, reference, tuples, segments)
     layout.write.parquet(f"{a.archive}/sequences")
 
 

@@ -26,11 +26,14 @@ def numbered(rows: DataFrame, key: str) -> DataFrame:
     return part.withColumn("_rank", rank).join(F.broadcast(shifts), "_part").withColumn("ord", F.col("_shift") + F.col("_rank") - 1).drop("_part", "_rank", "_shift")
 
 
-def write(path: str, files: DataFrame, reference: DataFrame, tuples: DataFrame) -> None:
+def write(path: str, files: DataFrame, reference: DataFrame, tuples: DataFrame, segments: DataFrame | None = None) -> None:
+    """segments, if given, list which tuples of a file repeat an earlier file's."""
     files.write.parquet(f"{path}/files")
     reference.write.parquet(f"{path}/residues")
     bucketed = tuples.withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(BUCKETS)))
     bucketed.repartition("bucket").sortWithinPartitions("file_id", "tuple_no").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/tuples")
+    if segments is not None:
+        segments.write.option("compression", "zstd").parquet(f"{path}/segments")
 
 
 def read(spark: SparkSession, path: str, names: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -6,6 +6,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from strandlake.functions import buckets
 from strandlake.operators import dedup, matching, parsing
 from strandlake.sources import archive, fasta
 
@@ -108,3 +111,14 @@ def test_numbering_is_by_key(spark):
     rows = spark.range(1000).selectExpr("id * 7 % 1000 k")
     got = archive.numbered(rows, "k").collect()
     assert all(r.k == r.ord for r in got) and len(got) == 1000
+
+
+def test_packed_tuples(spark):
+    rows = [("MATCH", 7, 300, None), ("MATCH", 2**31 - 3, 2**24 - 1, None), ("LIT", None, 1, "a"), ("LIT", None, 1, "T"), ("N_RUN", None, 15, None), ("n_RUN", None, 70000, None)]
+    df = spark.createDataFrame(rows, "kind string, ref_pos long, len long, lit string")
+    raw = df.select(buckets.packed(*(F.col(c) for c in df.columns)).alias("raw"))
+    assert [len(r.raw) for r in raw.collect()] == [7, 7, 1, 1, 7, 7]
+    assert raw.first().raw == bytes([0, 0, 0, 7, 0, 1, 44])
+    assert [tuple(r) for r in raw.select(buckets.unpacked(F.col("raw")).alias("t")).select("t.*").collect()] == rows
+    with pytest.raises(Exception, match="position out of range"):
+        spark.createDataFrame([(2**31,)], "p long").select(buckets.checked_position(F.col("p"))).collect()

@@ -20,7 +20,9 @@ def test_encode_decode(spark, tmp_path, capsys):
     for name, body in (("ref.fa", REF), ("alt.fa", ALT)):
         (tmp_path / name).write_text(body)
     made = f"{tmp_path}/made"
-    cli.main(["encode", made, f"{tmp_path}/ref.fa", f"{tmp_path}/alt.fa"], spark)
+    (tmp_path / "list").write_text(f"{tmp_path}/ref.fa\n{tmp_path}/alt.fa\n")
+    cli.main(["encode", made, f"@{tmp_path}/list"], spark)
+    assert spark.read.parquet(f"{made}/segments").count() == 0
     cli.main(["list", made], spark)
     assert capsys.readouterr().out.split("\n")[:2] == ["0. (reference) ref.fa", "1. alt.fa"]
     cli.main(["decode", made, f"{tmp_path}/out", "alt.fa", "none.fa"], spark)
