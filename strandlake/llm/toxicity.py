@@ -357,7 +357,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         share = F.when(F.col("toxic") == toxic, F.lit(min(1.0, sample / n))).otherwise(share)
     picked = allowed.where(F.col("key") < share * 1_000_003).select("doc_id", "toxic")
     texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select("doc_id", "text")
-    rows = texts.join(picked, "doc_id").select("text", "toxic").collect()  # about two samples of texts
+    # ids of about two samples, whatever the corpus
+    rows = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic").collect()
     return fit([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic != 1])
 
 
