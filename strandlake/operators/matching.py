@@ -19,13 +19,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def kmers(df: DataFrame, key: str, seq: str, k: int = MIN_MATCH, pos: str = "pos") -> DataFrame:
     """(key, pos, kmer): every window of k residues, pos from 1. Slicing bytes costs no scan for characters."""
-    raw = F.encode(F.col(seq), "US-ASCII")
-    n = F.length(seq) - k + 1
+    # bytes and count are columns of their own: inside the lambda they would be made anew for every window
+    raw = df.select(key, F.encode(F.col(seq), "US-ASCII").alias("raw"), (F.length(seq) - k + 1).alias("n"))
     rows = F.transform(
-        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.expr("cast(array() as array<int>)")),
-        lambda i: F.struct(i.alias("pos"), F.substring(raw, i, k).alias("kmer")),
+        F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n"))).otherwise(F.expr("cast(array() as array<int>)")),
+        lambda i: F.struct(i.alias("pos"), F.substring("raw", i, k).alias("kmer")),
     )
-    cut = df.select(key, F.explode(rows).alias("r"))
+    cut = raw.select(key, F.explode(rows).alias("r"))
     return cut.select(key, F.col("r.pos").cast("long").alias(pos), F.col("r.kmer").alias("kmer"))
 
 
