@@ -3,7 +3,7 @@
 The kernel between two strings sums over all character subsequences of length 4 that both hold, each weighted by
 DECAY to the power of the span it takes in either, so gapped and inserted-character spellings still share most of
 their weight; marks between letters are left out, and spelled-out letters make one word. The square of the
-normalised kernel keeps chance likenesses small. A sentence's kernel with a landmark adds up its words'. Landmarks are strings mined from labelled
+normalised kernel of a word's best window keeps chance likenesses small. A sentence's kernel with a landmark adds up its words'. Landmarks are strings mined from labelled
 sentences; Nyström's map over them gives features, and a linear support vector machine on these is trained on
 sentences: of a toxic document, those that score highest. A document scores as its worst sentence.
 
@@ -27,6 +27,8 @@ from .common import SPACES, U64, Words, column, power_tables, text_steps
 
 #: Length of subsequences, decay a character of span, and longest piece of a word that one kernel evaluation takes.
 LENGTH, DECAY, SPAN = 4, 0.7, 32
+#: Letters that a window of a word has more than the landmark; the best window counts.
+GAPS = 2
 #: Power of the normalised kernel, and the least value of it that counts.
 POWER, LEAST = 2, 0.4
 #: Fitting is bounded: labelled documents of each label, characters of each, and landmarks.
@@ -35,6 +37,8 @@ SAMPLE, LONGEST, LANDMARKS = 1_000, 6_000, 64
 #: of those of a landmark of four letters.
 MISSING = 1
 REGULAR, EPOCHS, ROUNDS = 1e-4, 60, 3
+#: Score of a text on the machine's border.
+EDGE = 0.7
 
 # characters that spell: letters in lower case, digits and bytes from 128 on; others may stand between them
 _CODE = np.zeros(256, np.uint8)
@@ -144,16 +148,18 @@ class Model:
                 continue
             _, first, back = np.unique(spelled.name[hit], return_index=True, return_inverse=True)
             rows = hit[first]
-            sizes = spelled.end[rows] - spelled.start[rows]
-            by_size = np.argsort(sizes, kind="stable")
-            got = np.empty(len(rows))
-            for low in range(0, len(rows), 4096):
-                pick = by_size[low : low + 4096]
-                part, size = rows[pick], int(sizes[pick[-1]])
-                place = spelled.start[part][:, None] + np.arange(size)
-                inside = place < spelled.end[part][:, None]
-                letters = np.where(inside, spelled.letters[np.minimum(place, len(spelled.letters) - 1)], 0)
-                got[pick] = kernel(letters, self.codes[k])
+            # the best window of the word: letters far apart are no likeness
+            width = len(self.codes[k]) + GAPS
+            many = np.maximum(spelled.end[rows] - spelled.start[rows] - width, 0) + 1
+            ahead = np.cumsum(many) - many
+            start = np.repeat(spelled.start[rows] - ahead, many) + np.arange(many.sum())
+            end = np.minimum(start + width, np.repeat(spelled.end[rows], many))
+            each = np.empty(len(start))
+            for low in range(0, len(start), 4096):
+                place = start[low : low + 4096, None] + np.arange(width)
+                letters = np.where(place < end[low : low + 4096, None], spelled.letters[np.minimum(place, len(spelled.letters) - 1)], 0)
+                each[low : low + 4096] = kernel(letters, self.codes[k])
+            got = np.maximum.reduceat(each, ahead)
             got = np.minimum(got / self.norms[k], 1.0)[back]
             hit, got = hit[got >= LEAST], got[got >= LEAST]
             word, spot = np.unique(spelled.owner[hit], return_inverse=True)
@@ -306,9 +312,9 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Model
         inner, bias = _svm(x, y, balance)
         weights = root @ inner
     margin = x @ inner + bias
-    # a logistic curve through the margins, so that the margin's edge on the toxic side passes 0.7
-    slope, shift = _logistic(margin, y, balance)
-    return Model(found, weights, float(bias), slope, shift)
+    # a logistic curve as steep as the margins suggest; the machine's own border scores EDGE
+    slope = _logistic(margin, y, balance)[0]
+    return Model(found, weights, float(bias), slope, float(np.log(EDGE / (1 - EDGE))))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
