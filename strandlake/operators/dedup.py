@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import MIN_SEGMENT_BYTES, tuple_bytes
 
+#: Tuples of a file that are summed in one group.
+BLOCK = 1 << 16
+
 
 def retained(files: DataFrame, level: int = 10) -> DataFrame:
     """files (ord from 0, 0 being the reference) with whether each enters the second-stage index.
@@ -19,17 +22,31 @@ def retained(files: DataFrame, level: int = 10) -> DataFrame:
     return files.crossJoin(F.broadcast(m)).withColumn("retained", kept).drop("m")
 
 
+def offsets(tuples: DataFrame) -> DataFrame:
+    """tuples with bytes, block and the offset of each in its file's packed stream.
+
+    Tuples are summed in blocks of BLOCK and blocks' sums carried on, so a file of any length spreads over tasks.
+    """
+    sized = tuples.withColumn("bytes", tuple_bytes(F.col("kind"))).withColumn("block", F.floor(F.col("tuple_no") / BLOCK))
+    sums = sized.groupBy("file_id", "block").agg(F.sum("bytes").alias("total"))
+    before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("file_id", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("carried"))
+    inside = Window.partitionBy("file_id", "block").orderBy("tuple_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = sized.withColumn("offset", F.sum("bytes").over(inside) - F.col("bytes"))
+    return rows.join(carried, ["file_id", "block"]).withColumn("offset", F.col("offset") + F.col("carried")).drop("carried")
+
+
 def windows(tuples: DataFrame, least: int = MIN_SEGMENT_BYTES) -> DataFrame:
     """(file_id, tuple_no, window, bytes): from each tuple, the tuples that begin within the next `least` bytes.
 
-    Windows that the file's end cuts short of `least` bytes are left out.
+    Windows that the file's end cuts short of `least` bytes are left out. A block sees the first tuples of the next.
     """
-    sized = tuples.withColumn("bytes", tuple_bytes(F.col("kind")))
-    order = Window.partitionBy("file_id").orderBy("tuple_no")
-    placed = sized.withColumn("offset", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes"))
-    ahead = Window.partitionBy("file_id").orderBy("offset").rangeBetween(0, least - 1)
-    framed = placed.withColumn("window", F.array_join(F.collect_list("sig").over(ahead), "|")).withColumn("width", F.sum("bytes").over(ahead))
-    return framed.where(F.col("width") >= least).select("file_id", "tuple_no", "window", "bytes")
+    placed = offsets(tuples).select("file_id", "block", "tuple_no", "sig", "bytes", "offset", F.lit(True).alias("own"))
+    lent = placed.where((F.col("tuple_no") % BLOCK < least) & (F.col("block") > 0))
+    rows = placed.unionByName(lent.withColumn("block", F.col("block") - 1).withColumn("own", F.lit(False)))
+    ahead = Window.partitionBy("file_id", "block").orderBy("offset").rangeBetween(0, least - 1)
+    framed = rows.withColumn("window", F.array_join(F.collect_list("sig").over(ahead), "|")).withColumn("width", F.sum("bytes").over(ahead))
+    return framed.where(F.col("own") & (F.col("width") >= least)).select("file_id", "tuple_no", "window", "bytes")
 
 
 def window_hits(found: DataFrame, kept: DataFrame) -> DataFrame:

@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.residues import MAX_SEED_N, MIN_AFTER, MIN_MATCH
-from .matching import spread
+from .matching import MOST_BROADCAST, spread
+
+#: Residues in a row of a reference that is joined in chunks.
+CHUNK = 1 << 16
 
 TUPLES = "file_id long, tuple_no long, kind string, ref_pos long, len long, lit string, out_start long"
 
@@ -146,21 +149,50 @@ def encode(files: DataFrame, reference: str, k: int = MIN_MATCH, least_after: in
     return spread(files.select("file_id", "seq"), "file_id").mapInArrow(_parse(sent, options), TUPLES)
 
 
+def _unmatched() -> Column:
+    """The text of a literal or run."""
+    runs = F.when(F.col("kind") == "N_RUN", F.repeat(F.lit("N"), F.col("len").cast("int"))).otherwise(F.repeat(F.lit("n"), F.col("len").cast("int")))
+    return F.when(F.col("kind") == "LIT", F.col("lit")).otherwise(runs)
+
+
 def pieces(tuples: DataFrame, reference: DataFrame) -> DataFrame:
     """Tuples with the text that each stands for; reference is one row (ref_seq)."""
-    text = (
-        F.when(F.col("kind") == "LIT", F.col("lit"))
-        .when(F.col("kind") == "MATCH", F.col("ref_seq").substr(F.col("ref_pos").cast("int"), F.col("len").cast("int")))
-        .when(F.col("kind") == "N_RUN", F.repeat(F.lit("N"), F.col("len").cast("int")))
-        .otherwise(F.repeat(F.lit("n"), F.col("len").cast("int")))
-    )
+    match = F.col("ref_seq").substr(F.col("ref_pos").cast("int"), F.col("len").cast("int"))
+    text = F.when(F.col("kind") == "MATCH", match).otherwise(_unmatched())
     return tuples.crossJoin(F.broadcast(reference)).withColumn("piece", text).drop("ref_seq")
 
 
+def chunks(reference: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(chunk, bases): a long reference (ref_seq) cut into rows."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("ref_seq") - 1) / size).cast("int")), lambda k: F.struct(k.cast("long").alias("chunk"), F.substring("ref_seq", k * size + 1, size).alias("bases")))
+    return reference.where(F.length("ref_seq") > 0).select(F.explode(cut).alias("c")).select("c.*")
+
+
+def chunked_pieces(tuples: DataFrame, cut: DataFrame, size: int = CHUNK) -> DataFrame:
+    """pieces for a reference in chunks: matches are split at chunk borders and joined with the chunks they lie in.
+
+    Pieces of one tuple keep its columns but for out_start, which moves on.
+    """
+    others = tuples.where("kind <> 'MATCH'").withColumn("piece", _unmatched())
+    first, last = F.floor((F.col("ref_pos") - 1) / size), F.floor((F.col("ref_pos") + F.col("len") - 2) / size)
+    split = tuples.where("kind = 'MATCH'").withColumn("chunk", F.explode(F.sequence(first, last)))
+    low = F.greatest(F.col("ref_pos") - 1, F.col("chunk") * size)
+    high = F.least(F.col("ref_pos") - 1 + F.col("len"), (F.col("chunk") + 1) * size)
+    joined = split.join(cut, "chunk").withColumn("piece", F.col("bases").substr((low - F.col("chunk") * size + 1).cast("int"), (high - low).cast("int")))
+    joined = joined.withColumn("out_start", F.col("out_start") + low - (F.col("ref_pos") - 1))
+    return others.unionByName(joined.select(*others.columns))
+
+
 def decode(tuples: DataFrame, reference: DataFrame) -> DataFrame:
-    """(file_id, seq): the files that tuples stand for."""
+    """(file_id, seq): the files that tuples stand for. A reference over MOST_BROADCAST residues is joined in chunks."""
+    if (reference.agg(F.max(F.length("ref_seq"))).first()[0] or 0) > MOST_BROADCAST:
+        return _joined(chunked_pieces(tuples, chunks(reference)))
+    return _joined(pieces(tuples, reference))
+
+
+def _joined(found: DataFrame) -> DataFrame:
     row = F.array_sort(F.collect_list(F.struct("out_start", "piece")))
-    joined = pieces(tuples, reference).groupBy("file_id").agg(row.alias("rows"))
+    joined = found.groupBy("file_id").agg(row.alias("rows"))
     return joined.select("file_id", F.array_join(F.transform("rows", lambda r: r["piece"]), "").alias("seq"))
 
 

@@ -32,10 +32,11 @@ def classified(variants: DataFrame, reference: DataFrame, partition: tuple[str,
     variants: chrom, pos, line_no, ref, alts, filter, info. reference: one row (ref_seq) of the chromosome.
     A second record at a position can't be an SNP. A filter other than PASS or . is a warning only.
     """
-    order = Window.partitionBy(*partition).orderBy("pos", "line_no")
+    # by position, so a chromosome's records aren't ordered in one task
+    order = Window.partitionBy(*partition, "pos").orderBy("line_no")
     rows = variants.crossJoin(F.broadcast(reference)).withColumn("class", variant_class(F.col("info")))
     rows = rows.withColumn("base", F.col("ref_seq").substr(F.col("pos").cast("int"), F.lit(1))).drop("ref_seq")
-    rows = rows.withColumn("repeated", F.coalesce(F.lag("pos").over(order) == F.col("pos"), F.lit(False)))
+    rows = rows.withColumn("repeated", F.row_number().over(order) > 1)
     rows = rows.withColumn("end", end_of(F.col("info")))
     first = F.substring("ref", 1, 1)
     reason = (

@@ -69,6 +69,8 @@ def test_relational_decode(spark):
     reference = spark.createDataFrame([(ref,)], "ref_seq string")
     got = {r.file_id: r.seq for r in parsing.decode(tuples, reference).collect()}
     assert got == {k: s for k, s in files if s}
+    cut = parsing.chunked_pieces(tuples, parsing.chunks(reference, 37), 37)
+    assert {r.file_id: r.seq for r in parsing._joined(cut).collect()} == got
     part = {r.file_id: r.seq for r in parsing.extract_range(tuples, reference, 41, 90).collect()}
     assert part == {k: s[40:90] for k, s in files if s and len(s) > 40}
 
@@ -122,3 +124,12 @@ def test_packed_tuples(spark):
     assert [tuple(r) for r in raw.select(buckets.unpacked(F.col("raw")).alias("t")).select("t.*").collect()] == rows
     with pytest.raises(Exception, match="position out of range"):
         spark.createDataFrame([(2**31,)], "p long").select(buckets.checked_position(F.col("p"))).collect()
+
+
+def test_windows_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f, n, rng.choice(("LIT", "MATCH")), rng.choice("abc")) for f, size in ((1, 100), (2, 7), (3, 64), (4, 1)) for n in range(size)]
+    df = spark.createDataFrame(rows, "file_id long, tuple_no long, kind string, sig string")
+    whole = sorted(map(tuple, dedup.windows(df).collect()))
+    monkeypatch.setattr(dedup, "BLOCK", 16)
+    assert sorted(map(tuple, dedup.windows(df).collect())) == whole and len(whole) > 100
