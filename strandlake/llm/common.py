@@ -51,13 +51,21 @@ def drop_staged(df: DataFrame) -> None:
 WORDS = 1 << 18
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def _hashed(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, Column]:
     """docs with a column of hashed bits of ids, at most WORDS rows of 64 bits and so broadcast; and the test of them."""
-    words = F.pmod(F.xxhash64("doc_id"), F.lit(WORDS)).cast("int").alias("word")
+    word_name, bits_name = free_name("id_word", docs.columns), free_name("id_bits", docs.columns)
+    words = F.pmod(F.xxhash64("doc_id"), F.lit(WORDS)).cast("int").alias(word_name)
     bit = F.pmod(F.shiftright(F.xxhash64("doc_id"), 40), F.lit(64)).cast("int")
-    bits = ids.groupBy(words).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("id_bits"))
-    joined = docs.withColumn("id_word", words).join(F.broadcast(bits.withColumnRenamed("word", "id_word")), "id_word", "left")
-    return joined, F.coalesce(F.getbit("id_bits", bit) == 1, F.lit(False))
+    bits = ids.groupBy(words).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias(bits_name))
+    joined = docs.withColumn(word_name, words).join(F.broadcast(bits), word_name, "left")
+    return joined, F.coalesce(F.getbit(bits_name, bit) == 1, F.lit(False))
 
 
 def among(docs: DataFrame, ids: DataFrame) -> DataFrame:

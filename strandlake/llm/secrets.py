@@ -17,6 +17,7 @@ from re import _parser as re_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
 
 #: Alternatives that one literal run may branch into before it is cut.
 MOST_ALTERNATIVES = 32
@@ -223,25 +224,27 @@ def _spans(rule: Rule, order: int) -> Column:
 _NONE = "cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)"
 
 
-def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """docs with a column secret_spans: array<struct<start, rank, end, kind>> ordered by start, then rule.
+def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, column: str = "secret_spans") -> DataFrame:
+    """docs with a column of secret spans: array<struct<start, rank, end, kind>> ordered by start, then rule.
 
     docs needs doc_id and text; a null text counts as empty. Its other columns stay. Rows that repeat a doc_id
     share candidate rules, which verification settles for each; a null doc_id is looked up like any other.
-    An empty table gives an empty one. docs must not have columns named secret_spans or secret_rules.
+    An empty table gives an empty one. A column of the same name is replaced.
     """
     found = candidates(trigram_postings(docs.select("doc_id", "text"), rules), rules)
-    found = found.select(F.col("doc_id").alias("secret_id"), F.col("rules").alias("secret_rules"))
-    joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("secret_id")), "left")
+    docs = docs.drop(column)
+    id_name, rules_name = free_name("secret_id", docs.columns), free_name("secret_rules", docs.columns)
+    found = found.select(F.col("doc_id").alias(id_name), F.col("rules").alias(rules_name))
+    joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(id_name)), "left")
     spans = []
     for order, rule in enumerate(rules):
         each = _spans(rule, order)
         if rule.trigram_query():
-            each = F.when(F.array_contains("secret_rules", rule.kind), each).otherwise(F.expr(_NONE))
+            each = F.when(F.array_contains(rules_name, rule.kind), each).otherwise(F.expr(_NONE))
         else:
             each = F.when(F.rlike("text", F.lit(rule.regex)), each).otherwise(F.expr(_NONE))
         spans.append(F.coalesce(each, F.expr(_NONE)))
-    return joined.select(*docs.columns, F.array_sort(F.concat(*spans)).alias("secret_spans"))
+    return joined.select(*docs.columns, F.array_sort(F.concat(*spans)).alias(column))
 
 
 def span_report(found: DataFrame) -> DataFrame:
@@ -261,9 +264,10 @@ def redacted(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] =
 
     Columns, their order and clean rows stay as they are.
     """
-    found = secret_spans(docs, rules)
+    spans = free_name("secret_spans", docs.columns)
+    found = secret_spans(docs, rules, spans)
     step = F.aggregate(
-        "secret_spans",
+        spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda s, x: F.when(
             x["start"] >= s["at"],
@@ -274,7 +278,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] =
         ).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))),
         lambda s: F.concat(s["out"], F.col("text").substr(s["at"] + 1, F.length("text"))),
     )
-    hit = F.size("secret_spans") > 0
+    hit = F.size(spans) > 0
     changed = found.withColumn("text", F.when(hit, step).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from strandlake.llm import common, near_dedup
 
 SCHEMA = "doc_id long, text string"
@@ -93,7 +95,7 @@ def test_components(spark):
 
 
 def test_among_and_without(spark):
-    docs = spark.createDataFrame([(i if i < 90 else None, f"t{i}", i) for i in range(100)], "doc_id long, text string, word int")
+    docs = spark.createDataFrame([(i if i < 90 else None, f"t{i}", i) for i in range(100)], "doc_id long, text string, word int").withColumns({"id_word": F.lit(1), "id_bits": F.lit(2)})
     ids = spark.createDataFrame([(i,) for i in range(0, 90, 7)], "doc_id long")
     assert sorted(r.word for r in common.among(docs, ids).collect()) == list(range(0, 90, 7))
     assert sorted(r.word for r in common.without(docs, ids).collect()) == [i for i in range(100) if i % 7 or i >= 90]

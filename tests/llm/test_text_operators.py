@@ -88,6 +88,8 @@ def test_secret_queries_and_masks(spark):
     assert queries["access"] == [["AKI", "KIA"]] and queries["hex"] == []
     assert ["ken", "oke", "tok"] in queries["assign"] and len(queries["assign"]) == 6
     df = spark.createDataFrame([(1, "a password=abcdefabcdefabcdef. b", 30), (2, None, 0), (3, "clean", 5)], "doc_id long, text string, n_chars long")
+    clash = secrets.redacted(df.selectExpr("*", "1 secret_id", "2 secret_rules", "3 Secret_spans"))
+    assert {(r.secret_id, r.secret_rules, r.Secret_spans) for r in clash.collect()} == {(1, 2, 3)}
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redacted(df).collect()}
     assert got == {1: ("a [secret] b", 12), 2: (None, 0), 3: ("clean", 5)}
     assert secrets.secret_spans(df.limit(0)).collect() == []
