@@ -87,14 +87,23 @@ def expand(segments: DataFrame, tuples: DataFrame, count: str = "n_windows") ->
 def position_deltas(tuples: DataFrame) -> DataFrame:
     """tuples with the reference position each was expected at: a literal moves it by one, others by their length.
 
-    A match sets it to its own end; before the first match it counts from 1.
+    A match sets it to its own end; before the first match it counts from 1. What a tuple expects is how far the file
+    has moved so far plus the lead of the last match over that; both are carried from block to block.
     """
-    order = Window.partitionBy("file_id").orderBy("tuple_no")
     step = F.when(F.col("kind") == "LIT", 1).otherwise(F.col("len"))
-    is_match = F.col("kind") == "MATCH"
-    rows = tuples.withColumn("run", F.sum(F.when(is_match, 1).otherwise(0)).over(order))
-    # within a run: the match's end, then what literals and runs of N add
-    add = F.when(is_match, F.col("ref_pos") + F.col("len")).otherwise(step)
-    inside = Window.partitionBy("file_id", "run").orderBy("tuple_no")
-    rows = rows.withColumn("after", F.sum(add).over(inside) + F.when(F.col("run") == 0, 1).otherwise(0))
-    return rows.withColumn("expected", F.coalesce(F.lag("after").over(order), F.lit(1))).drop("run", "after")
+    inside = Window.partitionBy("file_id", "block").orderBy("tuple_no")
+    rows = tuples.withColumn("block", F.floor(F.col("tuple_no") / BLOCK)).withColumn("step", step)
+    rows = rows.withColumn("moved", F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("lead", F.when(F.col("kind") == "MATCH", F.col("ref_pos") + F.col("len") - F.col("moved")))
+    sums = rows.groupBy("file_id", "block").agg(
+        F.sum("step").alias("total"), F.max_by("lead", F.when(F.col("lead").isNotNull(), F.col("tuple_no"))).alias("last_lead")
+    )
+    before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("moved0", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    sums = sums.withColumn("lead0", F.coalesce(F.last(F.col("last_lead") - F.col("moved0"), ignorenulls=True).over(before), F.lit(1)))
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    own = F.last("lead", ignorenulls=True).over(earlier)
+    rows = rows.withColumn("own_lead", own).join(sums.select("file_id", "block", "moved0", "lead0"), ["file_id", "block"])
+    lead = F.coalesce(F.col("own_lead") - F.col("moved0"), F.col("lead0"))
+    expected = F.col("moved0") + F.col("moved") - F.col("step") + lead
+    return rows.select(*tuples.columns, expected.alias("expected"))

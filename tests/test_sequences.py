@@ -133,3 +133,22 @@ def test_windows_do_not_depend_on_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, dedup.windows(df).collect()))
     monkeypatch.setattr(dedup, "BLOCK", 16)
     assert sorted(map(tuple, dedup.windows(df).collect())) == whole and len(whole) > 100
+
+
+def test_expected_positions_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for f, size in ((1, 90), (2, 5), (3, 33)):
+        for n in range(size):
+            kind = rng.choice(("LIT", "LIT", "MATCH", "N_RUN"))
+            rows.append((f, n, kind, rng.randint(1, 500) if kind == "MATCH" else None, 1 if kind == "LIT" else rng.randint(1, 40)))
+    df = spark.createDataFrame(rows, "file_id long, tuple_no long, kind string, ref_pos long, len long")
+    want, at, last = {}, 1, 0
+    for f, n, kind, pos, size in rows:
+        at = 1 if f != last else at
+        last = f
+        want[f, n] = at
+        at = pos + size if kind == "MATCH" else at + size
+    for block in (1 << 16, 8):
+        monkeypatch.setattr(dedup, "BLOCK", block)
+        assert {(r.file_id, r.tuple_no): r.expected for r in dedup.position_deltas(df).collect()} == want
