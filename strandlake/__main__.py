@@ -34,6 +34,7 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("out")
     c.add_argument("--start", type=int, default=1, help="position of the reference's first base")
     c.add_argument("--ploidy", type=int, choices=(1, 2), default=2)
+    c.add_argument("--strict", action="store_true", help="rejected records lose their reference base")
     t = sub.add_parser("cut", help="cut a region out of a reference")
     t.add_argument("reference")
     t.add_argument("out")
@@ -105,8 +106,11 @@ def consensus(spark: SparkSession, a) -> None:
     names = spark.createDataFrame(list(enumerate(samples)), "sample_no int, sample string")
     haps = F.explode(F.array(*(F.struct(F.lit(h).alias("hap"), variants.allele(F.col("gt"), h).alias("allele")) for h in range(a.ploidy)))).alias("h")
     genotypes = calls.join(F.broadcast(names), "sample_no").select("line_no", "sample", haps).select("line_no", "sample", "h.hap", "h.allele")
-    found = variants.events(variants.classified(moved, reference), genotypes)
+    classed = variants.classified(moved, reference)
+    found = variants.events(classed, genotypes)
     haplotypes = names.select("sample", F.explode(F.array(*(F.lit(h) for h in range(a.ploidy)))).alias("hap"))
+    if a.strict:
+        found = found.unionByName(variants.omitted_bases(classed, haplotypes))
     made = variants.consensus(found, haplotypes, reference)
     text = fasta.rendered(F.col("sample"), F.col("seq"), 70, final_feed=False)
     made.select("sample", "hap", text.alias("value")).write.partitionBy("sample", "hap").text(a.out)

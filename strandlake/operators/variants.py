@@ -93,6 +93,17 @@ def events(variants: DataFrame, genotypes: DataFrame) -> DataFrame:
     )
 
 
+def omitted_bases(variants: DataFrame, haplotypes: DataFrame) -> DataFrame:
+    """Events that drop the base of each rejected record that is the first at its position, on every haplotype.
+
+    For the strict reading, in which a record that is left out takes its reference base along.
+    """
+    lost = variants.where("not valid and not repeated").select("pos", "line_no")
+    return lost.crossJoin(F.broadcast(haplotypes.select("sample", "hap"))).select(
+        "sample", "hap", "pos", "line_no", F.lit("").alias("letter"), F.lit("").alias("insert"), F.lit(0).cast("long").alias("del_len")
+    )
+
+
 def deletion_cover(found: DataFrame) -> DataFrame:
     """events with covered: the last base deleted by records at earlier positions, and up to and with this one."""
     order = Window.partitionBy("sample", "hap").orderBy("pos", "line_no")

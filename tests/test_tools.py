@@ -39,6 +39,11 @@ def test_consensus_and_cut(spark, tmp_path):
     cli.main(["consensus", f"{tmp_path}/a.vcf", f"{tmp_path}/ref.fa", f"{tmp_path}/c"], spark)
     got = {p.parent.name: p.read_text().split("\n")[1] for p in (tmp_path / "c").rglob("part-*.txt")}
     assert got == {"hap=0": "ATGTACGTAC", "hap=1": "ACGTATAC"}
+    (tmp_path / "b.vcf").write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\n1\t2\t.\tG\tT\t.\tPASS\tVT=SNP\tGT\t1|0\n")
+    for flags, want in (([], "ACGTACGTAC"), (["--strict"], "AGTACGTAC")):
+        out = tmp_path / f"s{len(flags)}"
+        cli.main(["consensus", f"{tmp_path}/b.vcf", f"{tmp_path}/ref.fa", str(out), "--ploidy", "1", *flags], spark)
+        assert next(out.rglob("part-*.txt")).read_text().split("\n")[1] == want
     cli.main(["cut", f"{tmp_path}/ref.fa", f"{tmp_path}/k", "3", "99"], spark)
     assert next((tmp_path / "k").glob("part-*.txt")).read_text().strip() == ">1 test 3-99\nGTACGTAC"
 
