@@ -94,34 +94,35 @@ def _intersections(words: int, percent: int):
     Rows come ordered by b, so b's set is kept from one to the next.
     """
 
-    def sets_of(texts: list[str]) -> list[np.ndarray]:
+    def sets_of(texts: pa.Array) -> list[np.ndarray]:
         found: list[np.ndarray] = []
-        for _, _, data, offsets in text_steps(pa.array(texts, pa.large_string())):
+        for _, _, data, offsets in text_steps(texts):
             sets, begin = shingle_sets(data, offsets, words)
             found += [sets[begin[k] : begin[k + 1]] for k in range(len(offsets) - 1)]
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[int, str, np.ndarray] | None = None
-        for batch in batches:
-            a, b = column(batch, "a").to_pylist(), column(batch, "b").to_pylist()
-            left, right = sets_of(column(batch, "text_a").to_pylist()), column(batch, "text_b")
-            found, linked = [], []
-            for k in range(len(a)):
-                text = right[k].as_py()
-                if kept is None or kept[0] != b[k] or kept[1] != text:
-                    kept = b[k], text, sets_of([text])[0]
-                x, y = left[k], kept[2]
-                if len(x) > len(y):
-                    x, y = y, x
-                spot = np.searchsorted(y, x)
-                same = int((y[np.minimum(spot, len(y) - 1)] == x).sum()) if len(x) else 0
-                found.append(same)
-                linked.append(len(x) > 0 and 100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "a"), column(batch, "b"), pa.array(found, pa.int64()), pa.array(linked, pa.bool_())],
-                names=["a", "b", "same", "linked"],
-            )
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                b, right = column(batch, "b").to_pylist(), column(batch, "text_b")
+                found, linked = [], []
+                for k, x in enumerate(sets_of(column(batch, "text_a"))):
+                    text = right[k].as_py()
+                    if kept is None or kept[0] != b[k] or kept[1] != text:
+                        kept = b[k], text, sets_of(pa.array([text], pa.large_string()))[0]
+                    y = kept[2]
+                    if len(x) > len(y):
+                        x, y = y, x
+                    spot = np.searchsorted(y, x)
+                    same = int((y[np.minimum(spot, len(y) - 1)] == x).sum()) if len(x) else 0
+                    found.append(same)
+                    linked.append(len(x) > 0 and 100 * same >= percent * (len(x) + len(y) - same))
+                yield pa.RecordBatch.from_arrays(
+                    [column(batch, "a"), column(batch, "b"), pa.array(found, pa.int64()), pa.array(linked, pa.bool_())],
+                    names=["a", "b", "same", "linked"],
+                )
 
     return run
 
