@@ -2,8 +2,9 @@
 
 The kernel between two strings sums over all character subsequences of length 4 that both hold, each weighted by
 DECAY to the power of the span it takes in either, so gapped and inserted-character spellings still share most of
-their weight; marks between letters are left out, and spelled-out letters make one word. The square of the
-normalised kernel of a word's best window keeps chance likenesses small. A sentence's kernel with a landmark adds up its words'. Landmarks are strings mined from labelled
+their weight; marks between letters are left out, neighbouring short words are read as one as well, and so are every
+second letters of a word. The square of the normalised kernel keeps chance likenesses small. A sentence's kernel with a
+landmark adds up its words'. Landmarks are strings mined from labelled
 sentences; Nyström's map over them gives features, and a linear support vector machine on these is trained on
 sentences: of a toxic document, those that score highest. A document scores as its worst sentence.
 
@@ -27,8 +28,8 @@ from .common import SPACES, U64, Words, column, power_tables, text_steps
 
 #: Length of subsequences, decay a character of span, and longest piece of a word that one kernel evaluation takes.
 LENGTH, DECAY, SPAN = 4, 0.7, 32
-#: Letters that a window of a word has more than the landmark; the best window counts.
-GAPS = 2
+#: Letters of two neighbouring words that are read as one.
+JOINED = 12
 #: Power of the normalised kernel, and the least value of it that counts.
 POWER, LEAST = 2, 0.4
 #: Fitting is bounded: labelled documents of each label, characters of each, and landmarks.
@@ -74,10 +75,18 @@ def kernel(words: np.ndarray, landmark: np.ndarray) -> np.ndarray:
     return (same * table[:-1, :-1]).sum(axis=(0, 1), dtype=np.float64)
 
 
+def _runs(short: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of short words whose `inside` is the same."""
+    held = np.concatenate([[False], short, [False]])
+    cut = np.concatenate([[True], inside[1:] != inside[:-1], [True]]) if len(inside) else np.ones(1, bool)
+    return np.flatnonzero(short & (~held[:-2] | cut[:-1])), np.flatnonzero(short & (~held[2:] | cut[1:]))
+
+
 class Spelled:
-    """Pieces of the words of several texts: letters only, at most SPAN of them, with the word each belongs to.
+    """Pieces of the words of several texts: letters only, at most SPAN of them, with the first and last word of each.
 
-    A longer word gives overlapping pieces of its whole. A run of one-letter words is a word as well.
+    A longer word gives overlapping pieces of its whole. A run of one-letter words is a word as well, and in a sentence
+    so are a run of words under LENGTH letters and two neighbours of at most JOINED. Every second letters are pieces too.
     """
 
     def __init__(self, words: Words):
@@ -88,24 +97,40 @@ class Spelled:
         self.letters = codes[kept]
         start, end = place[words.start], place[words.end]
         owner = np.arange(len(start))
-        # runs of one-letter words in one text
-        single = np.concatenate([[False], end - start == 1, [False]])
+        size = end - start
         text = np.searchsorted(words.first, owner, side="right")
-        cut = np.concatenate([[True], text[1:] != text[:-1], [True]]) if len(text) else np.ones(1, bool)
-        first = np.flatnonzero(single[1:-1] & (~single[:-2] | cut[:-1]))
-        last = np.flatnonzero(single[1:-1] & (~single[2:] | cut[1:]))
-        run = last - first + 1 >= LENGTH
-        start = np.concatenate([start, start[first[run]]])
-        end = np.concatenate([end, end[last[run]]])
-        owner = np.concatenate([owner, first[run]])
+        sentence = _numbers(words)[words.start]
+        first, last = [owner], [owner]
+        for short, inside in ((size == 1, text), (size < LENGTH, sentence)):
+            a, b = _runs(short, inside)
+            first.append(a[b > a])
+            last.append(b[b > a])
+        two = np.flatnonzero((size[:-1] > 0) & (size[1:] > 0) & (size[:-1] + size[1:] <= JOINED) & (sentence[:-1] == sentence[1:]))
+        spelled_out = len(first[1])
+        first, last = np.concatenate([*first, two]), np.concatenate([*last, two + 1])
+        start, end = start[first], end[last]
+        # of these, other than words and spelled-out ones, letters next to each other only
+        close = np.arange(len(start)) >= len(owner) + spelled_out
         long = end - start >= LENGTH
-        start, end, owner = start[long], end[long], owner[long]
+        start, end, first, last, close = start[long], end[long], first[long], last[long], close[long]
+        # every second letter of single words, from the first and from the second on
+        thin = np.flatnonzero((first == last) & (end - start >= 2 * LENGTH - 1))
+        many = np.stack([end[thin] - start[thin] + 1, end[thin] - start[thin]], axis=1).ravel() // 2
+        ahead = np.cumsum(many) - many
+        begin = np.stack([start[thin], start[thin] + 1], axis=1).ravel()
+        below = len(self.letters) + ahead
+        self.letters = np.concatenate([self.letters, self.letters[np.repeat(begin - 2 * ahead, many) + 2 * np.arange(many.sum())]])
+        long = many >= LENGTH
+        start, end = np.concatenate([start, below[long]]), np.concatenate([end, (below + many)[long]])
+        twice = np.repeat(thin, 2)[long]
+        first, last = np.concatenate([first, first[twice]]), np.concatenate([last, last[twice]])
+        close = np.concatenate([close, np.ones(len(twice), bool)])
         half = SPAN // 2
         many = np.where(end - start > SPAN, -(-(end - start) // half) - 1, 1)
         nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         self.start = np.repeat(start, many) + nth * half
         self.end = np.minimum(np.repeat(end, many), self.start + SPAN)
-        self.owner = np.repeat(owner, many)
+        self.owner, self.last, self.close = np.repeat(first, many), np.repeat(last, many), np.repeat(close, many)
         n = len(self.letters)
         powers, inverse = power_tables(n + 1)
         sums = np.zeros(n + 1, U64)
@@ -124,6 +149,28 @@ class Spelled:
             self.pairs = np.zeros(0, U64)
 
 
+def _best(first: np.ndarray, last: np.ndarray, got: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, value) of likenesses of words first to last. Joined words count if that beats each of them, and once."""
+    single = first == last
+    own = np.zeros(words + 1)
+    np.maximum.at(own, first[single], got[single])
+    a, b, v = first[~single], last[~single], got[~single]
+    if len(a):
+        more = v > np.maximum.reduceat(own, np.stack([a, b + 1], axis=1).ravel())[::2]
+        a, b, v = a[more], b[more], v[more]
+    alone = np.flatnonzero(own)
+    if not len(a):
+        return alone, own[alone]
+    a, b, v = np.concatenate([alone, a]), np.concatenate([alone, b]), np.concatenate([own[alone], v])
+    order = np.argsort(a, kind="stable")
+    a, b, v = a[order], b[order], v[order]
+    # those that share words are one likeness
+    group = np.cumsum(np.append(0, a[1:] > np.maximum.accumulate(b)[:-1]))
+    order = np.lexsort((-v, group))
+    pick = order[np.unique(group[order], return_index=True)[1]]
+    return a[pick], v[pick]
+
+
 @dataclass
 class Model:
     landmarks: list[bytes]
@@ -146,25 +193,26 @@ class Model:
             hit = np.flatnonzero(np.bitwise_count(spelled.pairs & mask) >= need)
             if not len(hit):
                 continue
-            _, first, back = np.unique(spelled.name[hit], return_index=True, return_inverse=True)
+            _, first, back = np.unique(spelled.name[hit] ^ spelled.close[hit].astype(U64), return_index=True, return_inverse=True)
             rows = hit[first]
-            # the best window of the word: letters far apart are no likeness
-            width = len(self.codes[k]) + GAPS
+            # the best window of the piece, with room for a letter between all: letters farther apart are no likeness
+            size = len(self.codes[k])
+            width = np.where(spelled.close[rows], size, 2 * size - 1)
             many = np.maximum(spelled.end[rows] - spelled.start[rows] - width, 0) + 1
             ahead = np.cumsum(many) - many
             start = np.repeat(spelled.start[rows] - ahead, many) + np.arange(many.sum())
-            end = np.minimum(start + width, np.repeat(spelled.end[rows], many))
+            end = np.minimum(start + np.repeat(width, many), np.repeat(spelled.end[rows], many))
             each = np.empty(len(start))
+            by_size = np.argsort(end - start, kind="stable")
             for low in range(0, len(start), 4096):
-                place = start[low : low + 4096, None] + np.arange(width)
-                letters = np.where(place < end[low : low + 4096, None], spelled.letters[np.minimum(place, len(spelled.letters) - 1)], 0)
-                each[low : low + 4096] = kernel(letters, self.codes[k])
+                pick = by_size[low : low + 4096]
+                place = start[pick, None] + np.arange(end[pick[-1]] - start[pick[-1]])
+                letters = np.where(place < end[pick, None], spelled.letters[np.minimum(place, len(spelled.letters) - 1)], 0)
+                each[pick] = kernel(letters, self.codes[k])
             got = np.maximum.reduceat(each, ahead)
             got = np.minimum(got / self.norms[k], 1.0)[back]
             hit, got = hit[got >= LEAST], got[got >= LEAST]
-            word, spot = np.unique(spelled.owner[hit], return_inverse=True)
-            best = np.zeros(len(word))
-            np.maximum.at(best, spot, got)
+            word, best = _best(spelled.owner[hit], spelled.last[hit], got, len(words.start))
             at.append(word)
             which.append(np.full(len(word), k))
             value.append(best**POWER)
@@ -176,12 +224,7 @@ class Model:
         best = np.full(len(offsets) - 1, self.bias)
         at, which, value = self.word_features(words)
         if len(at):
-            # sentence of a word: sentence ends and line breaks before it
-            border = np.zeros(len(data) + 1, bool)
-            border[1:] = _ends(data)
-            border[offsets] = True
-            number = np.cumsum(border)
-            sentence = number[words.start[at]]
+            sentence = _numbers(words)[words.start[at]]
             _, first, back = np.unique(sentence, return_index=True, return_inverse=True)
             total = np.bincount(back, self.weights[which] * value) + self.bias
             text = np.searchsorted(words.first, at[first], side="right") - 1
@@ -198,6 +241,14 @@ def _ends(data: np.ndarray) -> np.ndarray:
     return (data == 10) | mark & np.append(SPACES[data[1:]], True) if len(data) else np.zeros(0, bool)
 
 
+def _numbers(words: Words) -> np.ndarray:
+    """Number of the sentence that each byte is in: sentence ends, line breaks and texts' borders before it."""
+    border = np.zeros(len(words.data) + 1, bool)
+    border[1:] = _ends(words.data)
+    border[words.offsets] = True
+    return np.cumsum(border)
+
+
 def sentences(text: str) -> list[bytes]:
     raw = text.encode()
     cuts = [0, *(np.flatnonzero(_ends(np.frombuffer(raw, np.uint8))) + 1).tolist(), len(raw)]
@@ -263,9 +314,13 @@ def _mine(toxic: list[str], clean: list[str], limit: int) -> list[bytes]:
 
 
 def _disguised(word: bytes) -> list[bytes]:
-    """Spellings with a mark between all characters and, of words over LENGTH, with a letter put into the middle."""
-    half = len(word) // 2
-    return [b"-".join(word[i : i + 1] for i in range(len(word)))] + [word[:half] + b"x" + word[half:]] * (len(word) > LENGTH)
+    """Spellings with a mark between all characters, a space at each place and, of words over LENGTH, a letter at each
+    place and a letter between all."""
+    letters, places = [word[i : i + 1] for i in range(len(word))], range(1, len(word))
+    odd = [b"-".join(letters)] + [word[:i] + b" " + word[i:] for i in places]
+    if len(word) > LENGTH:
+        odd += [word[:i] + b"x" + word[i:] for i in places] + [b"x".join(letters)]
+    return odd
 
 
 def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Model:
@@ -296,6 +351,8 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Model
     plain = features([s for t in clean for s in sentences(t)])
     informative = plain[plain.sum(axis=1) > 0]
     odd = features([d for z in found for d in _disguised(z)])
+    # a landmark's spellings weigh as much as two sentences, however many there are
+    heavy = np.concatenate([np.full(n, 2 / n) for n in (len(_disguised(z)) for z in found)])
     # toxic documents' sentences without any landmark teach nothing about them
     negative = np.concatenate([informative, np.zeros((max(1, len(informative) // 4), len(found)))])
     weights, bias = np.ones(len(found)), 0.0
@@ -305,10 +362,12 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Model
         top = np.zeros(len(bags), np.int64) - 1
         top[owner[order]] = order
         positive = np.concatenate([x for x in (raw[top[top >= 0]], odd)])
+        counts = np.concatenate([np.ones((top >= 0).sum()), heavy])[positive.max(axis=1) > 0]
         positive = positive[positive.max(axis=1) > 0]
         x = np.concatenate([positive, negative]) @ root
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        balance = np.where(y > 0, len(y) / (2 * max(1, len(positive))), len(y) / (2 * len(negative)))
+        total = counts.sum() + len(negative)
+        balance = np.concatenate([counts * total / (2 * max(1, counts.sum())), np.full(len(negative), total / (2 * len(negative)))])
         inner, bias = _svm(x, y, balance)
         weights = root @ inner
     margin = x @ inner + bias
