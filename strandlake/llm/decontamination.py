@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items that share a seed, a run of five words, are compared: the longest unmarked common
-run of words is marked in both, again and again, until none of LEAST_TILE words is left. Runs are found by running
+Documents and benchmark items that share enough runs of LEAST_TILE words for tiles to cover the item are compared: the
+longest unmarked common run of words is marked in both, again and again, until none of LEAST_TILE words is left. Runs are found by running
 Karp-Rabin hashes, whose prefix sums give the hash of any run at once. Tiles may lie in any order, so passages
 whose sentences were moved are caught: an item is leaked if its tiles cover enough of it.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, column, mix, power_tables, text_steps
 
-SEED, LEAST_TILE, COVERAGE = 5, 3, 0.8
+LEAST_TILE, COVERAGE = 3, 0.8
 #: Bytes of benchmark text that are broadcast at a time; a larger benchmark is taken in so many more passes.
 BLOCK_BYTES = 8 << 20
 
@@ -102,30 +102,63 @@ class Items:
         self.ids = ids
         self.words = [words.hash[words.first[k] : words.first[k + 1]] for k in range(len(texts))]
         size = np.diff(words.first)
+        self.runs = [_run_hashes(w, min(LEAST_TILE, len(w))) for w in self.words]
+        self.needs = [int(np.ceil(COVERAGE * len(w))) for w in self.words]
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for n in {min(SEED, int(s)) for s in size if s}:
+        for n in {min(LEAST_TILE, int(s)) for s in size if s}:
             runs, whole = words.runs(n)
             owner = np.searchsorted(words.first, np.arange(len(runs)), side="right") - 1
-            on = whole & ((n == SEED) | (size[owner] == n))
+            on = np.flatnonzero(whole & ((n == LEAST_TILE) | (size[owner] == n)))
+            # tiles that cover an item have a run in n words of them; without so many of its commonest runs the
+            # others still hold one
+            _, back, often = np.unique(runs[on], return_inverse=True, return_counts=True)
+            on = on[np.lexsort((often[back], owner[on]))]
+            spared = np.array([-(-need // n) - 1 for need in self.needs], np.int64)[owner[on]]
+            first = np.searchsorted(owner[on], owner[on])
+            on = on[np.arange(len(on)) - first < size[owner[on]] - n + 1 - spared]
             order = np.argsort(runs[on], kind="stable")
             bits = np.zeros(1 << 20, bool)
             bits[(runs[on] & U64((1 << 20) - 1)).astype(np.int64)] = True
             self.seeds[n] = runs[on][order], owner[on][order], bits
 
+    def covers(self, item: int, runs: np.ndarray) -> bool:
+        """Whether an item's runs that are among those of a text (distinct, in order) cover enough of its words."""
+        own, n = self.runs[item], min(LEAST_TILE, len(self.words[item]))
+        held = np.flatnonzero(runs[np.minimum(np.searchsorted(runs, own), len(runs) - 1)] == own)
+        cover = np.zeros(len(self.words[item]) + 1, np.int64)
+        cover[held] += 1
+        np.subtract.at(cover, held + n, 1)
+        return np.count_nonzero(np.cumsum(cover[:-1])) >= self.needs[item]
+
     def leaks(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
         """(text, item, tiles) of the leaked items of each text."""
         words = Words(data, offsets, PARTS, fold=True)
-        pairs: set[tuple[int, int]] = set()
+        pairs = [np.zeros((0, 2), np.int64)]
         for n, (seeds, owner, bits) in self.seeds.items():
             runs, whole = words.runs(n)
             at = np.flatnonzero(whole & bits[(runs & U64((1 << 20) - 1)).astype(np.int64)])
             left, right = np.searchsorted(seeds, runs[at]), np.searchsorted(seeds, runs[at], side="right")
             text = np.searchsorted(words.first, at, side="right") - 1
-            for k in np.flatnonzero(right > left):
-                pairs.update((int(text[k]), int(i)) for i in owner[left[k] : right[k]])
+            # each seed once a text
+            hit = np.flatnonzero(right > left)
+            once = np.unique(np.stack([text[hit], left[hit], right[hit]], axis=1), axis=0)
+            for k in range(0, len(once), 4096):
+                of, low, high = once[k : k + 4096].T
+                many = high - low
+                spot = np.arange(many.sum()) + np.repeat(low - np.cumsum(many) + many, many)
+                pairs.append(np.unique(np.stack([np.repeat(of, many), owner[spot]], axis=1), axis=0))
         found = []
-        for text, item in sorted(pairs):
-            tiles = greedy_tiles(self.words[item], words.hash[words.first[text] : words.first[text + 1]])
+        now, runs = -1, {}
+        for text, item in np.unique(np.concatenate(pairs), axis=0).tolist():
+            own = words.hash[words.first[text] : words.first[text + 1]]
+            if text != now:
+                now, runs = text, {}
+            n = min(LEAST_TILE, len(self.words[item]))
+            if n not in runs:
+                runs[n] = np.unique(_run_hashes(own, n))
+            if not self.covers(item, runs[n]):
+                continue
+            tiles = greedy_tiles(self.words[item], own)
             if sum(t[2] for t in tiles) >= COVERAGE * len(self.words[item]):
                 found.append((text, item, tiles))
         return found
@@ -174,8 +207,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, item_words, covered_words, tiles: one row for each leaked item of each row of docs.
 
     docs has doc_id long and text string, benchmark item_id long and text string; other columns are ignored. An
-    item leaks if tiles of LEAST_TILE words or more cover COVERAGE of its words and one shared run has SEED words
-    (all words, of a shorter item). Null, empty and wordless texts and items have no leaks. Repeated rows give
+    item leaks if tiles of LEAST_TILE words or more (all words, of a shorter item) cover COVERAGE of its words. Null, empty and wordless texts and items have no leaks. Repeated rows give
     repeated leaks. Empty tables give empty ones.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
