@@ -33,6 +33,18 @@ def trigram_code(tri: Column) -> Column:
     return F.when(valid, a * 100 + b * 10 + c).otherwise(SYMBOL_ESCAPE)
 
 
+def symbols(sequence: Column, least: int = MIN_MATCH) -> Column:
+    """The symbols of a coded reference: runs of N or of n of at least that length, else up to three residues; last, the end."""
+    cut = F.regexp_extract_all(sequence, F.lit(f"(N{{{least},}}|n{{{least},}}|.{{1,3}})"), F.lit(1))
+    return F.concat(cut, F.array(F.lit("")))
+
+
+def symbol_code(symbol: Column, least: int = MIN_MATCH) -> Column:
+    """Class of a symbol: a trigram's code, a run of N, a run of n, the end, or an escape."""
+    run = lambda c: F.rlike(symbol, F.lit(f"^{c}{{{least},}}$"))
+    return F.when(symbol == "", SYMBOL_END).when(run("N"), SYMBOL_N_RUN).when(run("n"), SYMBOL_LOWER_N_RUN).otherwise(trigram_code(symbol))
+
+
 def n_count(kmer: Column) -> Column:
     return F.length(kmer) - F.length(F.regexp_replace(kmer, "[Nn]", ""))
 

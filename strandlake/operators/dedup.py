@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import drop_staged, staged
 from ..functions.buckets import MIN_SEGMENT_BYTES, tuple_bytes
 
 #: Tuples of a file that are summed in one group.
@@ -22,22 +27,27 @@ def retained(files: DataFrame, level: int = 10) -> DataFrame:
     return files.crossJoin(F.broadcast(m)).withColumn("retained", kept).drop("m")
 
 
-def offsets(tuples: DataFrame) -> DataFrame:
-    """tuples with bytes, block and the offset of each in its file's packed stream.
+def running(tuples: DataFrame, step: Column, name: str) -> DataFrame:
+    """tuples with block and the sum of step over the tuples of the file before each.
 
     Tuples are summed in blocks of BLOCK and blocks' sums carried on, so a file of any length spreads over tasks.
     """
-    sized = tuples.withColumn("bytes", tuple_bytes(F.col("kind"))).withColumn("block", F.floor(F.col("tuple_no") / BLOCK))
-    sums = sized.groupBy("file_id", "block").agg(F.sum("bytes").alias("total"))
+    sized = tuples.withColumn("step", step).withColumn("block", F.floor(F.col("tuple_no") / BLOCK))
+    sums = sized.groupBy("file_id", "block").agg(F.sum("step").alias("total"))
     before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select("file_id", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("carried"))
     inside = Window.partitionBy("file_id", "block").orderBy("tuple_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = sized.withColumn("offset", F.sum("bytes").over(inside) - F.col("bytes"))
-    return rows.join(carried, ["file_id", "block"]).withColumn("offset", F.col("offset") + F.col("carried")).drop("carried")
+    rows = sized.withColumn(name, F.sum("step").over(inside) - F.col("step"))
+    return rows.join(carried, ["file_id", "block"]).withColumn(name, F.col(name) + F.col("carried")).drop("carried", "step")
+
+
+def offsets(tuples: DataFrame) -> DataFrame:
+    """tuples with bytes, block and the offset of each in its file's packed stream."""
+    return running(tuples.withColumn("bytes", tuple_bytes(F.col("kind"))), F.col("bytes"), "offset")
 
 
 def windows(tuples: DataFrame, least: int = MIN_SEGMENT_BYTES) -> DataFrame:
-    """(file_id, tuple_no, window, bytes): from each tuple, the tuples that begin within the next `least` bytes.
+    """(file_id, tuple_no, window, bytes, size): from each tuple, the tuples that begin within the next `least` bytes.
 
     Windows that the file's end cuts short of `least` bytes are left out. A block sees the first tuples of the next.
     """
@@ -46,34 +56,124 @@ def windows(tuples: DataFrame, least: int = MIN_SEGMENT_BYTES) -> DataFrame:
     rows = placed.unionByName(lent.withColumn("block", F.col("block") - 1).withColumn("own", F.lit(False)))
     ahead = Window.partitionBy("file_id", "block").orderBy("offset").rangeBetween(0, least - 1)
     framed = rows.withColumn("window", F.array_join(F.collect_list("sig").over(ahead), "|")).withColumn("width", F.sum("bytes").over(ahead))
-    return framed.where(F.col("own") & (F.col("width") >= least)).select("file_id", "tuple_no", "window", "bytes")
+    framed = framed.withColumn("size", F.count("*").over(ahead))
+    return framed.where(F.col("own") & (F.col("width") >= least)).select("file_id", "tuple_no", "window", "bytes", "size")
 
 
 def window_hits(found: DataFrame, kept: DataFrame) -> DataFrame:
-    """(file_id, tuple_no, src_file, src_tuple) of equal windows in earlier retained files."""
+    """(file_id, tuple_no, src_file, src_tuple, size) of equal windows in earlier retained files."""
     source = found.join(kept.select("file_id"), "file_id", "left_semi")
     source = source.select(F.col("file_id").alias("src_file"), F.col("tuple_no").alias("src_tuple"), "window")
-    return found.join(source, "window").where("src_file < file_id").select("file_id", "tuple_no", "src_file", "src_tuple")
+    return found.join(source, "window").where("src_file < file_id").select("file_id", "tuple_no", "src_file", "src_tuple", "size")
 
 
 def segment_matches(hits: DataFrame) -> DataFrame:
-    """(file_id, src_file, tuple_no, src_tuple, n_windows): runs of hits on a diagonal."""
+    """(file_id, src_file, tuple_no, src_tuple, n_windows, n_tuples): runs of hits on a diagonal.
+
+    A run's tuples are the first of each window and all of its last one.
+    """
     diagonal = Window.partitionBy("file_id", "src_file", "diag").orderBy("tuple_no")
     rows = hits.withColumn("diag", F.col("src_tuple") - F.col("tuple_no"))
     rows = rows.withColumn("island", F.col("tuple_no") - F.row_number().over(diagonal))
     return rows.groupBy("file_id", "src_file", "diag", "island").agg(
-        F.min("tuple_no").alias("tuple_no"), F.min("src_tuple").alias("src_tuple"), F.count("*").alias("n_windows")
+        F.min("tuple_no").alias("tuple_no"), F.min("src_tuple").alias("src_tuple"), F.count("*").alias("n_windows"),
+        (F.count("*") + F.max_by("size", "tuple_no") - 1).alias("n_tuples"),
     ).drop("diag", "island")
 
 
 def best_segments(matches: DataFrame) -> DataFrame:
     """Of the matches that start at a tuple, the longest; of equals, the one in the earliest file and place."""
     best = F.max_by(
-        F.struct("src_file", "src_tuple", "n_windows"), F.struct(F.col("n_windows"), -F.col("src_file"), -F.col("src_tuple"))
+        F.struct("src_file", "src_tuple", "n_windows", "n_tuples"), F.struct(F.col("n_windows"), -F.col("src_file"), -F.col("src_tuple"))
     ).alias("m")
     return matches.groupBy("file_id", "tuple_no").agg(best).select("file_id", "tuple_no", "m.*")
 
 
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks through each file's runs, which come in order; state is the place reached and the runs that reach over it."""
+    now, at, open_ = None, 0, []
+
+    def reached(until: int | None) -> Iterator[tuple]:
+        """Segments that begin before `until`."""
+        nonlocal at, open_
+        while open_:
+            if until is not None and at >= until:
+                return
+            end, src_file, diag, last = open_[0]
+            if last < at:
+                heappop(open_)
+                continue
+            yield now, at, src_file, at + diag, -end - at
+            at = -end
+
+    for batch in batches:
+        out: list[tuple] = []
+        for file_id, start, src_file, src, windows_, tuples in zip(*(c.to_pylist() for c in batch.columns)):
+            if file_id != now:
+                out += reached(None)
+                now, at, open_ = file_id, 0, []
+            out += reached(start)
+            if not open_:
+                at = max(at, start)
+            heappush(open_, (-(start + tuples), src_file, src - start, start + windows_ - 1))
+        yield _segment_batch(out)
+    yield _segment_batch(list(reached(None)))
+
+
+def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["file_id", "tuple_no", "src_file", "src_tuple", "n_tuples"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=names)
+
+
+def chosen_segments(matches: DataFrame) -> DataFrame:
+    """(file_id, tuple_no, src_file, src_tuple, n_tuples): a greedy parse of each file from left to right.
+
+    At each tuple where a window of some run begins, the run that reaches farthest is taken up to its end; of equals,
+    that of the earliest file and place. Files are dealt over tasks and a file's runs pass by in order, so a task
+    holds only those over the place it has reached.
+    """
+    rows = matches.select("file_id", "tuple_no", "src_file", "src_tuple", "n_windows", "n_tuples")
+    sorted_ = rows.repartition("file_id").sortWithinPartitions("file_id", "tuple_no")
+    return sorted_.mapInArrow(_choose, "file_id long, tuple_no long, src_file long, src_tuple long, n_tuples long")
+
+
+def _pointers(segments: DataFrame) -> DataFrame:
+    """(file_id, tuple_no, src_file, src_tuple) of every tuple that a segment covers."""
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tuples") - 1))
+    rows = segments.select("file_id", F.col("tuple_no").alias("first"), "src_file", F.col("src_tuple").alias("src_first"), step.alias("k"))
+    return rows.select("file_id", (F.col("first") + F.col("k")).alias("tuple_no"), "src_file", (F.col("src_first") + F.col("k")).alias("src_tuple"))
+
+
+def uncovered(tuples: DataFrame, segments: DataFrame) -> DataFrame:
+    """Tuples that no segment covers."""
+    return tuples.join(_pointers(segments).select("file_id", "tuple_no"), ["file_id", "tuple_no"], "left_anti")
+
+
+def restored(own: DataFrame, segments: DataFrame, files: int, wanted: DataFrame | None = None) -> DataFrame:
+    """All tuples of the wanted files (all, if None) from those stored and the segments that cover the others.
+
+    A segment may repeat tuples that are covered in their own file; pointers are followed by doubling, in as many
+    rounds as the number of files has bits, since each leads to an earlier file.
+    """
+    at = staged(_pointers(segments), "pointers")
+    for _ in range(max(1, files).bit_length()):
+        then = at.select(F.col("file_id").alias("src_file"), F.col("tuple_no").alias("src_tuple"), F.col("src_file").alias("to_file"), F.col("src_tuple").alias("to_tuple"))
+        if at.join(then, ["src_file", "src_tuple"], "left_semi").isEmpty():
+            break
+        last, at = at, staged(
+            at.join(then, ["src_file", "src_tuple"], "left").select(
+                "file_id", "tuple_no", F.coalesce("to_file", "src_file").alias("src_file"), F.coalesce("to_tuple", "src_tuple").alias("src_tuple")
+            ), "pointers",
+        )
+        drop_staged(last)
+    mine = own
+    if wanted is not None:
+        at, mine = (x.join(F.broadcast(wanted), "file_id", "left_semi") for x in (at, own))
+    source = own.withColumnsRenamed({"file_id": "src_file", "tuple_no": "src_tuple"})
+    rows = at.join(source, ["src_file", "src_tuple"]).select(*own.columns).unionByName(mine)
+    return running(rows.drop("out_start"), F.col("len"), "out_start").select(*own.columns)
+
+
 def expand(segments: DataFrame, tuples: DataFrame, count: str = "n_windows") -> DataFrame:
     """The tuples that segments stand for: (file_id, tuple_no, src_file, src_tuple, kind, sig)."""
     places = segments.select(

@@ -1,14 +1,18 @@
 """Greedy parse of sequences into matches and literals against a reference, and its inverse.
 
-The parse is sequential within a file, so each file is one row of an Arrow batch; files are dealt over tasks. The
-reference's index is built once a worker. Decoding is relational: a join with the reference and an ordered concat.
+The parse is sequential within a file, so each file is one row of an Arrow batch; files are dealt over tasks. Places
+where no seed can match are found for a whole file at once. The reference's index is built once a worker. Decoding is relational: a join with the reference and an ordered concat.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,36 +48,80 @@ def common_length(a: bytes, i: int, b: bytes, j: int) -> int:
     return done
 
 
+def _encoded(sequence: str, name: str) -> bytes:
+    if not sequence.isascii():
+        raise ValueError(f"{name} holds residues beyond ASCII")
+    return sequence.encode()
+
+
+def _hashes(raw: bytes, k: int) -> np.ndarray:
+    """A 64-bit hash of each run of k residues, from prefix sums; equal runs have equal hashes."""
+    n = len(raw) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    codes = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
+    out = np.zeros(n, np.uint64)
+    for j in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n]
+    return out
+
+
+#: Kinds of spans in the order of their codes.
+KINDS = ("LIT", "MATCH", "N_RUN", "n_RUN")
+LITERALS, MATCH, N_RUN, LOWER_N_RUN = range(4)
+
+
 class Reference:
     """A reference with the places of its k-mers, low in N."""
 
     def __init__(self, sequence: str, k: int = MIN_MATCH, most_n: int = MAX_SEED_N):
-        self.raw, self.k = sequence.encode("ascii", "replace"), k
+        self.raw, self.k = _encoded(sequence, "the reference"), k
+        many = np.frombuffer(self.raw, np.uint8)
+        ns = np.concatenate([[0], np.cumsum((many == 78) | (many == 110))])
+        rich = (ns[k:] - ns[:-k] > most_n).tolist() if len(many) >= k else []
         self.places: dict[bytes, list[int]] = {}
-        upper = self.raw.upper()
-        ns = upper[:k].count(b"N")
-        for p in range(len(self.raw) - k + 1):
-            if p:
-                ns += (upper[p + k - 1] == 78) - (upper[p - 1] == 78)
-            if ns <= most_n:
+        for p, over in enumerate(rich):
+            if not over:
                 self.places.setdefault(self.raw[p : p + k], []).append(p)
-
-    def parse(self, sequence: str, least_after: int = MIN_AFTER, indel2: bool = False) -> list[Tuple]:
-        """Runs of N, matches and literals that tile the sequence.
-
-        A match is the longest from its place on, the first in the reference of equals. After a match, a changed,
-        inserted or deleted residue (or two, with indel2) is tried before a new seed; of equals in that order.
+        self.seeds = np.unique(_hashes(self.raw, k))
+        self.runs = re.compile(rb"N{%d,}|n{%d,}" % (k, k))
+
+    def _stops(self, alt: bytes) -> np.ndarray:
+        """Places of alt where a seed may match or a run of N begins or goes on for k residues; all others are literals."""
+        hashes = _hashes(alt, self.k)
+        stop = np.zeros(len(hashes), bool)
+        if len(hashes) and len(self.seeds):
+            stop = self.seeds[np.minimum(np.searchsorted(self.seeds, hashes), len(self.seeds) - 1)] == hashes
+        for run in self.runs.finditer(alt):
+            stop[run.start() : run.end() - self.k + 1] = True
+        return np.flatnonzero(stop)
+
+    def spans(self, sequence: str, least_after: int = MIN_AFTER, indel2: bool = False, name: str = "the sequence") -> list[tuple[int, int, int, int]]:
+        """(kind, place in the sequence, place in the reference from 1 or 0, length) of spans that tile the sequence.
+
+        Runs of N, and matches: the longest from their place on, the first in the reference of equals. After a match, a
+        changed, inserted or deleted residue (or two, with indel2) is tried before a new seed; of equals in that order.
+        What is left are spans of literals.
         """
-        alt, ref, k = sequence.encode("ascii", "replace"), self.raw, self.k
+        alt, ref, k = _encoded(sequence, name), self.raw, self.k
         moves = [(1, 1), (1, 0), (0, 1)] + [(2, 0), (0, 2)] * indel2
-        out: list[Tuple] = []
-        i = 0
+        stops = self._stops(alt)
+        out: list[tuple[int, int, int, int]] = []
+        i, n = 0, 0
         while i < len(alt):
+            n += int(np.searchsorted(stops[n : n + 64], i))
+            if n < len(stops) and stops[n] < i:
+                n = int(np.searchsorted(stops, i))
+            stop = int(stops[n]) if n < len(stops) else len(alt)
+            if stop > i:
+                out.append((LITERALS, i, 0, stop - i))
+                i = stop
+                continue
             head = alt[i : i + 1]
             if head in b"Nn":
                 run = _run(alt, i)
                 if run >= k:
-                    out.append(("N_RUN" if head == b"N" else "n_RUN", None, run, None))
+                    out.append((N_RUN if head == b"N" else LOWER_N_RUN, i, 0, run))
                     i += run
                     continue
             best, at = 0, 0
@@ -82,26 +130,38 @@ class Reference:
                 if size > best:
                     best, at = size, p
             if not best:
-                out.append(("LIT", None, 1, chr(alt[i])))
+                out.append((LITERALS, i, 0, 1))
                 i += 1
                 continue
-            out.append(("MATCH", at + 1, best, None))
+            out.append((MATCH, i, at + 1, best))
             i, p = i + best, at + best
             while i < len(alt):
                 size, a, b = _best_move(alt, i, ref, p, moves)
                 if size < least_after:
                     break
-                out += [("LIT", None, 1, chr(alt[j])) for j in range(i, i + a)]
-                out.append(("MATCH", p + b + 1, size, None))
+                if a:
+                    out.append((LITERALS, i, 0, a))
+                out.append((MATCH, i + a, p + b + 1, size))
                 i, p = i + a + size, p + b + size
         return out
 
+    def parse(self, sequence: str, least_after: int = MIN_AFTER, indel2: bool = False) -> list[Tuple]:
+        """The tuples of the sequence: spans with each literal by itself."""
+        out: list[Tuple] = []
+        for kind, at, p, size in self.spans(sequence, least_after, indel2):
+            if kind == LITERALS:
+                out += [("LIT", None, 1, c) for c in sequence[at : at + size]]
+            else:
+                out.append((KINDS[kind], p if kind == MATCH else None, size, None))
+        return out
+
 
 def _run(alt: bytes, i: int) -> int:
-    j = i
-    while j < len(alt) and alt[j] == alt[i]:
-        j += 1
-    return j - i
+    size, head = 16, alt[i : i + 1]
+    while alt[i : i + size] == head * size:
+        size *= 2
+    part = alt[i : i + size]
+    return len(part) - len(part.lstrip(head))
 
 
 def _best_move(alt: bytes, i: int, ref: bytes, p: int, moves: list[tuple[int, int]]) -> tuple[int, int, int]:
@@ -119,22 +179,34 @@ def rebuild(tuples: list[Tuple], reference: str) -> str:
     return "".join(take[kind](p, n, c) for kind, p, n, c in tuples)
 
 
-def _parse(reference, options: dict):
+#: The last reference that a worker has indexed, by its broadcast and options.
+_indexed: dict[tuple, Reference] = {}
+
+
+def _parse(reference, options: dict, name: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Reference(reference.value, options["k"])
+        if name not in _indexed:
+            _indexed.clear()
+            _indexed[name] = Reference(reference.value, options["k"])
+        index = _indexed[name]
+        kinds = pa.array(KINDS)
         for batch in batches:
             for file_id, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = index.parse(seq or "", options["least_after"], options["indel2"])
-                starts, at = [], 0
-                for _, _, size, _ in rows:
-                    starts.append(at)
-                    at += size
+                seq = seq or ""
+                found = index.spans(seq, options["least_after"], options["indel2"], f"file {file_id}")
+                kind, at, place, size = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+                many = np.where(kind == LITERALS, size, 1)
+                each = np.repeat(np.arange(len(kind)), many)
+                nth = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+                single, match = kind[each] == LITERALS, kind[each] == MATCH
+                start = at[each] + np.where(single, nth, 0)
+                length = np.where(single, 1, size[each])
+                letters = pa.array(np.frombuffer(seq.encode(), np.uint8)[start] if len(start) else np.zeros(0, np.uint8))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([file_id] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64()),
-                        pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()),
-                        pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string()),
-                        pa.array(starts, pa.int64()),
+                        pa.array(np.full(len(each), file_id, np.int64)) if file_id is not None else pa.nulls(len(each), pa.int64()),
+                        pa.array(np.arange(len(each))), kinds.take(pa.array(kind[each])), pa.array(place[each], mask=~match), pa.array(length),
+                        pc.if_else(pa.array(single), _LETTERS.take(letters), pa.scalar(None, pa.string())), pa.array(start),
                     ],
                     names=["file_id", "tuple_no", "kind", "ref_pos", "len", "lit", "out_start"],
                 )
@@ -142,11 +214,15 @@ def _parse(reference, options: dict):
     return run
 
 
+_LETTERS = pa.array([chr(c) for c in range(128)])
+
+
 def encode(files: DataFrame, reference: str, k: int = MIN_MATCH, least_after: int = MIN_AFTER, indel2: bool = False) -> DataFrame:
     """Tuples of every file (file_id, seq); the reference, one sequence, is sent to all workers."""
     sent = files.sparkSession.sparkContext.broadcast(reference)
     options = {"k": k, "least_after": least_after, "indel2": indel2}
-    return spread(files.select("file_id", "seq"), "file_id").mapInArrow(_parse(sent, options), TUPLES)
+    name = (uuid.uuid4().hex, k)
+    return spread(files.select("file_id", "seq"), "file_id").mapInArrow(_parse(sent, options, name), TUPLES)
 
 
 def _unmatched() -> Column:
@@ -183,24 +259,41 @@ def chunked_pieces(tuples: DataFrame, cut: DataFrame, size: int = CHUNK) -> Data
     return others.unionByName(joined.select(*others.columns))
 
 
-def decode(tuples: DataFrame, reference: DataFrame) -> DataFrame:
-    """(file_id, seq): the files that tuples stand for. A reference over MOST_BROADCAST residues is joined in chunks."""
-    if (reference.agg(F.max(F.length("ref_seq"))).first()[0] or 0) > MOST_BROADCAST:
-        return _joined(chunked_pieces(tuples, chunks(reference)))
-    return _joined(pieces(tuples, reference))
+def _small(reference: DataFrame) -> bool:
+    return (reference.agg(F.max(F.length("ref_seq"))).first()[0] or 0) <= MOST_BROADCAST
+
+
+def decode(tuples: DataFrame, reference: DataFrame, *more: Column) -> DataFrame:
+    """(file_id, seq): the files that tuples stand for, with further aggregates of their pieces.
+
+    A reference over MOST_BROADCAST residues is joined in chunks.
+    """
+    return _joined(pieces(tuples, reference) if _small(reference) else chunked_pieces(tuples, chunks(reference)), *more)
 
 
-def _joined(found: DataFrame) -> DataFrame:
+def _joined(found: DataFrame, *more: Column) -> DataFrame:
+    """Pieces are joined in chunks of the output first, so that a file's last step joins few long ones."""
     row = F.array_sort(F.collect_list(F.struct("out_start", "piece")))
-    joined = found.groupBy("file_id").agg(row.alias("rows"))
-    return joined.select("file_id", F.array_join(F.transform("rows", lambda r: r["piece"]), "").alias("seq"))
+    text = lambda rows: F.array_join(F.transform(rows, lambda r: r["piece"]), "")
+    part = found.groupBy("file_id", F.floor(F.col("out_start") / CHUNK).alias("part")).agg(text(row).alias("piece"), F.min("out_start").alias("out_start"), F.sum("len").alias("len"))
+    return part.groupBy("file_id").agg(text(row).alias("seq"), *more)
 
 
 def extract_range(tuples: DataFrame, reference: DataFrame, first: int, last: int) -> DataFrame:
     """(file_id, seq): residues first to last (from 1) of each file; only tuples that overlap are read."""
+    ranges = tuples.select("file_id").distinct().select("file_id", F.lit(first).cast("long").alias("first"), F.lit(last).cast("long").alias("last"))
     near = tuples.where((F.col("out_start") < last) & (F.col("out_start") + F.col("len") >= first))
-    low = F.greatest(F.lit(first) - F.col("out_start"), F.lit(1)).cast("int")
-    high = F.least(F.lit(last) - F.col("out_start"), F.col("len")).cast("int")
-    cut = pieces(near, reference).withColumn("piece", F.col("piece").substr(low, high - low + 1))
-    row = F.array_sort(F.collect_list(F.struct("out_start", "piece")))
-    return cut.groupBy("file_id").agg(F.array_join(F.transform(row, lambda r: r["piece"]), "").alias("seq"))
+    return extract_ranges(near, reference, ranges)
+
+
+def extract_ranges(tuples: DataFrame, reference: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(file_id, seq): of each file in ranges (file_id, first, last, from 1), the residues first to last.
+
+    Only what overlaps is cut out of the tuples, before their pieces are looked up.
+    """
+    near = tuples.join(ranges, "file_id").where((F.col("out_start") < F.col("last")) & (F.col("out_start") + F.col("len") >= F.col("first")))
+    skipped = F.greatest(F.col("first") - 1 - F.col("out_start"), F.lit(0))
+    until = F.least(F.col("last") - F.col("out_start"), F.col("len"))
+    cut = near.withColumn("skipped", skipped).withColumn("len", until - skipped)
+    cut = cut.withColumn("ref_pos", F.col("ref_pos") + F.col("skipped")).withColumn("out_start", F.col("out_start") + F.col("skipped"))
+    return decode(cut.where("len > 0").drop("first", "last", "skipped"), reference)

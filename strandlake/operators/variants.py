@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Residues in a row of a reference that single places are looked up in, and of one that slices are cut from.
+LOOKUP, SLICE = 1 << 10, 1 << 14
+
 
 def variant_class(info: Column, chrom: Column | None = None, ref: Column | None = None, alts: Column | None = None) -> Column:
     """SNP, INDEL or SV by the VT field of INFO, tried in this order; null if none.
@@ -26,16 +29,54 @@ def end_of(info: Column) -> Column:
     return F.regexp_extract(info, "(?:^|;)END=([^;]*)", 1).try_cast("bigint")
 
 
-def classified(variants: DataFrame, reference: DataFrame, partition: tuple[str, ...] = ("chrom",)) -> DataFrame:
+def _chunks(reference: DataFrame, size: int, more: int = 0) -> tuple[DataFrame, list[str]]:
+    """(chrom, chunk, bases) of a reference (chrom, ref_seq), and the columns that name a chromosome.
+
+    Chunks are size residues long and hold so many more of the next one.
+
+    A reference without chrom is one chromosome, whatever variants call it.
+    """
+    keys = [c for c in ("chrom",) if c in reference.columns]
+    cut = F.transform(
+        F.sequence(F.lit(0), F.floor((F.length("ref_seq") - 1) / size).cast("int")),
+        lambda k: F.struct(k.cast("long").alias("chunk"), F.substring("ref_seq", k * size + 1, size + more).alias("bases")),
+    )
+    return reference.where(F.length("ref_seq") > 0).select(*keys, F.explode(cut).alias("c")).select(*keys, "c.*"), keys
+
+
+def reference_base(rows: DataFrame, reference: DataFrame, name: str = "base", length: int = 1) -> DataFrame:
+    """rows (chrom, pos) with the reference's residues from there on; empty beyond it. Joined by chromosome and chunk."""
+    cut, keys = _chunks(reference, LOOKUP, length - 1)
+    at = rows.withColumn("chunk", F.floor((F.col("pos") - 1) / LOOKUP))
+    joined = at.join(cut, [*keys, "chunk"], "left")
+    base = F.col("bases").substr((F.col("pos") - F.col("chunk") * LOOKUP).cast("int"), F.lit(length))
+    return joined.withColumn(name, F.coalesce(base, F.lit(""))).select(*rows.columns, name)
+
+
+def reference_slices(rows: DataFrame, reference: DataFrame, name: str = "piece") -> DataFrame:
+    """rows (chrom, from_, to_) with the residues from_ to to_ - 1, in pieces with their part number.
+
+    A slice is cut at chunk borders and joined by chromosome and chunk, so no whole chromosome is sent to a task.
+    """
+    cut, keys = _chunks(reference, SLICE)
+    spread = rows.withColumn("chunk", F.explode(F.sequence(F.floor((F.col("from_") - 1) / SLICE), F.floor((F.col("to_") - 2) / SLICE))))
+    low = F.greatest(F.col("from_") - 1, F.col("chunk") * SLICE)
+    high = F.least(F.col("to_") - 1, (F.col("chunk") + 1) * SLICE)
+    text = F.col("bases").substr((low - F.col("chunk") * SLICE + 1).cast("int"), (high - low).cast("int"))
+    return spread.join(cut, [*keys, "chunk"]).withColumn(name, text).drop("bases")
+
+
+def classified(variants: DataFrame, reference: DataFrame, partition: tuple[str, ...] = ("chrom",), haploid: bool = False) -> DataFrame:
     """variants with class, valid, reason, del_len and warned.
 
-    variants: chrom, pos, line_no, ref, alts, filter, info. reference: one row (ref_seq) of the chromosome.
-    A second record at a position can't be an SNP. A filter other than PASS or . is a warning only.
+    variants: chrom, pos, line_no, ref, alts, filter, info. reference: rows (chrom, ref_seq), or one row (ref_seq) for
+    all. A second record at a position can't be an SNP. A filter other than PASS or . is a warning only. With haploid,
+    single-letter records of chromosome Y are SNPs whatever INFO says.
     """
     # by position, so a chromosome's records aren't ordered in one task
     order = Window.partitionBy(*partition, "pos").orderBy("line_no")
-    rows = variants.crossJoin(F.broadcast(reference)).withColumn("class", variant_class(F.col("info")))
-    rows = rows.withColumn("base", F.col("ref_seq").substr(F.col("pos").cast("int"), F.lit(1))).drop("ref_seq")
+    y_rule = (F.col("chrom"), F.col("ref"), F.col("alts")) if haploid else ()
+    rows = reference_base(variants.withColumn("class", variant_class(F.col("info"), *y_rule)), reference)
     rows = rows.withColumn("repeated", F.row_number().over(order) > 1)
     rows = rows.withColumn("end", end_of(F.col("info")))
     first = F.substring("ref", 1, 1)
@@ -78,6 +119,11 @@ def allele_text(ref: Column, alts: Column, number: Column) -> Column:
     return F.when(number > 0, F.get(alts, number - 1)).otherwise(ref)
 
 
+def _keys(rows: DataFrame) -> list[str]:
+    """The columns that name a haplotype's chromosome."""
+    return [c for c in ("sample", "chrom", "hap") if c in rows.columns]
+
+
 def events(variants: DataFrame, genotypes: DataFrame) -> DataFrame:
     """What each haplotype's valid, non-reference records do: letter, inserted text and deleted length.
 
@@ -89,7 +135,7 @@ def events(variants: DataFrame, genotypes: DataFrame) -> DataFrame:
     tail = F.substring(chosen, 2, 1_000_000_000)
     insert = F.when((F.col("class") == "INDEL") & (F.length("ref") == 1), tail).when((F.col("class") == "SV") & (chosen != "<DEL>"), tail).otherwise("")
     return called.where("allele <= size(alts)").select(
-        "sample", "hap", "pos", "line_no", F.when(F.col("class") == "SNP", chosen).alias("letter"), insert.alias("insert"), "del_len"
+        "sample", "chrom", "hap", "pos", "line_no", F.when(F.col("class") == "SNP", chosen).alias("letter"), insert.alias("insert"), "del_len"
     )
 
 
@@ -98,16 +144,18 @@ def omitted_bases(variants: DataFrame, haplotypes: DataFrame) -> DataFrame:
 
     For the strict reading, in which a record that is left out takes its reference base along.
     """
-    lost = variants.where("not valid and not repeated").select("pos", "line_no")
-    return lost.crossJoin(F.broadcast(haplotypes.select("sample", "hap"))).select(
-        "sample", "hap", "pos", "line_no", F.lit("").alias("letter"), F.lit("").alias("insert"), F.lit(0).cast("long").alias("del_len")
+    lost = variants.where("not valid and not repeated").select("chrom", "pos", "line_no")
+    owners = haplotypes.select(*_keys(haplotypes))
+    joined = lost.join(F.broadcast(owners), "chrom") if "chrom" in owners.columns else lost.crossJoin(F.broadcast(owners))
+    return joined.select(
+        "sample", "chrom", "hap", "pos", "line_no", F.lit("").alias("letter"), F.lit("").alias("insert"), F.lit(0).cast("long").alias("del_len")
     )
 
 
 def deletion_cover(found: DataFrame) -> DataFrame:
     """events with covered: the last base deleted by records at earlier positions, and up to and with this one."""
-    order = Window.partitionBy("sample", "hap").orderBy("pos", "line_no")
-    earlier = Window.partitionBy("sample", "hap").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*_keys(found)).orderBy("pos", "line_no")
+    earlier = Window.partitionBy(*_keys(found)).orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
     reach = F.when(F.col("del_len") > 0, F.col("pos") + F.col("del_len"))
     rows = found.withColumn("covered_before", F.coalesce(F.max(reach).over(earlier), F.lit(0)))
     return rows.withColumn("covered", F.coalesce(F.max(reach).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
@@ -115,33 +163,62 @@ def deletion_cover(found: DataFrame) -> DataFrame:
 
 def suppressed_inserts(found: DataFrame) -> DataFrame:
     """events with emitted: of a second insertion at a position, only what goes beyond the longest before it."""
-    same = Window.partitionBy("sample", "hap", "pos").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy(*_keys(found), "pos").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     longest = F.coalesce(F.max(F.length("insert")).over(same), F.lit(0))
     return found.withColumn("emitted", F.col("insert").substr(longest + 1, F.length("insert")))
 
 
 def consensus(found: DataFrame, haplotypes: DataFrame, reference: DataFrame) -> DataFrame:
-    """(sample, hap, seq): the reference with each haplotype's events; haplotypes without events get the reference.
+    """(sample, chrom, hap, seq): the reference with each haplotype's events; those without events get the reference.
 
-    haplotypes: sample, hap. reference: one row (ref_seq). Deleted bases vanish, an SNP on a deleted base too;
-    insertions follow their base even if it is deleted.
+    haplotypes: sample, hap; with chrom as well if reference has it (chrom, ref_seq). Without, reference is one row
+    (ref_seq) and events of any chrom count. Deleted bases vanish, an SNP on a deleted base too; insertions follow their
+    base even if it is deleted.
     """
-    start = haplotypes.select(
-        "sample", "hap", F.lit(0).cast("long").alias("pos"), F.lit(-1).cast("long").alias("line_no"), F.lit(None).cast("string").alias("letter"),
+    sizes = reference.withColumn("size", F.length("ref_seq").cast("long")).drop("ref_seq")
+    by = "chrom" in reference.columns
+    owners = haplotypes.select(*(c for c in _keys(haplotypes) if by or c != "chrom"))
+    # a row for each chromosome
+    owners = owners.join(F.broadcast(sizes), "chrom") if by else owners.crossJoin(F.broadcast(sizes))
+    keys = _keys(owners)
+    start = owners.select(
+        *keys, "size", F.lit(0).cast("long").alias("pos"), F.lit(-1).cast("long").alias("line_no"), F.lit(None).cast("string").alias("letter"),
         F.lit("").alias("insert"), F.lit(0).cast("long").alias("del_len"),
     )
-    rows = suppressed_inserts(deletion_cover(found.select(*start.columns).unionByName(start)))
-    order = Window.partitionBy("sample", "hap").orderBy("pos", "line_no")
+    own = found.select(*keys, F.lit(None).cast("long").alias("size"), "pos", "line_no", "letter", "insert", "del_len")
+    rows = suppressed_inserts(deletion_cover(own.unionByName(start)))
+    order = Window.partitionBy(*keys).orderBy("pos", "line_no")
+    rows = rows.withColumn("size", F.max("size").over(Window.partitionBy(*keys))).where("size is not null")
     rows = rows.withColumn("next_pos", F.lead("pos").over(order)).withColumn("last_pos", F.lag("pos").over(order))
-    joined = rows.crossJoin(F.broadcast(reference))
-    opens = (F.col("pos") > 0) & (F.col("last_pos") != F.col("pos")) & (F.col("pos") > F.col("covered_before"))
-    base = F.when(opens, F.coalesce("letter", F.col("ref_seq").substr(F.col("pos").cast("int"), F.lit(1)))).otherwise("")
+    opens = (F.col("pos") > 0) & (F.col("last_pos") != F.col("pos")) & (F.col("pos") > F.col("covered_before")) & (F.col("pos") <= F.col("size"))
     first = F.greatest("pos", "covered") + 1
-    until = F.coalesce("next_pos", F.length("ref_seq").cast("long") + 1)
-    tail = F.when((until > F.col("pos")) & (until > first), F.col("ref_seq").substr(first.cast("int"), (until - first).cast("int"))).otherwise("")
-    pieces = joined.select("sample", "hap", "pos", "line_no", F.concat(base, "emitted", tail).alias("piece"))
-    listed = F.array_sort(F.collect_list(F.struct("pos", "line_no", "piece")))
-    return pieces.groupBy("sample", "hap").agg(F.array_join(F.transform(listed, lambda r: r["piece"]), "").alias("seq"))
+    until = F.least(F.coalesce("next_pos", F.col("size") + 1), F.col("size") + 1)
+    slot = lambda n, text, low, high: F.struct(F.lit(n).alias("slot"), text.alias("text"), low.alias("from_"), high.alias("to_"))
+    none, no_text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    # a base of the reference, text of the records, and the reference up to the next event
+    base = F.when(opens & F.col("letter").isNull(), slot(0, no_text, F.col("pos"), F.col("pos") + 1))
+    lead = F.concat(F.when(opens, F.coalesce("letter", F.lit(""))).otherwise(""), "emitted")
+    text = F.when(lead != "", slot(1, lead, none, none))
+    tail = F.when((until > F.col("pos")) & (until > first), slot(2, no_text, first, until))
+    parts = rows.select(*keys, "pos", "line_no", F.explode(F.array_compact(F.array(base, text, tail))).alias("p")).select(*keys, "pos", "line_no", "p.*")
+    slices = reference_slices(parts.where("text is null").drop("text"), reference, "text")
+    pieces = slices.select(*keys, "pos", "line_no", "slot", "chunk", "text").unionByName(
+        parts.where("text is not null").select(*keys, "pos", "line_no", "slot", F.lit(0).cast("long").alias("chunk"), "text")
+    )
+    listed = F.array_sort(F.collect_list(F.struct("pos", "line_no", "slot", "chunk", "text")))
+    made = pieces.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda r: r["text"]), "").alias("seq"))
+    return owners.select(*keys).distinct().join(made, keys, "left").withColumn("seq", F.coalesce("seq", F.lit("")))
+
+
+def cut_regions(regions: DataFrame, reference: DataFrame, key: str) -> DataFrame:
+    """(key, seq) of regions (key, start, end, and chrom if reference has it): residues start to end, from 1 and inclusive."""
+    sizes = reference.withColumn("size", F.length("ref_seq").cast("long")).drop("ref_seq")
+    sized = regions.join(F.broadcast(sizes), "chrom") if "chrom" in reference.columns else regions.crossJoin(F.broadcast(sizes))
+    sized = sized.withColumn("from_", F.greatest(F.col("start"), F.lit(1)).cast("long")).withColumn("to_", F.least(F.col("end") + 1, F.col("size") + 1).cast("long"))
+    pieces = reference_slices(sized.where("to_ > from_"), reference)
+    listed = F.array_sort(F.collect_list(F.struct("chunk", "piece")))
+    made = pieces.groupBy(key).agg(F.array_join(F.transform(listed, lambda r: r["piece"]), "").alias("seq"))
+    return regions.select(key).join(made, key, "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 
 
 # Bounds of the pseudo-autosomal regions of chromosome X.

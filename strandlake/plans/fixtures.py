@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..durable import staged
 from ..functions.residues import letters
+from ..operators import variants as ops
 from ..session import table
+from ..sources.archive import numbered
 
 # ------------------------------------------------------------------ sequences
 
@@ -45,14 +48,14 @@ TUPLES = """tuples as (
     case when l_linenumber % 3 = 0 or l_partkey % 17 = 0 then null else l_partkey end ref_pos,
     case when l_linenumber % 3 = 0 then 1 else l_suppkey + l_partkey * 13 % 700 + 1 end len,
     case when l_linenumber % 3 = 0 then substr('ACGTN', cast(l_partkey % 5 + 1 as int), 1) end lit,
-    concat(l_returnflag, l_linestatus, cast(l_partkey % 3 as varchar)) sig
-  from lineitem where l_orderkey % 4 = 0)"""
+    concat(l_returnflag, l_linestatus, cast(l_partkey % 97 as varchar)) sig
+  from lineitem)"""
 
 
 def tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as tuples of 20 files."""
     order = Window.partitionBy("file_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").withColumn("file_id", F.expr("l_suppkey % 20"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("file_id", F.expr("l_suppkey % 20"))
     rows = rows.withColumn("tuple_no", (F.row_number().over(order) - 1).cast("long"))
     literal, run = F.expr("l_linenumber % 3 = 0"), F.expr("l_partkey % 17 = 0")
     return rows.select(
@@ -61,24 +64,33 @@ def tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~literal & ~run, F.col("l_partkey")).alias("ref_pos"),
         F.when(literal, 1).otherwise(F.expr("l_suppkey + l_partkey * 13 % 700 + 1")).alias("len"),
         F.when(literal, F.expr("substr('ACGTN', cast(l_partkey % 5 + 1 as int), 1)")).alias("lit"),
-        F.concat("l_returnflag", "l_linestatus", F.expr("cast(l_partkey % 3 as string)")).alias("sig"),
+        F.concat("l_returnflag", "l_linestatus", F.expr("cast(l_partkey % 97 as string)")).alias("sig"),
     )
 
 
-FILES = "files as (select ord, ord file_id, concat('f', cast(ord as varchar)) filename from (select unnest(range(0, 20)) ord))"
+FILES = """files as (select row_number() over (order by file_id) - 1 ord, file_id, concat('f', cast(file_id as varchar)) filename
+  from (select distinct file_id from tuples))"""
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(20).select(F.col("id").alias("ord"), F.col("id").alias("file_id"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("filename"))
+    """The files that the tuples belong to."""
+    found = tuples(spark, sf_dir).select("file_id").distinct()
+    return numbered(found.withColumn("filename", F.concat(F.lit("f"), F.col("file_id").cast("string"))), "file_id")
 
 
 # ------------------------------------------------------------------ variants
 
-VARIANTS = f"""{SEQS}, {REF},
-l as (select l_orderkey, l_partkey, l_suppkey, l_extendedprice, ref_seq s, l_suppkey % 5 cls,
-       1 + 20 * ((l_partkey * 7919 + l_orderkey * 31) % cast(floor((length(ref_seq) - 8) / 20) as bigint)) pos
-     from lineitem cross join ref where l_linenumber = 1 and l_orderkey % 100 = 0),
-variants as (select row_number() over (order by pos, l_orderkey, l_partkey, l_suppkey, l_extendedprice) line_no, '1' chrom, pos,
+#: A chromosome for each language: the sequence of its least doc_id.
+REFS = """refs as (select lang chrom, arg_min(seq, doc_id) ref_seq, row_number() over (order by lang) - 1 chrom_no
+  from (select doc_id, lang, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) seq from documents) group by lang)"""
+
+_NUMBER = ("chrom", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+
+VARIANTS = f"""{REFS},
+l as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, chrom, ref_seq s, l_suppkey % 5 cls, o_custkey,
+       1 + (l_partkey * 7919 + l_orderkey * 31 + l_linenumber * 17) % greatest(length(ref_seq) - 8, 1) pos
+     from lineitem join refs on chrom_no = l_linenumber % (select count(*) from refs) join orders on o_orderkey = l_orderkey),
+variants as (select row_number() over (order by pos, {", ".join(_NUMBER)}) line_no, chrom, pos, o_custkey,
        case when l_orderkey % 1100 = 0 then '0' when cls = 2 then substr(s, pos, 3) else substr(s, pos, 1) end as ref,
        case cls when 0 then case when substr(s, pos, 1) = 'A' then 'C' else 'A' end
                 when 1 then concat(substr(s, pos, 1), 'GT') when 2 then substr(s, pos, 1)
@@ -89,19 +101,29 @@ variants as (select row_number() over (order by pos, l_orderkey, l_partkey, l_su
      from l)"""
 
 
+def chromosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chrom, ref_seq): a row for each language."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("chrom"), letters(F.col("text")).alias("seq"))
+    return found.groupBy("chrom").agg(F.min_by("seq", "doc_id").alias("ref_seq"))
+
+
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as variants of the reference sequence."""
-    s = F.col("s")
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 100 = 0")
-    rows = rows.crossJoin(F.broadcast(reference(spark, sf_dir).withColumnRenamed("seq", "s"))).withColumn("cls", F.expr("l_suppkey % 5"))
-    rows = rows.withColumn("pos", F.expr("1 + 20 * ((l_partkey * 7919 + l_orderkey * 31) % cast(floor((length(s) - 8) / 20) as bigint))"))
-    at = F.col("pos").cast("int")
-    base = s.substr(at, F.lit(1))
-    # the fixture is one small chromosome: numbering its records is the one place that orders them all
-    number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("pos", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"))
+    """Order lines as variants of the chromosomes, each called in the customer of its order."""
+    refs = chromosomes(spark, sf_dir)
+    # as many rows as chromosomes
+    sizes = refs.select("chrom", F.length("ref_seq").alias("size")).withColumns(
+        {"chrom_no": F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("chrom")) - 1, "chroms": F.count("*").over(Window.partitionBy(F.lit(1)))}
+    )
+    rows = table(spark, sf_dir, "lineitem").join(F.broadcast(sizes), F.expr("chrom_no = l_linenumber % chroms"))
+    rows = rows.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = rows.withColumn("cls", F.expr("l_suppkey % 5"))
+    rows = rows.withColumn("pos", F.expr("1 + (l_partkey * 7919 + l_orderkey * 31 + l_linenumber * 17) % greatest(size - 8, 1)"))
+    rows = staged(ops.reference_base(rows, refs, "bases", 3), "lines")
+    base = F.substring("bases", 1, 1)
+    rows = numbered(rows, "pos", "line", _NUMBER)
     return rows.select(
-        number.cast("long").alias("line_no"), F.lit("1").alias("chrom"), "pos",
-        F.when(F.expr("l_orderkey % 1100 = 0"), "0").when(F.col("cls") == 2, s.substr(at, F.lit(3))).otherwise(base).alias("ref"),
+        (F.col("line") + 1).alias("line_no"), "chrom", "pos", "o_custkey",
+        F.when(F.expr("l_orderkey % 1100 = 0"), "0").when(F.col("cls") == 2, F.col("bases")).otherwise(base).alias("ref"),
         F.when(F.col("cls") == 0, F.when(base == "A", "C").otherwise("A")).when(F.col("cls") == 1, F.concat(base, F.lit("GT")))
         .when(F.col("cls") == 2, base).when(F.col("cls") == 3, "<DEL>").otherwise("T,G").alias("alt"),
         F.when(F.expr("l_orderkey % 700 = 0"), "q10").otherwise("PASS").alias("filter"),
@@ -113,9 +135,9 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLASSED = VARIANTS + """,
 c0 as (select v.*, string_split(alt, ',') alts, substr(ref_seq, cast(pos as int), 1) base,
      case when contains(info, 'VT=SNP') then 'SNP' when contains(info, 'VT=INDEL') then 'INDEL' when contains(info, 'VT=SV') then 'SV' end as class,
-     coalesce(lag(pos) over (order by pos, line_no) = pos, false) repeated,
+     coalesce(lag(pos) over (partition by chrom order by pos, line_no) = pos, false) repeated,
      try_cast(regexp_extract(info, '(?:^|;)END=([^;]*)', 1) as bigint) ends
-   from variants v cross join ref),
+   from variants v join refs using (chrom)),
 classed as (select *, case
      when class is null then 'class'
      when class = 'SNP' then case when repeated then 'repeated' when length(ref) <> 1 then 'long ref' when ref <> base then 'ref mismatch'
@@ -127,19 +149,19 @@ classed as (select *, case
    from c0)"""
 
 GENOTYPES = CLASSED + """,
-samples as (select c_name sample, c_custkey, c_custkey % 2 = 1 is_male from customer where c_custkey < 8),
+samples as (select c_name sample, c_custkey, c_custkey % 2 = 1 is_male from customer),
 genotypes as (
-  select line_no, sample, 0 hap, (line_no + c_custkey) % 3 number, pos, alts, ref from classed cross join samples
+  select line_no, sample, chrom, 0 hap, (line_no + c_custkey) % 3 number, pos, alts, ref from classed join samples on c_custkey = o_custkey
   union all
-  select line_no, sample, 1, (line_no + 2 * c_custkey + 1) % 2, pos, alts, ref from classed cross join samples)"""
+  select line_no, sample, chrom, 1, (line_no + 2 * c_custkey + 1) % 2, pos, alts, ref from classed join samples on c_custkey = o_custkey)"""
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey < 8").select(F.col("c_name").alias("sample"), "c_custkey", F.expr("c_custkey % 2 = 1").alias("is_male"))
+    return table(spark, sf_dir, "customer").select(F.col("c_name").alias("sample"), "c_custkey", F.expr("c_custkey % 2 = 1").alias("is_male"))
 
 
-def genotype_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(line_no, sample, gt): phased genotype text of every variant and sample."""
-    rows = variants(spark, sf_dir).select("line_no").crossJoin(F.broadcast(samples(spark, sf_dir)))
+def genotype_text(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    """(line_no, sample, pos, ref, alts, gt): phased genotype text of every variant in its sample."""
+    rows = (found or variants(spark, sf_dir)).select("line_no", "pos", "ref", "alts", F.col("o_custkey").alias("c_custkey"))
     gt = F.expr("concat(cast((line_no + c_custkey) % 3 as string), '|', cast((line_no + 2 * c_custkey + 1) % 2 as string))")
-    return rows.select("line_no", "sample", gt.alias("gt"))
+    return rows.join(samples(spark, sf_dir), "c_custkey").select("line_no", "sample", "pos", "ref", "alts", gt.alias("gt"))

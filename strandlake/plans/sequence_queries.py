@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..durable import staged
 from ..functions import buckets, residues
 from ..operators import dedup, matching, parsing, selection
 from ..session import table
@@ -24,7 +25,7 @@ K, RUN, LEVEL, LONG = residues.MIN_MATCH, 2, 7, 40
       select page_id, regexp_extract_all(html, '[>@]([^\r\n]*)(\r\n|\n|\r|\z)([^>@]*)', 1) n,
         regexp_extract_all(html, '[>@]([^\r\n]*)(\r\n|\n|\r|\z)([^>@]*)', 3) b from pages),
     u as (select page_id, unnest(range(1, len(n) + 1)) k, n, b from r),
-    x as (select page_id, k - 1 seq_no, n[k] seq_name, regexp_replace(regexp_extract(b[k], '\A([^\r\n]*)', 1), '[\x00-\x40]+', '', 'g') f,
+    x as (select page_id, k - 1 seq_no, n[k] seq_name, regexp_extract(b[k], '\A([^\r\n]*)', 1) f,
         regexp_replace(b[k], '[\x00-\x40]+', '', 'g') seq from u)
     select page_id, seq_no, seq_name, length(f) line_len, seq, length(seq) size,
       coalesce(sum(length(seq)) over (partition by page_id order by seq_no rows between unbounded preceding and 1 preceding), 0)::bigint start_pos
@@ -91,6 +92,42 @@ def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("doc_id", F.substring("run", 1, 1).alias("ch"), F.length("run").cast("long").alias("len")).agg(F.count("*").alias("n"))
 
 
+@register(
+    "reference_symbols",
+    """with g as (select unnest(list_append(regexp_extract_all(regexp_replace(text, '[^A-Za-z]', '', 'g'), '(N{2,}|n{2,}|.{1,3})', 1), '')) g from documents),
+    x as (select g, instr('ACGTacgtNn', substr(g, 1, 1)) - 1 a, instr('ACGTacgtNn', substr(g, 2, 1)) - 1 b, instr('ACGTacgtNn', substr(g, 3, 1)) - 1 c from g)
+    select case when g = '' then 1003 when regexp_full_match(g, 'N{2,}') then 1000 when regexp_full_match(g, 'n{2,}') then 1001
+      when length(g) = 3 and a >= 0 and b >= 0 and c >= 0 then a * 100 + b * 10 + c else 1002 end code, count(*) n, sum(length(g))::bigint residues from x group by 1""",
+)
+def reference_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "documents").select(F.explode(residues.symbols(F.regexp_replace("text", "[^A-Za-z]", ""), RUN)).alias("g"))
+    return raw.groupBy("g").count().groupBy(residues.symbol_code(F.col("g"), RUN).cast("long").alias("code")).agg(
+        F.sum("count").alias("n"), F.sum(F.col("count") * F.length("g")).alias("residues")
+    )
+
+
+@register(
+    "decode_layout",
+    r"""with r as (
+      select page_id, right(html, 1) in (chr(10), chr(13)) closed, regexp_extract(html, '[>@]([^\r\n]*)(\r\n|\n|\r|\z)([^>@]*)', 2) e,
+        regexp_extract_all(html, '[>@]([^\r\n]*)(\r\n|\n|\r|\z)([^>@]*)', 1) n, regexp_extract_all(html, '[>@]([^\r\n]*)(\r\n|\n|\r|\z)([^>@]*)', 3) b from pages),
+    u as (select page_id, closed, case e when chr(13) || chr(10) then e when chr(13) then e else chr(10) end e, unnest(range(1, len(n) + 1)) k, len(n) many, n, b from r),
+    x as (select page_id, closed, e, k, many, n[k] seq_name, length(regexp_extract(b[k], '\A([^\r\n]*)', 1)) w, regexp_replace(b[k], '[\x00-\x40]+', '', 'g') seq from u),
+    y as (select *, greatest(max(w) over (partition by page_id), 1) width from x),
+    z as (select page_id, k, concat('>', seq_name, case when seq = '' then '' else concat(e, replace(array_to_string(
+        list_transform(range(1, length(seq) + 1, width), lambda i: substr(seq, i, width)), chr(10)), chr(10), e)) end, case when k < many or closed then e else '' end) t from y)
+    select page_id, count(*) n_seqs, md5(string_agg(t, '' order by k)) text_md5 from z group by 1""",
+)
+def decode_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("content"), *fasta.layout(F.col("html")))
+    found = fasta.records(pages, "page_id")
+    files = fasta.file_stats(found, "page_id").join(pages.drop("content"), "page_id")
+    text = fasta.laid_out(found.drop("line_len").join(files, "page_id"), "page_id")
+    row = F.array_sort(F.collect_list(F.struct("seq_no", "text")))
+    whole = F.array_join(F.transform(row, lambda r: r["text"]), "")
+    return text.groupBy("page_id").agg(F.count("*").alias("n_seqs"), F.md5(whole.cast("binary")).alias("text_md5"))
+
+
 @register(
     "line_wrap",
     f"""with {fx.SEQS} select doc_id, md5(concat('>', cast(doc_id as varchar), chr(10),
@@ -164,8 +201,8 @@ def _encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @register("greedy_parse", f"with {fx.SEQS} select doc_id file_id, length(seq)::bigint n_residues, md5(seq) seq_md5 from seqs where seq <> ''")
 def greedy_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     tuples, ref = _encoded(spark, sf_dir)
-    sizes = tuples.groupBy("file_id").agg(F.sum("len").alias("n_residues"))
-    return sizes.join(parsing.decode(tuples, ref), "file_id").select("file_id", "n_residues", F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+    decoded = parsing.decode(tuples, ref, F.sum("len").alias("n_residues"))
+    return decoded.select("file_id", "n_residues", F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
 
 
 @register("tuples_tile", f"with {fx.SEQS} select doc_id file_id, length(seq)::bigint covered, true as tiled from seqs where seq <> ''")
@@ -202,13 +239,15 @@ sized as (select *, case when kind = 'LIT' then 1 else 7 end bytes from tuples),
 placed as (select *, sum(bytes) over (partition by file_id order by tuple_no) - bytes as off from sized),
 framed as (select file_id, tuple_no, bytes,
     string_agg(sig, '|') over (partition by file_id order by off range between current row and 10 following) as win,
+    count(*) over (partition by file_id order by off range between current row and 10 following) size,
     sum(bytes) over (partition by file_id order by off range between current row and 10 following) width from placed),
-wins as (select file_id, tuple_no, win from framed where width >= 11),
-hits as (select a.file_id, a.tuple_no, b.file_id src_file, b.tuple_no src_tuple from wins a join wins b on a.win = b.win and b.file_id < a.file_id
+wins as (select file_id, tuple_no, win, size from framed where width >= 11),
+hits as (select a.file_id, a.tuple_no, b.file_id src_file, b.tuple_no src_tuple, a.size from wins a join wins b on a.win = b.win and b.file_id < a.file_id
          where b.file_id in (select file_id from kept)),
 isl as (select *, tuple_no - row_number() over (partition by file_id, src_file, src_tuple - tuple_no order by tuple_no) island from hits),
-segs as (select file_id, src_file, min(tuple_no) tuple_no, min(src_tuple) src_tuple, count(*) n_windows from isl group by file_id, src_file, src_tuple - tuple_no, island),
-best as (select file_id, tuple_no, src_file, src_tuple, n_windows from (
+segs as (select file_id, src_file, min(tuple_no) tuple_no, min(src_tuple) src_tuple, count(*) n_windows,
+    count(*) + arg_max(size, tuple_no) - 1 n_tuples from isl group by file_id, src_file, src_tuple - tuple_no, island),
+best as (select file_id, tuple_no, src_file, src_tuple, n_windows, n_tuples from (
     select *, row_number() over (partition by file_id, tuple_no order by n_windows desc, src_file, src_tuple) rn from segs) where rn = 1)"""
 
 
@@ -241,6 +280,67 @@ def segment_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file_id", "tuple_no", "src_file", "src_tuple", "kind", "sig")
 
 
+WALK = f"""{WINDOWS},
+starts as (select file_id, tuple_no + k pos, src_file, src_tuple + k src_tuple, n_tuples - k n_tuples from (select *, unnest(range(0, n_windows)) k from segs)),
+best_at as (select file_id, pos, src_file, src_tuple, n_tuples from (
+    select *, row_number() over (partition by file_id, pos order by n_tuples desc, src_file, src_tuple) rn from starts) where rn = 1),
+nxt as (select t.file_id, t.tuple_no, min(b.pos) over (partition by t.file_id order by t.tuple_no rows between current row and unbounded following) pos
+  from tuples t left join best_at b on b.file_id = t.file_id and b.pos = t.tuple_no),
+succ as (select b.*, n.pos next_pos from best_at b left join nxt n on n.file_id = b.file_id and n.tuple_no = b.pos + b.n_tuples),
+walk as (
+  select s.* from nxt n join succ s on s.file_id = n.file_id and s.pos = n.pos where n.tuple_no = 0
+  union all
+  select s.* from walk w join succ s on s.file_id = w.file_id and s.pos = w.next_pos)"""
+
+
+def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.chosen_segments(_segments(spark, sf_dir))
+
+
+@register(
+    "segment_parse",
+    f"""with recursive {WALK} select w.file_id, w.pos tuple_no, w.src_file, w.src_tuple, w.n_tuples,
+      case when n_tuples - size < 16 then 0 when n_tuples - size < 48 then 1 when n_tuples - size < 176 then 2 when n_tuples - size < 432 then 3 else 4 end bucket
+    from walk w join wins v on v.file_id = w.file_id and v.tuple_no = w.pos""",
+)
+def segment_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the length is coded without the first window, which any segment has
+    first = dedup.windows(fx.tuples(spark, sf_dir)).select("file_id", "tuple_no", "size")
+    rows = _chosen(spark, sf_dir).join(first, ["file_id", "tuple_no"])
+    return rows.select("file_id", "tuple_no", "src_file", "src_tuple", "n_tuples", buckets.segment_bucket(F.col("n_tuples") - F.col("size")).alias("bucket"))
+
+
+@register("segment_restore", f"with {fx.TUPLES} select file_id, tuple_no, kind, ref_pos, len, lit, sum(len) over (partition by file_id order by tuple_no)::bigint - len out_start from tuples")
+def segment_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.tuples(spark, sf_dir).select("file_id", "tuple_no", "kind", "ref_pos", "len", "lit", F.lit(0).cast("long").alias("out_start"), "sig")
+    hits = dedup.window_hits(dedup.windows(_exact(rows)), dedup.retained(fx.files(spark, sf_dir)).where("retained"))
+    chosen = staged(dedup.chosen_segments(dedup.segment_matches(hits)), "segments")
+    return dedup.restored(dedup.uncovered(rows.drop("sig"), chosen), chosen, 20)
+
+
+def _exact(rows: DataFrame) -> DataFrame:
+    """Tuples with all that tells them apart as their signature."""
+    return rows.withColumn("sig", F.concat_ws(":", "kind", "ref_pos", "len", "lit"))
+
+
+@register(
+    "flag_contexts",
+    f"""with recursive {WALK},
+    inside as (select file_id, pos + k tuple_no, k from (select *, unnest(range(0, n_tuples)) k from walk)),
+    f as (select t.file_id, t.tuple_no, case when k = 0 then 0 when kind = 'LIT' then 1 else 2 end flag
+      from tuples t left join inside i using (file_id, tuple_no) where k is null or k = 0),
+    c as (select flag, lag(flag, 2, 0) over w % 3 * 3 + lag(flag, 1, 0) over w context from f window w as (partition by file_id order by tuple_no))
+    select context, flag, count(*) n from c group by 1, 2""",
+)
+def flag_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuples, chosen = fx.tuples(spark, sf_dir), _chosen(spark, sf_dir)
+    plain = dedup.uncovered(tuples, chosen).select("file_id", "tuple_no", F.when(F.col("kind") == "LIT", 1).otherwise(2).alias("flag"))
+    flags = plain.unionByName(chosen.select("file_id", "tuple_no", F.lit(0).alias("flag")))
+    order = Window.partitionBy("file_id").orderBy("tuple_no")
+    context = buckets.flag_context(F.lag("flag", 2, 0).over(order), F.lag("flag", 1, 0).over(order))
+    return flags.select(context.alias("context"), "flag").groupBy("context", "flag").agg(F.count("*").alias("n"))
+
+
 @register("retention", f"with {WINDOWS} select ord, filename, file_id in (select file_id from kept) retained from files")
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.retained(fx.files(spark, sf_dir), LEVEL).select("ord", "filename", "retained")

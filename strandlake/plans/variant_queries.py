@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..durable import staged
 from ..functions.residues import wrapped
 from ..operators import variants as ops
 from ..session import table
+from ..sources import vcf
 from . import fixtures as fx
 
 
@@ -16,33 +18,36 @@ def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.reference(spark, sf_dir).withColumnRenamed("seq", "ref_seq")
 
 
-def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.classified(fx.variants(spark, sf_dir), _reference(spark, sf_dir))
+def _classed(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    return ops.classified(found or fx.variants(spark, sf_dir), fx.chromosomes(spark, sf_dir))
 
 
-def _genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _genotypes(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     """(line_no, sample, hap, number, allele): decoded and range-checked."""
-    rows = fx.genotype_text(spark, sf_dir).join(fx.variants(spark, sf_dir).select("line_no", "pos", "ref", "alts"), "line_no")
+    rows = fx.genotype_text(spark, sf_dir, found)
     haps = F.explode(F.array(*(F.struct(F.lit(h).alias("hap"), ops.allele(F.col("gt"), h).alias("number")) for h in (0, 1)))).alias("h")
     rows = rows.select("line_no", "sample", "pos", "ref", "alts", haps).select("line_no", "sample", "pos", "ref", "alts", "h.hap", "h.number")
     return rows.withColumn("allele", ops.in_range(F.col("number"), F.col("alts")))
 
 
 EVENTS = fx.GENOTYPES + """,
-called as (select g.sample, g.hap, c.pos, c.line_no, case when g.number > len(c.alts) then 0 else g.number end allele, c.class, c.ref, c.alts, c.del_len
+called as (select g.sample, c.chrom, g.hap, c.pos, c.line_no, case when g.number > len(c.alts) then 0 else g.number end allele, c.class, c.ref, c.alts, c.del_len
   from genotypes g join classed c using (line_no) where c.reason is null),
-ev as (select sample, hap, pos, line_no, del_len, case when class = 'SNP' then alts[allele] end letter,
+ev as (select sample, chrom, hap, pos, line_no, del_len, case when class = 'SNP' then alts[allele] end letter,
     case when class = 'INDEL' and length(ref) = 1 then substr(alts[allele], 2)
          when class = 'SV' and alts[allele] <> '<DEL>' then substr(alts[allele], 2) else '' end as ins
   from called where allele > 0)"""
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.events(_classed(spark, sf_dir), _genotypes(spark, sf_dir).select("line_no", "sample", "hap", "allele"))
+    found = staged(fx.variants(spark, sf_dir), "variants")
+    return ops.events(_classed(spark, sf_dir, found), _genotypes(spark, sf_dir, found).select("line_no", "sample", "hap", "allele"))
 
 
 def _haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.samples(spark, sf_dir).select("sample", F.explode(F.array(F.lit(0), F.lit(1))).alias("hap"))
+    names = fx.chromosomes(spark, sf_dir).agg(F.collect_set("chrom").alias("chroms"))  # one row
+    owners = fx.samples(spark, sf_dir).crossJoin(F.broadcast(names)).select("sample", F.explode("chroms").alias("chrom"))
+    return owners.select("sample", "chrom", F.explode(F.array(F.lit(0), F.lit(1))).alias("hap"))
 
 
 @register(
@@ -97,7 +102,7 @@ def allele_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     "deletion_mask",
     f"""with {EVENTS} select e.sample, e.hap, e.pos, e.line_no, coalesce(max(p.pos + p.del_len), 0)::bigint covered_before,
       e.pos <= coalesce(max(p.pos + p.del_len), 0) masked
-    from ev e left join ev p on p.sample = e.sample and p.hap = e.hap and p.pos < e.pos and p.del_len > 0 group by 1, 2, 3, 4""",
+    from ev e left join ev p on p.sample = e.sample and p.chrom = e.chrom and p.hap = e.hap and p.pos < e.pos and p.del_len > 0 group by 1, 2, 3, 4""",
 )
 def deletion_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ops.deletion_cover(_events(spark, sf_dir))
@@ -107,7 +112,7 @@ def deletion_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "insertion_suppress",
     f"""with {EVENTS} select e.sample, e.hap, e.pos, e.line_no, e.ins inserted, substr(e.ins, coalesce(max(length(p.ins)), 0)::int + 1) emitted
-    from ev e left join ev p on p.sample = e.sample and p.hap = e.hap and p.pos = e.pos and p.line_no < e.line_no
+    from ev e left join ev p on p.sample = e.sample and p.chrom = e.chrom and p.hap = e.hap and p.pos = e.pos and p.line_no < e.line_no
     where e.ins <> '' group by 1, 2, 3, 4, 5""",
 )
 def insertion_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,32 +120,51 @@ def insertion_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sample", "hap", "pos", "line_no", F.col("insert").alias("inserted"), "emitted")
 
 
-HAPS = "haps as (select sample, hap from samples cross join (select unnest([0, 1]) hap))"
+HAPS = "haps as (select sample, chrom, hap, ref_seq from samples cross join refs cross join (select unnest([0, 1]) hap))"
 #: Base by base, as a check on slices: letter unless deleted, then inserted text.
-BASES = """snp as (select sample, hap, pos, min(letter) letter from ev where letter is not null group by 1, 2, 3),
-gone as (select distinct sample, hap, unnest(range(pos + 1, pos + del_len + 1)) q from ev where del_len > 0),
-ins as (select sample, hap, pos, string_agg(emitted, '' order by line_no) ins from (
-    select e.sample, e.hap, e.pos, e.line_no, substr(e.ins, coalesce(max(length(p.ins)), 0)::int + 1) emitted
-    from ev e left join ev p on p.sample = e.sample and p.hap = e.hap and p.pos = e.pos and p.line_no < e.line_no
-    group by 1, 2, 3, 4, e.ins) group by 1, 2, 3),
-bases as (select sample, hap, q, substr(ref_seq, q, 1) base from haps cross join (select ref_seq, unnest(range(1, length(ref_seq) + 1)) q from ref)),
-put as (select b.sample, b.hap, b.q, concat(case when g.q is null then coalesce(s.letter, b.base) else '' end, coalesce(i.ins, '')) piece
-  from bases b left join snp s on s.sample = b.sample and s.hap = b.hap and s.pos = b.q
-  left join gone g on g.sample = b.sample and g.hap = b.hap and g.q = b.q
-  left join ins i on i.sample = b.sample and i.hap = b.hap and i.pos = b.q)"""
-
-
-@register("consensus_full", f"with {EVENTS}, {HAPS}, {BASES} select sample, hap, string_agg(piece, '' order by q) seq from put group by 1, 2")
+BASES = """snp as (select sample, chrom, hap, pos, min(letter) letter from ev where letter is not null group by all),
+gone as (select distinct sample, chrom, hap, unnest(range(pos + 1, pos + del_len + 1)) q from ev where del_len > 0),
+ins as (select sample, chrom, hap, pos, string_agg(emitted, '' order by line_no) ins from (
+    select e.sample, e.chrom, e.hap, e.pos, e.line_no, substr(e.ins, coalesce(max(length(p.ins)), 0)::int + 1) emitted
+    from ev e left join ev p on p.sample = e.sample and p.chrom = e.chrom and p.hap = e.hap and p.pos = e.pos and p.line_no < e.line_no
+    group by e.sample, e.chrom, e.hap, e.pos, e.line_no, e.ins) group by 1, 2, 3, 4),
+edits as (select sample, chrom, hap, coalesce(s.pos, g.q, i.pos) q, s.letter, g.q is not null gone, i.ins
+  from snp s full join (select *, q pos from gone) g using (sample, chrom, hap, pos) full join ins i using (sample, chrom, hap, pos)),
+put as (select sample, chrom, hap, list_sort(list({q: q, piece: concat(case when gone then '' else coalesce(letter, substr(ref_seq, q, 1)) end, coalesce(ins, ''))})) edits
+  from edits join refs using (chrom) where q <= length(ref_seq) group by all),
+made as (select h.sample, h.chrom, h.hap, ref_seq, coalesce(edits, []) edits from haps h left join put p on p.sample = h.sample and p.chrom = h.chrom and p.hap = h.hap),
+joined as (select sample, chrom, hap, concat(
+    coalesce(array_to_string(list_transform(edits, lambda e, k: concat(
+      substr(ref_seq, case when k = 1 then 1 else edits[k - 1].q + 1 end, e.q - case when k = 1 then 1 else edits[k - 1].q + 1 end), e.piece)), ''), ''),
+    substr(ref_seq, coalesce(edits[-1].q, 0) + 1)) seq from made)"""
+
+
+def _digested(made: DataFrame) -> DataFrame:
+    return made.select("sample", "chrom", "hap", F.length("seq").cast("long").alias("n_bases"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+
+
+@register("consensus_full", f"with {EVENTS}, {HAPS}, {BASES} select sample, chrom, hap, length(seq)::bigint n_bases, md5(seq) seq_md5 from joined")
 def consensus_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.consensus(_events(spark, sf_dir), _haplotypes(spark, sf_dir), _reference(spark, sf_dir))
+    return _digested(ops.consensus(_events(spark, sf_dir), _haplotypes(spark, sf_dir), fx.chromosomes(spark, sf_dir)))
 
 
 SNPS = EVENTS.replace("from called where allele > 0)", "from called where allele > 0 and class = 'SNP')")
 
 
-@register("consensus_snp", f"with {SNPS}, {HAPS}, {BASES} select sample, hap, string_agg(piece, '' order by q) seq from put group by 1, 2")
+@register("consensus_snp", f"with {SNPS}, {HAPS}, {BASES} select sample, chrom, hap, length(seq)::bigint n_bases, md5(seq) seq_md5 from joined")
 def consensus_snp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.consensus(_events(spark, sf_dir).where("letter is not null"), _haplotypes(spark, sf_dir), _reference(spark, sf_dir))
+    found = _events(spark, sf_dir).where("letter is not null")
+    return _digested(ops.consensus(found, _haplotypes(spark, sf_dir), fx.chromosomes(spark, sf_dir)))
+
+
+@register(
+    "vcf_columns",
+    f"""with {fx.VARIANTS} select line_no, array_to_string(string_split(concat_ws(chr(9), chrom, pos, '.', ref, alt, '.', filter, info), chr(9))[1:5], chr(9)) as line
+    from variants""",
+)
+def vcf_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("."), "filter", "info")
+    return fx.variants(spark, sf_dir).select("line_no", vcf.column_prefix(line, 5).alias("line"))
 
 
 @register(
@@ -152,7 +176,8 @@ def consensus_snp(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def region_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", F.expr("p_partkey * 7 % 1500 + 1").alias("a"), F.expr("p_partkey * 7 % 1500 + 1 + p_size * 5").alias("b"))
-    rows = parts.crossJoin(F.broadcast(_reference(spark, sf_dir))).withColumn("s", ops.cut(F.col("ref_seq"), F.col("a"), F.col("b")))
+    cut = ops.cut_regions(parts.select("p_partkey", F.col("a").alias("start"), F.col("b").alias("end")), _reference(spark, sf_dir), "p_partkey")
+    rows = parts.join(cut.withColumnRenamed("seq", "s"), "p_partkey")
     header = F.concat(F.lit("ref "), F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string"))
     return rows.select("p_partkey", header.alias("header"), wrapped(F.col("s"), 70).alias("body"))
 

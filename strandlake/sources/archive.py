@@ -1,46 +1,87 @@
 """Archive of a collection: a folder of Parquet tables.
 
-files (catalog), residues (the reference, ord 0) and tuples (all others), the last partitioned by bucket of file so
-that selecting files prunes what is read.
+files (catalog and layout), sequences (records), residues (the reference, ord 0), segments (runs of tuples that repeat
+an earlier file's) and tuples (all others), the last partitioned by bucket of file so that selecting files prunes what
+is read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import dedup
+from ..operators.parsing import TUPLES
+
 BUCKETS = 64
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """rows with ord from 0 in the order of key, without sorting them in one task.
+def numbered(rows: DataFrame, key: str, number: str = "ord", then: tuple[str, ...] = ()) -> DataFrame:
+    """rows with a number from 0 in the order of key (a number), then of further columns, without sorting them in one task.
 
-    Rows are dealt into ranges of key; ranks inside a range are shifted by the sizes of the ranges before.
+    Rows are dealt into ranges of key whose borders are taken once, as literals, so counting and ranking see the same
+    ranges. Ranks inside a range are shifted by the sizes of the ranges before; rows equal in all of them get any order.
     """
-    spread = rows.repartitionByRange(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
-    part = spread.withColumn("_part", F.spark_partition_id())
-    sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    return part.withColumn("_rank", rank).join(F.broadcast(shifts), "_part").withColumn("ord", F.col("_shift") + F.col("_rank") - 1).drop("_part", "_rank", "_shift")
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    borders = rows.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)] or [0.5], 10_000).alias("b")).first().b
+    part, rank, shift = (free_name(n, [*rows.columns, number]) for n in ("part", "rank", "shift"))
+    # parts numbers at most, whatever the table
+    above = reduce(lambda a, b: a + b, [(F.col(key) > F.lit(b)).cast("int") for b in sorted(set(borders or []))], F.lit(0))
+    dealt = rows.withColumn(part, F.coalesce(above, F.lit(-1)))
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(shift))
+    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(part).orderBy(key, *then)))
+    return ranked.join(F.broadcast(shifts), part).select(*rows.columns, (F.col(shift) + F.col(rank) - 1).alias(number))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+#: Columns of the segments table: which tuples of a file repeat an earlier file's.
+SEGMENTS = "file_id long, tuple_no long, src_file long, src_tuple long, n_tuples long"
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(BUCKETS)))
+
+
+def write_streams(path: str, tuples: DataFrame, segments: DataFrame, batch: int | None = None) -> None:
+    """Tuples that no segment covers, and segments; those of a batch in a folder of its own, which a rerun replaces."""
+    inside = "" if batch is None else f"/batch={batch}"
+    mode = "errorifexists" if batch is None else "overwrite"
+    dealt = _bucketed(tuples).repartition("bucket").sortWithinPartitions("file_id", "tuple_no")
+    dealt.write.mode(mode).partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/tuples{inside}")
+    segments.write.mode(mode).option("compression", "zstd").parquet(f"{path}/segments{inside}")
 
 
-def write(path: str, files: DataFrame, reference: DataFrame, tuples: DataFrame, segments: DataFrame | None = None) -> None:
-    """segments, if given, list which tuples of a file repeat an earlier file's."""
+def write(path: str, files: DataFrame, sequences: DataFrame, reference: DataFrame, tuples: DataFrame, segments: DataFrame) -> None:
     files.write.parquet(f"{path}/files")
+    sequences.write.parquet(f"{path}/sequences")
     reference.write.parquet(f"{path}/residues")
-    bucketed = tuples.withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(BUCKETS)))
-    bucketed.repartition("bucket").sortWithinPartitions("file_id", "tuple_no").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/tuples")
-    if segments is not None:
-        segments.write.option("compression", "zstd").parquet(f"{path}/segments")
+    write_streams(path, tuples, segments)
 
 
 def read(spark: SparkSession, path: str, names: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(files, residues, tuples); with names, only of these files, and only their buckets are read."""
-    files, residues, tuples = (spark.read.parquet(f"{path}/{x}") for x in ("files", "residues", "tuples"))
+    """(files, residues, tuples); with names, only of these files. Tuples that segments cover are looked up in the
+    files they repeat, so these are read too; without segments only the buckets of the named files are."""
+    files, residues = (spark.read.parquet(f"{path}/{x}") for x in ("files", "residues"))
+    own = spark.read.schema(f"{TUPLES}, bucket int").parquet(f"{path}/tuples")
+    segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
+    depth = max(1, files.count())
+    wanted = None
     if names is not None:
         files = files.where(F.col("filename").isin(*dict.fromkeys(names)))
-        wanted = files.select("file_id", F.pmod(F.xxhash64("file_id"), F.lit(BUCKETS)).alias("bucket"))
-        tuples = tuples.join(F.broadcast(wanted), ["file_id", "bucket"], "left_semi")  # as many rows as names
-    return files, residues, tuples
+        wanted = files.select("file_id", F.pmod(F.xxhash64("file_id"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+    if segments.isEmpty():
+        if wanted is not None:
+            own = own.join(F.broadcast(wanted), ["file_id", "bucket"], "left_semi")  # as many rows as names
+        return files, residues, own.drop("bucket")
+    return files, residues, dedup.restored(own.drop("bucket"), segments, depth, None if wanted is None else wanted.select("file_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
@@ -11,8 +11,10 @@ FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """(variants, genotypes in text form, sample names) of a VCF file, plain or gzipped.
 
-    line_no numbers the records of the file; a file is read in one partition, so its order is that of its lines.
+    path is one file. line_no grows with the lines of the file: a file's splits are read in their order.
     """
+    if spark.read.format("binaryFile").load(path).count() != 1:
+        raise ValueError(f"{path} is not one file")
     lines = spark.read.option("wholetext", False).text(path)
     header = lines.where(F.col("value").startswith("#CHROM")).first()
     samples = header.value.split()[len(FIXED) :] if header else []
@@ -21,14 +23,43 @@ def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list
     fixed = [F.col("f")[k].alias(name) for k, name in enumerate(FIXED)]
     variants = fields.select("line_no", *fixed).withColumn("pos", F.expr("try_cast(pos as bigint)")).withColumn("alts", F.split("alt", ","))
     variants = variants.withColumn("format", F.split("format", ":"))
-    called = fields.select("line_no", F.posexplode(F.slice("f", len(FIXED) + 1, max(1, len(samples)))).alias("sample_no", "call"))
-    place = F.array_position(F.col("format"), "GT").cast("int")
-    genotypes = called.join(variants.select("line_no", "format"), "line_no").select(
-        "line_no", "sample_no", F.when(place > 0, F.get(F.split("call", ":"), place - 1)).alias("gt")
-    )
+    # where a record's calls hold their genotype is known before they are dealt out
+    place = F.array_position(F.split(F.col("f")[len(FIXED) - 1], ":"), "GT").cast("int").alias("place")
+    called = fields.select("line_no", place, F.posexplode(F.slice("f", len(FIXED) + 1, max(1, len(samples)))).alias("sample_no", "call"))
+    genotypes = called.select("line_no", "sample_no", F.when(F.col("place") > 0, F.get(F.split("call", ":"), F.col("place") - 1)).alias("gt"))
     return variants.drop("alt"), genotypes, samples
 
 
-def write_parts(rows: DataFrame, path: str) -> None:
-    """The parts of a split, one folder each."""
-    rows.write.partitionBy("part").parquet(path)
+def column_prefix(line: Column, columns: int) -> Column:
+    """The first tab-separated columns of a line; lines with fewer stay whole."""
+    return F.substring_index(line, "\t", columns)
+
+
+def split_lines(spark: SparkSession, path: str, male: set[str], low: int, high: int) -> DataFrame:
+    """(part, line_no, value): a VCF's lines dealt into fem, mal, mal1 and mal2, with the columns of their samples.
+
+    Header lines go to all parts. fem has every record, the others those of their region: mal1 before low, mal up to
+    and with high, mal2 after.
+    """
+    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    header = lines.where(F.col("value").startswith("#CHROM")).first()
+    samples = header.value.split()[len(FIXED) :]
+    body = lines.where((F.trim("value") != "") & ~F.col("value").startswith("##")).withColumn("f", F.split(F.trim("value"), r"\s+"))
+    meta = lines.where(F.col("value").startswith("##"))
+    top = F.col("f")[0] == "#CHROM"
+    pos = F.col("f")[1].try_cast("bigint")
+    parts = {"fem": (False, F.lit(True)), "mal": (True, pos.between(low, high)), "mal1": (True, pos < low), "mal2": (True, pos > high)}
+    out = None
+    for part, (kept, where) in parts.items():
+        places = [*range(len(FIXED)), *(len(FIXED) + k for k, s in enumerate(samples) if (s in male) == kept)]
+        value = F.array_join(F.transform(F.array(*map(F.lit, places)), lambda k: F.get("f", k)), "\t")
+        rows = body.where(top | where).select(F.lit(part).alias("part"), "line_no", value.alias("value"))
+        rows = rows.unionByName(meta.select(F.lit(part).alias("part"), "line_no", "value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """Parts as folders of text files that follow each other in the order of lines."""
+    dealt = rows.repartitionByRange("line_no").sortWithinPartitions("part", "line_no")
+    dealt.select("part", "value").write.partitionBy("part").text(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,27 +19,50 @@ def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
     return stream.select(F.xxhash64("path").alias("file_id"), name.alias("filename"), F.decode("content", "UTF-8").alias("content"))
 
 
-def encoded_batch(batch: DataFrame, reference: str) -> tuple[DataFrame, DataFrame]:
-    """(files, tuples) of one micro-batch."""
+def encoded_batch(batch: DataFrame, reference: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, sequences, tuples) of one micro-batch."""
     found = fasta.records(batch.select("file_id", "content"))
-    stats = fasta.file_stats(found).join(batch.select("file_id", "filename", fasta.end_of_line(F.col("content")).alias("eol")), "file_id")
+    stats = fasta.file_stats(found).join(batch.select("file_id", "filename", *fasta.layout(F.col("content"))), "file_id")
+    layout = fasta.sequences(found).select("file_id", "seq_no", "seq_name", "size", "start_pos", "line_len")
     whole = F.array_sort(F.collect_list(F.struct("seq_no", "seq")))
     joined = found.groupBy("file_id").agg(F.array_join(F.transform(whole, lambda r: r["seq"]), "").alias("seq"))
-    return stats, parsing.encode(joined, reference)
+    return stats, layout, parsing.encode(joined, reference)
+
+
+def begin(spark: SparkSession, path: str, reference: str, name: str = "reference") -> None:
+    """Lays down the reference of a new archive as its file 0; an archive that is there stays as it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/residues/_SUCCESS")
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return
+    first = spark.createDataFrame([(0, reference)], "file_id long, seq string")
+    size = F.length("seq").cast("long")
+    files = first.select(
+        "file_id", F.lit(1).cast("long").alias("n_seqs"), size.alias("n_residues"), F.lit(70).cast("long").alias("line_width"), F.lit(name).alias("filename"),
+        F.lit("LF").alias("eol"), F.lit(True).alias("newline_at_eof"), F.lit(0).cast("long").alias("ord"), F.lit(True).alias("is_reference"),
+    )
+    sequences = first.select("file_id", F.lit(0).alias("seq_no"), F.lit(name).alias("seq_name"), size.alias("size"), F.lit(0).cast("long").alias("start_pos"), F.lit(70).alias("line_len"))
+    files.write.mode("overwrite").parquet(f"{path}/files/batch=-1")
+    sequences.write.mode("overwrite").parquet(f"{path}/sequences/batch=-1")
+    archive.write_streams(path, spark.createDataFrame([], parsing.TUPLES), spark.createDataFrame([], archive.SEGMENTS), -1)
+    first.write.mode("overwrite").parquet(f"{path}/residues")
 
 
 def ingest(spark: SparkSession, folder: str, path: str, reference: str, checkpoint: str) -> StreamingQuery:
-    """Appends tuples and catalog rows of arriving files to the archive at path.
+    """Appends tuples, records and catalog rows of arriving files to the archive at path, which is read like any other.
 
-    A batch is written under its own number and overwritten if it is run again, so a restart adds nothing twice.
+    A batch is written under its own number and overwritten if it is run again, so a restart adds nothing twice. Files
+    are in order of arrival; those of a batch go by name.
     """
+    begin(spark, path, reference)
 
     def append(batch: DataFrame, number: int) -> None:
         held = batch.persist()
-        files, tuples = encoded_batch(held, reference)
+        files, sequences, tuples = encoded_batch(held, reference)
+        order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("filename", "file_id"))  # files of one batch
+        files = files.withColumn("ord", F.lit(number).cast("long") * (1 << 32) + order).withColumn("is_reference", F.lit(False))
         files.write.mode("overwrite").parquet(f"{path}/files/batch={number}")
-        bucketed = tuples.withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(archive.BUCKETS)))
-        bucketed.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/tuples/batch={number}")
+        sequences.write.mode("overwrite").parquet(f"{path}/sequences/batch={number}")
+        archive.write_streams(path, tuples, spark.createDataFrame([], archive.SEGMENTS), number)
         held.unpersist()
 
     stream = arriving_files(spark, folder).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)

@@ -94,7 +94,7 @@ def test_retention_levels(spark):
 
 FASTA = [
     ("lf", ">one first\nACGT\nAC\n>two\nNNnn\n", [("one first", 4, "ACGTAC"), ("two", 4, "NNnn")], "LF"),
-    ("crlf", "@one\r\nAC-GT*\r\nA1C\r\n", [("one", 4, "ACGTAC")], "CRLF"),
+    ("crlf", "@one\r\nAC-GT*\r\nA1C\r\n", [("one", 6, "ACGTAC")], "CRLF"),
     ("cr", ">one\rACGT\rAC", [("one", 4, "ACGTAC")], "CR"),
     ("empty record", ">one\n>two\nA", [("one", 0, ""), ("two", 1, "A")], "LF"),
     ("header only", ">one", [("one", 0, "")], "LF"),
@@ -115,6 +115,129 @@ def test_numbering_is_by_key(spark):
     assert all(r.k == r.ord for r in got) and len(got) == 1000
 
 
+def test_numbering_of_many_rows(spark):
+    rows = spark.range(3_000_000).selectExpr("(id * 2654435761) % 3000017 k", "concat('payload ', id) payload", "id % 3 part")
+    got = archive.numbered(rows, "k", then=("payload",))
+    assert got.columns == ["k", "payload", "part", "ord"]
+    row = got.agg(F.count_distinct("ord").alias("d"), F.min("ord").alias("a"), F.max("ord").alias("b"), F.sum((F.col("k") < 0).cast("int")).alias("n")).first()
+    assert (row.d, row.a, row.b) == (3_000_000, 0, 2_999_999)
+    # keys grow with the number
+    pairs = got.groupBy(F.floor(F.col("ord") / 1000).alias("g")).agg(F.min("k").alias("low"), F.max("k").alias("high")).orderBy("g").collect()
+    assert all(a.high <= b.low for a, b in zip(pairs, pairs[1:]))
+
+
+def test_numbering_of_equal_and_missing_keys(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), *((5, i) for i in range(50)), (7, 0)], "k long, v long")
+    got = sorted((r.ord, r.k, r.v) for r in archive.numbered(rows, "k", then=("v",)).collect())
+    assert [g[0] for g in got] == list(range(53)) and [g[1] for g in got] == [None, None, *[5] * 50, 7]
+    assert [g[2] for g in got[2:52]] == list(range(50))
+    assert archive.numbered(rows.limit(0), "k").collect() == []
+
+
+def common(a, i, b, j):
+    n = 0
+    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+        n += 1
+    return n
+
+
+def plain_parse(alt, ref, k, least, indel2):
+    """The parse residue by residue, comparing with every place of the reference."""
+    out, i = [], 0
+    while i < len(alt):
+        run = len(alt) - i - len(alt[i:].lstrip(alt[i]))
+        if alt[i] in "Nn" and run >= k:
+            out.append((alt[i] + "_RUN", None, run, None))
+            i += run
+            continue
+        best, at = 0, 0
+        for q in range(len(ref) - k + 1):
+            n = common(alt, i, ref, q)
+            if n >= k and n > best and sum(x in "Nn" for x in ref[q : q + k]) <= 3:
+                best, at = n, q
+        if not best:
+            out.append(("LIT", None, 1, alt[i]))
+            i += 1
+            continue
+        out.append(("MATCH", at + 1, best, None))
+        i, q = i + best, at + best
+        while i < len(alt):
+            moves = [(common(alt, i + a, ref, q + b), a, b) for a, b in [(1, 1), (1, 0), (0, 1)] + [(2, 0), (0, 2)] * indel2]
+            most = max(m[0] for m in moves)
+            n, a, b = next(m for m in moves if m[0] == most)
+            if n < least:
+                break
+            out += [("LIT", None, 1, x) for x in alt[i : i + a]] + [("MATCH", q + b + 1, n, None)]
+            i, q = i + a + n, q + b + n
+    return out
+
+
+def test_parse_against_plain_comparison():
+    rng = random.Random(3)
+    for _ in range(300):
+        ref = "".join(rng.choice("ACGTNn" if rng.random() < 0.2 else "AC") for _ in range(rng.choice((0, 3, 30, 80))))
+        alt = list(ref)
+        for _ in range(rng.randint(0, 8)):
+            if alt:
+                alt[rng.randrange(len(alt))] = rng.choice(["A", "C", "", "AC", "NNNNNN", "nnnnn", "G"])
+        alt, k, indel2 = "".join(alt), rng.choice((3, 4, 6)), rng.random() < 0.5
+        assert parsing.Reference(ref, k).parse(alt, 2, indel2) == plain_parse(alt, ref, k, 2, indel2)
+
+
+def test_residues_beyond_ascii(spark):
+    with pytest.raises(Exception, match="file 3 holds residues beyond ASCII"):
+        parsing.encode(spark.createDataFrame([(3, "ACGT\u00e9")], "file_id long, seq string"), "ACGT").collect()
+
+
+def plain_segments(runs):
+    """Greedy choice over runs (start, src_file, src, windows, tuples) of one file, place by place."""
+    out, at = [], 0
+    while any(s + w > at for s, _, _, w, _ in runs):
+        here = [(-(s + n), f, x - s) for s, f, x, w, n in runs if s <= at < s + w]
+        if not here:
+            at += 1
+            continue
+        end, f, diag = min(here)
+        out.append((at, f, at + diag, -end - at))
+        at = -end
+    return out
+
+
+def test_chosen_segments(spark):
+    rng = random.Random(8)
+    runs = {f: [(rng.randrange(60), rng.randrange(f), rng.randrange(40), w := rng.randint(1, 9), w + rng.randint(1, 5)) for _ in range(rng.randint(0, 25))] for f in range(1, 30)}
+    rows = [(f, s, g, x, w, n) for f, held in runs.items() for s, g, x, w, n in held]
+    df = spark.createDataFrame(rows, "file_id long, tuple_no long, src_file long, src_tuple long, n_windows long, n_tuples long")
+    got = {}
+    for r in dedup.chosen_segments(df).orderBy("file_id", "tuple_no").collect():
+        got.setdefault(r.file_id, []).append(tuple(r)[1:])
+    assert got == {f: plain_segments(held) for f, held in runs.items() if held}
+
+
+def test_segments_restore_streams(spark):
+    rng = random.Random(9)
+    base = [("MATCH", rng.randint(1, 900), rng.randint(15, 40), None) if rng.random() < 0.5 else ("LIT", None, 1, rng.choice("ACGT")) for _ in range(80)]
+    rows = []
+    for f in range(1, 7):
+        own = list(base)
+        for _ in range(4):
+            own[rng.randrange(len(own))] = ("LIT", None, 1, rng.choice("acgt"))
+        at = 0
+        for k, (kind, pos, size, lit) in enumerate(own):
+            rows.append((f, k, kind, pos, size, lit, at))
+            at += size
+    tuples = spark.createDataFrame(rows, parsing.TUPLES).persist()
+    signed = tuples.withColumn("sig", F.concat_ws(":", "kind", "ref_pos", "len", "lit"))
+    kept = spark.range(1, 7).selectExpr("id file_id")
+    segments = dedup.chosen_segments(dedup.segment_matches(dedup.window_hits(dedup.windows(signed), kept))).persist()
+    left = dedup.uncovered(tuples, segments)
+    assert left.count() < tuples.count() / 2
+    plain = lambda df: sorted(map(tuple, df.select(*tuples.columns).collect()), key=lambda r: r[:2])
+    assert plain(dedup.restored(left, segments, 6)) == rows
+    only = spark.createDataFrame([(5,)], "file_id long")
+    assert plain(dedup.restored(left, segments, 6, only)) == [r for r in rows if r[0] == 5]
+
+
 def test_packed_tuples(spark):
     rows = [("MATCH", 7, 300, None), ("MATCH", 2**31 - 3, 2**24 - 1, None), ("LIT", None, 1, "a"), ("LIT", None, 1, "T"), ("N_RUN", None, 15, None), ("n_RUN", None, 70000, None)]
     df = spark.createDataFrame(rows, "kind string, ref_pos long, len long, lit string")
