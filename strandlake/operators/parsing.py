@@ -195,6 +195,10 @@ def _parse(reference, options: dict, name: tuple):
                 seq = seq or ""
                 found = index.spans(seq, options["least_after"], options["indel2"], f"file {file_id}")
                 kind, at, place, size = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+                if options["merged"]:
+                    texts = [seq[a : a + n] if k == LITERALS else None for k, a, _, n in found]
+                    yield _batch(file_id, kinds.take(pa.array(kind)), pa.array(place, mask=kind != MATCH), pa.array(size), pa.array(texts, pa.string()), pa.array(at))
+                    continue
                 many = np.where(kind == LITERALS, size, 1)
                 each = np.repeat(np.arange(len(kind)), many)
                 nth = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
@@ -202,25 +206,28 @@ def _parse(reference, options: dict, name: tuple):
                 start = at[each] + np.where(single, nth, 0)
                 length = np.where(single, 1, size[each])
                 letters = pa.array(np.frombuffer(seq.encode(), np.uint8)[start] if len(start) else np.zeros(0, np.uint8))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(each), file_id, np.int64)) if file_id is not None else pa.nulls(len(each), pa.int64()),
-                        pa.array(np.arange(len(each))), kinds.take(pa.array(kind[each])), pa.array(place[each], mask=~match), pa.array(length),
-                        pc.if_else(pa.array(single), _LETTERS.take(letters), pa.scalar(None, pa.string())), pa.array(start),
-                    ],
-                    names=["file_id", "tuple_no", "kind", "ref_pos", "len", "lit", "out_start"],
-                )
+                literal = pc.if_else(pa.array(single), _LETTERS.take(letters), pa.scalar(None, pa.string()))
+                yield _batch(file_id, kinds.take(pa.array(kind[each])), pa.array(place[each], mask=~match), pa.array(length), literal, pa.array(start))
 
     return run
 
 
+def _batch(file_id: int | None, *columns: pa.Array) -> pa.RecordBatch:
+    rows = len(columns[0])
+    ids = pa.array(np.full(rows, file_id, np.int64)) if file_id is not None else pa.nulls(rows, pa.int64())
+    return pa.RecordBatch.from_arrays([ids, pa.array(np.arange(rows)), *columns], names=["file_id", "tuple_no", "kind", "ref_pos", "len", "lit", "out_start"])
+
+
 _LETTERS = pa.array([chr(c) for c in range(128)])
 
 
-def encode(files: DataFrame, reference: str, k: int = MIN_MATCH, least_after: int = MIN_AFTER, indel2: bool = False) -> DataFrame:
-    """Tuples of every file (file_id, seq); the reference, one sequence, is sent to all workers."""
+def encode(files: DataFrame, reference: str, k: int = MIN_MATCH, least_after: int = MIN_AFTER, indel2: bool = False, merged: bool = False) -> DataFrame:
+    """Tuples of every file (file_id, seq); the reference, one sequence, is sent to all workers.
+
+    A literal is a tuple of its own, as the second stage needs; with merged, neighbouring ones are one.
+    """
     sent = files.sparkSession.sparkContext.broadcast(reference)
-    options = {"k": k, "least_after": least_after, "indel2": indel2}
+    options = {"k": k, "least_after": least_after, "indel2": indel2, "merged": merged}
     name = (uuid.uuid4().hex, k)
     return spread(files.select("file_id", "seq"), "file_id").mapInArrow(_parse(sent, options, name), TUPLES)
 
@@ -295,5 +302,6 @@ def extract_ranges(tuples: DataFrame, reference: DataFrame, ranges: DataFrame) -
     skipped = F.greatest(F.col("first") - 1 - F.col("out_start"), F.lit(0))
     until = F.least(F.col("last") - F.col("out_start"), F.col("len"))
     cut = near.withColumn("skipped", skipped).withColumn("len", until - skipped)
+    cut = cut.withColumn("lit", F.col("lit").substr((F.col("skipped") + 1).cast("int"), F.col("len").cast("int")))
     cut = cut.withColumn("ref_pos", F.col("ref_pos") + F.col("skipped")).withColumn("out_start", F.col("out_start") + F.col("skipped"))
     return decode(cut.where("len > 0").drop("first", "last", "skipped"), reference)

@@ -23,7 +23,10 @@ def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: the sequence of the least doc_id."""
-    return seqs(spark, sf_dir).agg(F.min_by("seq", "doc_id").alias("seq"))
+    docs = table(spark, sf_dir, "documents")
+    least = docs.agg(F.min("doc_id").alias("doc_id"))
+    first = docs.select("doc_id", "text").join(F.broadcast(least), "doc_id").agg(F.min("text").alias("text"))
+    return first.select(letters(F.col("text")).alias("seq"))
 
 
 # ------------------------------------------------------------------ lines as records
@@ -103,8 +106,8 @@ variants as (select row_number() over (order by pos, {", ".join(_NUMBER)}) line_
 
 def chromosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chrom, ref_seq): a row for each language."""
-    found = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("chrom"), letters(F.col("text")).alias("seq"))
-    return found.groupBy("chrom").agg(F.min_by("seq", "doc_id").alias("ref_seq"))
+    found = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("chrom")).agg(F.min_by("text", "doc_id").alias("text"))
+    return found.select("chrom", letters(F.col("text")).alias("ref_seq"))
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:

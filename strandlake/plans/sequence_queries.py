@@ -195,7 +195,7 @@ def split_long_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ref = fx.reference(spark, sf_dir)
     files = fx.seqs(spark, sf_dir).select(F.col("doc_id").alias("file_id"), "seq")
-    return parsing.encode(files, ref.first().seq or ""), ref.withColumnRenamed("seq", "ref_seq")
+    return parsing.encode(files, ref.first().seq or "", merged=True), ref.withColumnRenamed("seq", "ref_seq")
 
 
 @register("greedy_parse", f"with {fx.SEQS} select doc_id file_id, length(seq)::bigint n_residues, md5(seq) seq_md5 from seqs where seq <> ''")

@@ -71,8 +71,11 @@ def test_relational_decode(spark):
     assert got == {k: s for k, s in files if s}
     cut = parsing.chunked_pieces(tuples, parsing.chunks(reference, 37), 37)
     assert {r.file_id: r.seq for r in parsing._joined(cut).collect()} == got
-    part = {r.file_id: r.seq for r in parsing.extract_range(tuples, reference, 41, 90).collect()}
-    assert part == {k: s[40:90] for k, s in files if s and len(s) > 40}
+    merged = parsing.encode(spark.createDataFrame(files, "file_id long, seq string"), ref, merged=True).persist()
+    assert merged.count() < tuples.count() and {r.file_id: r.seq for r in parsing.decode(merged, reference).collect()} == got
+    for found in (tuples, merged):
+        part = {r.file_id: r.seq for r in parsing.extract_range(found, reference, 41, 90).collect()}
+        assert part == {k: s[40:90] for k, s in files if s and len(s) > 40}
 
 
 def test_seed_matches_are_maximal(spark):
