@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the template.
-OPEN, CLOSE, ASSISTANT, USER, NAME = "<|start|>", "<|end|>\n", "assistant", "user", " name="
+OPEN, CLOSE, ASSISTANT, USER, NAME, SYSTEM = "<|start|>", "<|end|>\n", "assistant", "user", " name=", "system"
 #: Turns of a conversation that one group ranks; places are carried from block to block.
 BLOCK = 512
 
@@ -19,29 +19,38 @@ BLOCK = 512
 def segment(role: Column, perspective: Column, text: Column) -> tuple[Column, Column]:
     """Head of a turn as seen by perspective, and its body with the closing mark."""
     head = F.when(role == perspective, F.lit(f"{OPEN}{ASSISTANT}\n")).otherwise(F.concat(F.lit(f"{OPEN}{USER}{NAME}"), role, F.lit("\n")))
+    head = F.when(role == SYSTEM, F.lit(f"{OPEN}{SYSTEM}\n")).otherwise(head)
     return head, F.concat(text, F.lit(CLOSE))
 
 
+def escaped(text: Column) -> Column:
+    """Text without anything that reads as a mark: a backslash goes between < and | wherever they meet."""
+    return F.replace(text, F.lit("<|"), F.lit("<\\|"))
+
+
 def rotate(conversations: DataFrame) -> DataFrame:
     """conv_id, perspective, turn, seq, start, body_start, end, mask, segment: a row for each turn and perspective.
 
     conversations has conv_id long, turn long, role and text string. Concatenated by seq, the segments of a
     conversation and perspective are the rendering; start and end are its code points, end exclusive, and the mask
     counts for body_start to end (the assistant's words and the closing mark) where mask is true.
-    Participants are the distinct roles of a conversation. Turns go by turn number, then role, then text; repeated
+    Participants are the distinct roles of a conversation but for "system", whose turns stand as system turns in every
+    rendering and never count; a conversation of such turns alone has no rendering. Marks in texts and roles are escaped,
+    and so are line feeds in roles, so neither can pass for a turn. Turns go by turn number, then role, then text; repeated
     rows stay and keep any order. A null role is the participant "unknown", a null text is empty, a null turn comes
     first; rows with a null conv_id are left out. Other columns are ignored; an empty table gives an empty one.
     """
     clean = conversations.where("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.replace(escaped(F.coalesce(F.col("role").cast("string"), F.lit("unknown"))), F.lit("\n"), F.lit("\\n")).alias("role"),
+        escaped(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"),
     )
     # places in a long conversation: rows are ranked in blocks of turn numbers, block sums carry on
     blocked = clean.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
-    people = clean.groupBy("conv_id", "role").agg(F.count("*").alias("turns")).select("conv_id", F.col("role").alias("perspective"))
+    people = clean.where(F.col("role") != SYSTEM).groupBy("conv_id", "role").agg(F.count("*").alias("turns")).select("conv_id", F.col("role").alias("perspective"))
+    name = F.when(F.col("role") == SYSTEM, len(SYSTEM) - len(USER + NAME)).otherwise(F.length("role"))
     sizes = blocked.groupBy("conv_id", "block", "role").agg(
-        F.count("*").alias("turns"), F.sum(F.length("text").cast("long")).alias("chars"), F.max(F.length("role")).alias("name")
+        F.count("*").alias("turns"), F.sum(F.length("text").cast("long")).alias("chars"), F.max(name).alias("name")
     )
     own = len(f"{OPEN}{ASSISTANT}\n") + len(CLOSE)
     other = len(f"{OPEN}{USER}{NAME}\n") + len(CLOSE)
@@ -75,11 +84,12 @@ def rotate(conversations: DataFrame) -> DataFrame:
 #: DuckDB's rendering of the same rows.
 SQL = f"""
 with t as (
-  select conv_id, turn, coalesce(role, 'unknown') role, coalesce(text, '') text from conversations where conv_id is not null),
-p as (select distinct conv_id, role perspective from t),
+  select conv_id, turn, replace(replace(coalesce(role, 'unknown'), '<|', '<\\|'), chr(10), '\\n') role,
+    replace(coalesce(text, ''), '<|', '<\\|') text from conversations where conv_id is not null),
+p as (select distinct conv_id, role perspective from t where role <> '{SYSTEM}'),
 r as (
   select t.*, perspective,
-    case when role = perspective then '{OPEN}{ASSISTANT}' || chr(10) else '{OPEN}{USER}{NAME}' || role || chr(10) end head,
+    case when role = '{SYSTEM}' then '{OPEN}{SYSTEM}' || chr(10) when role = perspective then '{OPEN}{ASSISTANT}' || chr(10) else '{OPEN}{USER}{NAME}' || role || chr(10) end head,
     text || '{CLOSE.strip()}' || chr(10) body
   from t join p using (conv_id)),
 s as (

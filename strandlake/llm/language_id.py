@@ -113,15 +113,16 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
 
 
 def remainder(parts: int) -> Column:
-    """crc32 of the doc_id's text modulo parts."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+    """crc32 of the doc_id's text modulo parts; -1 without a doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts, F.lit(-1))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fits on rows of docs with a text of letters and a lang: the `sample` texts a language with the least hash.
 
-    The sample is chosen by an aggregate that keeps `sample` identities a group, so no group is gathered whole.
-    None if there is nothing to learn from.
+    The sample is chosen by an aggregate that keeps `sample` identities a group, so no group is gathered whole. Null and
+    empty texts, those over LONGEST characters and rows without a lang teach nothing; equal texts count once, ids and
+    other columns are not read. None if there is nothing to learn from, as from an empty table.
     """
     rows = docs.where("text is not null and lang is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")

@@ -43,8 +43,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = transport_stream.media_features(transport_stream.media_column(_table(spark, sf_dir, "documents")))
-    return features.drop("pts", "random_access")
+    return transport_stream.media_features(transport_stream.media_column(_table(spark, sf_dir, "documents")))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

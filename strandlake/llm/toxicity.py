@@ -8,8 +8,8 @@ landmark adds up its words'. Landmarks are strings mined from labelled
 sentences; Nyström's map over them gives features, and a linear support vector machine on these is trained on
 sentences: of a toxic document, those that score highest. A document scores as its worst sentence.
 
-Kernels under LEAST of a landmark's own count as 0; those of words that share too few of its neighbouring letter
-pairs are not computed.
+A likeness is that of the best window with room for a letter between all of the landmark's, and one under LEAST of the
+landmark's own counts as 0. Only words that lack the letters of every subsequence are passed over, whose kernel is 0.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,16 @@ from pyspark.sql import functions as F
 from .common import SPACES, U64, Words, column, power_tables, text_steps
 
 #: Length of subsequences, decay a character of span, and longest piece of a word that one kernel evaluation takes.
-LENGTH, DECAY, SPAN = 4, 0.7, 32
+LENGTH, DECAY, SPAN = 4, 0.8, 32
 #: Letters of two neighbouring words that are read as one.
 JOINED = 12
 #: Power of the normalised kernel, and the least value of it that counts.
-POWER, LEAST = 2, 0.4
+POWER, LEAST = 2, 0.3
 #: Fitting is bounded: labelled documents of each label, characters of each, and landmarks.
 SAMPLE, LONGEST, LANDMARKS = 1_000, 6_000, 64
-#: Of a landmark's neighbouring letter pairs, so many may be missing from a word (next to each other or one apart); none
-#: of those of a landmark of four letters.
-MISSING = 1
 REGULAR, EPOCHS, ROUNDS = 1e-4, 60, 3
+#: Likenesses in clean sentences, for each toxic one that holds a landmark, past which its disguises are not learnt.
+CROWD = 4
 #: Score of a text on the machine's border.
 EDGE = 0.7
 
@@ -49,9 +49,9 @@ _CODE[48:58] = np.arange(48, 58)
 _CODE[128:] = np.arange(128, 256)
 
 
-def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """One of 64 bits for a pair of letters."""
-    return U64(1) << ((first.astype(U64) * U64(37) + second.astype(U64) * U64(11)) & U64(63))
+def _bits(letters: np.ndarray) -> np.ndarray:
+    """One of 64 bits for each letter: its own for a to z and digits, shared ones for bytes from 128 on."""
+    return U64(1) << np.where(letters >= 128, 36 + letters.astype(U64) % U64(28), np.where(letters >= 97, letters - U64(97), (letters - U64(48)) + U64(26)) & U64(63)).astype(U64)
 
 
 def kernel(words: np.ndarray, landmark: np.ndarray) -> np.ndarray:
@@ -136,17 +136,10 @@ class Spelled:
         sums = np.zeros(n + 1, U64)
         np.cumsum((self.letters.astype(U64) + U64(1)) * powers[:n], out=sums[1:])
         self.name = (sums[self.end] - sums[self.start]) * inverse[self.start]
-        # pairs of letters next to each other or one apart; those that cross words may admit a word too many
-        pairs = np.zeros(n + 1, U64)
-        if n > 1:
-            pairs[: n - 1] |= _pair(self.letters[:-1], self.letters[1:])
-        if n > 2:
-            pairs[: n - 2] |= _pair(self.letters[:-2], self.letters[2:])
-        if len(self.start):
-            bounds = np.stack([self.start, self.end], axis=1).ravel()
-            self.pairs = np.bitwise_or.reduceat(pairs, bounds)[::2]
-        else:
-            self.pairs = np.zeros(0, U64)
+        # which letters each piece has
+        held = np.append(_bits(self.letters), U64(0))
+        bounds = np.stack([self.start, self.end], axis=1).ravel()
+        self.held = np.bitwise_or.reduceat(held, bounds)[::2] if len(bounds) else np.zeros(0, U64)
 
 
 def _best(first: np.ndarray, last: np.ndarray, got: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,20 +175,21 @@ class Model:
     def __post_init__(self):
         self.codes = [_CODE[np.frombuffer(z, np.uint8)] for z in self.landmarks]
         self.norms = [float(kernel(z[None, :], z)[0]) for z in self.codes]
-        self.masks = [np.bitwise_or.reduce(_pair(z[:-1], z[1:])) for z in self.codes]
-        self.needs = [int(m).bit_count() - MISSING * (len(z) > 4) for m, z in zip(self.masks, self.codes)]
+        self.masks = [np.bitwise_or.reduce(_bits(z)) for z in self.codes]
+        # what shares a subsequence has the letters of one; a landmark that repeats letters has short sets of them
+        self.needs = [min(np.bitwise_or.reduce(_bits(np.array(s))).item().bit_count() for s in combinations(z, LENGTH)) for z in self.codes]
 
     def word_features(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, landmark, value) of kernels that are not 0, each over the landmark's own and to the POWER."""
         at, which, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         spelled = Spelled(words)
         for k, (mask, need) in enumerate(zip(self.masks, self.needs)):
-            hit = np.flatnonzero(np.bitwise_count(spelled.pairs & mask) >= need)
+            hit = np.flatnonzero(np.bitwise_count(spelled.held & mask) >= need)
             if not len(hit):
                 continue
             _, first, back = np.unique(spelled.name[hit] ^ spelled.close[hit].astype(U64), return_index=True, return_inverse=True)
             rows = hit[first]
-            # the best window of the piece, with room for a letter between all: letters farther apart are no likeness
+            # the best window of the piece, with room for a letter between all
             size = len(self.codes[k])
             width = np.where(spelled.close[rows], size, 2 * size - 1)
             many = np.maximum(spelled.end[rows] - spelled.start[rows] - width, 0) + 1
@@ -278,11 +272,19 @@ def _mine(toxic: list[str], clean: list[str], limit: int) -> list[bytes]:
         raw = word.encode()
         return {raw[i : i + n] for n in (4, 5, 6, 7) for i in range(len(raw) - n + 1)}
 
-    def words(text: str) -> set[str]:
-        return set(re.findall(r"[^\W_]+", text.lower()))
+    def fresh(texts: list[str]) -> list[set[str]]:
+        """Words of each text, but for those that stand between the same two words in an earlier text: copies prove nothing."""
+        seen: set[tuple[str, ...]] = set()
+        out = []
+        for text in texts:
+            own = ["", *re.findall(r"[^\W_]+", text.lower()), ""]
+            around = set(zip(own, own[1:], own[2:]))
+            out.append({w for _, w, _ in around - seen})
+            seen |= around
+        return out
 
-    against = Counter(p for t in clean for p in {p for w in words(t) for p in pieces(w)})
-    texts = [words(t) for t in toxic]
+    against = Counter(p for ws in fresh(clean) for p in {p for w in ws for p in pieces(w)})
+    texts = fresh(toxic)
     held = Counter(p for ws in texts for p in {p for w in ws for p in pieces(w)})
     share = len(toxic) / (len(toxic) + len(clean))
     tried = np.log(20 * len(held) + 1)
@@ -314,13 +316,12 @@ def _mine(toxic: list[str], clean: list[str], limit: int) -> list[bytes]:
 
 
 def _disguised(word: bytes) -> list[bytes]:
-    """Spellings with a mark between all characters, a space at each place and, of words over LENGTH, a letter at each
-    place and a letter between all."""
+    """Spellings with a mark between all characters, a space at each place, a letter at each place and at any two, and a
+    letter between all."""
     letters, places = [word[i : i + 1] for i in range(len(word))], range(1, len(word))
-    odd = [b"-".join(letters)] + [word[:i] + b" " + word[i:] for i in places]
-    if len(word) > LENGTH:
-        odd += [word[:i] + b"x" + word[i:] for i in places] + [b"x".join(letters)]
-    return odd
+    once = [word[:i] + b"x" + word[i:] for i in places]
+    twice = [word[:i] + b"x" + word[i:j] + b"x" + word[j:] for i in places for j in range(i, len(word))]
+    return [b"-".join(letters)] + [word[:i] + b" " + word[i:] for i in places] + once + twice + [b"x".join(letters)]
 
 
 def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Model:
@@ -350,9 +351,12 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Model
     raw = features([s for b in bags for s in b])
     plain = features([s for t in clean for s in sentences(t)])
     informative = plain[plain.sum(axis=1) > 0]
-    odd = features([d for z in found for d in _disguised(z)])
-    # a landmark's spellings weigh as much as two sentences, however many there are
-    heavy = np.concatenate([np.full(n, 2 / n) for n in (len(_disguised(z)) for z in found)])
+    # a landmark's spellings weigh as much as two sentences, however many there are; those of one that clean text comes
+    # near to more often than toxic text holds it are left out
+    crowded = (plain > 0).sum(axis=0) > CROWD * (raw > 0.9).sum(axis=0)
+    forms = [_disguised(z) for z, full in zip(found, crowded) if not full]
+    odd = features([d for f in forms for d in f])
+    heavy = np.concatenate([np.zeros(0), *(np.full(len(f), 2 / len(f)) for f in forms)])
     # toxic documents' sentences without any landmark teach nothing about them
     negative = np.concatenate([informative, np.zeros((max(1, len(informative) // 4), len(found)))])
     weights, bias = np.ones(len(found)), 0.0
@@ -408,12 +412,16 @@ def _logistic(margin: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[floa
 
 
 def remainder(parts: int) -> Column:
-    """crc32 of the doc_id's text modulo parts."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+    """crc32 of the doc_id's text modulo parts; -1 without a doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts, F.lit(-1))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on a bounded sample of labelled rows that crc32(doc_id) mod 3 allows: `sample` texts of each label at most."""
+    """Fits on a bounded sample of labelled rows that crc32(doc_id) mod 3 allows: about `sample` texts of each label.
+
+    docs has doc_id and text, labels doc_id and toxic; other columns are ignored. Rows without an id, a label or a text
+    and texts over LONGEST characters teach nothing. Of repeated labels the highest counts; rows that repeat a doc_id
+    are texts of their own, and equal texts count once. With empty tables, or one label only, the model is a constant."""
     allowed = labels.where((remainder(3) != 1) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     allowed = allowed.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("key", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)))
     counts = {r.toxic: r.n for r in allowed.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -450,7 +458,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def score_of(text: Column, model: Model, spark) -> Column:
-    """The score of a text column, for filters that keep all other columns out of Python."""
+    """The score of a text column, for filters that keep all other columns out of Python; null and empty texts as in toxicity."""
     sent = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

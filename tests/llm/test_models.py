@@ -155,8 +155,14 @@ def test_transport_streams(spark):
         assert [u.pts for u in found.units] == [k * transport_stream.TICKS for k in range(len(found.units))]
         assert [k for k, u in enumerate(found.units) if u.random_access] == list(range(0, len(found.units), transport_stream.GROUP))
     cut = transport_stream.read_stream(media[: 188 * 50] + media[188 * 51 :] + b"abc")
-    assert cut.lost == 1 and cut.damaged == 1
+    assert cut.lost == 1 and cut.damaged == 2  # the unit that misses the packet, and the rest of a packet at the end
     assert transport_stream.read_stream(b"").units == [] and transport_stream.read_stream(b"junk" * 100).damaged > 0
+    repeated = media[: 188 * 51] + media[188 * 50 :]  # one packet twice
+    assert (repeats := transport_stream.read_stream(repeated)).lost == 0 and b"".join(u.data for u in repeats.units) == payload
+    long = transport_stream.padded("word " * 2_000_000)[0]
+    assert b"".join(u.data for u in transport_stream.read_stream(transport_stream.write_stream(long)).units) == long
+    none = spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")
+    assert [(r.payload_bytes, r.media_bytes, r.pts) for r in transport_stream.media_features(none).collect()] == [(0, 0, [])]
     rows = [(1, "a"), (2, None), (None, "a"), (1, "a"), (3, "")]
     df = spark.createDataFrame([(*r, b"x") for r in rows], "doc_id long, text string, media binary")
     got = transport_stream.media_features(transport_stream.media_column(df)).collect()

@@ -1,9 +1,12 @@
 """Disguised spellings in the toxicity model."""
 
+import itertools
+import random
+
 import numpy as np
 import pytest
 
-from strandlake.llm import toxicity
+from strandlake.llm import language_id, toxicity
 from strandlake.llm.common import Words
 
 
@@ -30,6 +33,39 @@ def test_inserted_letters(model):
     assert likeness(model, "sxtuxpixd")["stupid"] > 0.16 and likeness(model, "lxosxexr")["loser"] > 0.16
 
 
+def plain_kernel(a: bytes, b: bytes) -> float:
+    found = []
+    for s in (a, b):
+        held = {}
+        for at in itertools.combinations(range(len(s)), toxicity.LENGTH):
+            u = bytes(s[i] for i in at)
+            held[u] = held.get(u, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
+        found.append(held)
+    return sum(v * found[1].get(u, 0) for u, v in found[0].items())
+
+
+def test_features_against_plain_kernels(model):
+    """No word that a landmark's kernel reaches is passed over, whatever it lacks."""
+    rng = random.Random(5)
+    hits = 0
+    for _ in range(400):
+        base = rng.choice(("stupid", "loser", "scum", "others"))
+        word = "".join(c + rng.choice(("", "", "x", "e", "yz")) for c in base if rng.random() < 0.9) + rng.choice(("", "ly", "meant"))
+        got, raw = likeness(model, word), word.encode()
+        for z in model.landmarks:
+            parts = [(raw, 2 * len(z) - 1), (raw[::2], len(z)), (raw[1::2], len(z))] if len(raw) >= 7 else [(raw, 2 * len(z) - 1)]
+            best = max((plain_kernel(p[i : i + n], z) for p, n in parts for i in range(max(1, len(p) - n + 1))), default=0) / plain_kernel(z, z)
+            want = min(best, 1) ** 2 if min(best, 1) >= toxicity.LEAST else 0
+            assert got.get(z.decode(), 0) == pytest.approx(want, rel=1e-3, abs=1e-6), (word, z)
+            hits += want > 0
+    assert hits > 100
+
+
+def test_held_out_is_never_null(spark):
+    rows = spark.createDataFrame([(None,), (1,), (2,)], "doc_id long").select((toxicity.remainder(3) == 1).alias("h"), (language_id.remainder(4) == 2).alias("g"))
+    assert all(r.h in (True, False) and r.g in (True, False) for r in rows.collect())
+
+
 def test_spaces(model):
     for word in ("stupid", "loser", "scum"):
         for i in range(1, len(word)):
