@@ -235,7 +235,10 @@ def is_leaked(text: Column, items: Items, spark) -> Column:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of docs that leak no item; columns stay."""
+    """Rows of docs (text, any other columns) that leak no item of benchmark (item_id, text); columns stay.
+
+    Null, empty and wordless texts stay, and so do all rows if the benchmark has no words. Repeated rows stay or go alike.
+    """
     for items in item_blocks(benchmark):
         docs = docs.where(~is_leaked(F.col("text"), items, docs.sparkSession))
     return docs

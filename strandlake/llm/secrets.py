@@ -136,7 +136,10 @@ def _vocabulary(rules: tuple[Rule, ...]) -> dict[bool, list[str]]:
 
 
 def trigram_postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(trigram, fold, doc_id): the documents that hold each needed trigram, without repeats in a text."""
+    """(trigram, fold, doc_id, key): the documents that hold each needed trigram, without repeats in a text.
+
+    key is a hash of the text: rows that share a doc_id, or have none, are dealt by it.
+    """
     needed = _vocabulary(rules)
     listed = {fold: F.array(*map(F.lit, needed[fold])).cast("array<string>") for fold in needed}
     # case is folded once a text: the lambda's variable is the folded text
@@ -144,11 +147,11 @@ def trigram_postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     exact = F.filter(listed[False], lambda t: F.contains(F.col("text"), t))
     pair = lambda fold: lambda t: F.struct(t.alias("trigram"), F.lit(fold).alias("fold"))
     held = F.concat(F.transform(F.get(folded, F.lit(0)), pair(True)), F.transform(exact, pair(False)))
-    return docs.select("doc_id", F.explode(held).alias("p")).select("p.trigram", "p.fold", "doc_id")
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(held).alias("p")).select("p.trigram", "p.fold", "doc_id", "key")
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, rules): for each document, the rules whose Boolean query its postings satisfy.
+    """(doc_id, key, rules): for each document, the rules whose Boolean query its postings satisfy.
 
     The postings of a conjunction are intersected by counting: a document is in all of n postings lists if it
     has n distinct trigrams of the conjunction. Partial counts are made before the shuffle.
@@ -177,14 +180,14 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             if who == name:
                 mask = F.when((F.col("trigram") == t) & (F.col("fold") == F.lit(fold)), F.lit(1 << place)).otherwise(mask)
         masks.append(F.bit_or(mask).alias(name))
-    found = postings.groupBy("doc_id").agg(*masks)
+    found = postings.groupBy("doc_id", "key").agg(*masks)
     admitted = []
     for rule in rules:
         own = [n for n in names if owner[n] == rule.kind]
         if own:
             full = reduce(lambda a, b: a | b, [F.col(f"`{n}`") == F.lit((1 << size[n]) - 1) for n in own])
             admitted.append(F.when(full, F.lit(rule.kind)))
-    return found.select("doc_id", F.array_compact(F.array(*admitted)).alias("rules")).where(F.size("rules") > 0)
+    return found.select("doc_id", "key", F.array_compact(F.array(*admitted)).alias("rules")).where(F.size("rules") > 0)
 
 
 def _spans(rule: Rule, order: int) -> Column:
@@ -227,15 +230,16 @@ _NONE = "cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)"
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, column: str = "secret_spans") -> DataFrame:
     """docs with a column of secret spans: array<struct<start, rank, end, kind>> ordered by start, then rule.
 
-    docs needs doc_id and text; a null text counts as empty. Its other columns stay. Rows that repeat a doc_id
-    share candidate rules, which verification settles for each; a null doc_id is looked up like any other.
+    docs needs doc_id and text; a null text counts as empty. Its other columns stay. Rows are looked up by doc_id and a
+    hash of their text, so those that repeat a doc_id or have none meet only equal texts.
     An empty table gives an empty one. A column of the same name is replaced.
     """
     found = candidates(trigram_postings(docs.select("doc_id", "text"), rules), rules)
     docs = docs.drop(column)
-    id_name, rules_name = free_name("secret_id", docs.columns), free_name("secret_rules", docs.columns)
-    found = found.select(F.col("doc_id").alias(id_name), F.col("rules").alias(rules_name))
-    joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(id_name)), "left")
+    id_name, key_name, rules_name = (free_name(f"secret_{n}", docs.columns) for n in ("id", "key", "rules"))
+    found = found.select(F.col("doc_id").alias(id_name), F.col("key").alias(key_name), F.col("rules").alias(rules_name))
+    same = F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.xxhash64("text") == F.col(key_name))
+    joined = docs.join(found.hint("shuffle_hash"), same, "left")
     spans = []
     for order, rule in enumerate(rules):
         each = _spans(rule, order)
@@ -248,7 +252,10 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, column:
 
 
 def span_report(found: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans from secret_spans."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: one row for each row of found (doc_id, secret_spans).
+
+    Without spans, counts are 0, spans is empty and the digest that of nothing. Other columns are ignored.
+    """
     name = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     count = lambda k: F.size(F.filter("secret_spans", lambda x: x["kind"] == k)).cast("long")
     base = F.filter("secret_spans", lambda x: x["rank"] < len(BASE))
@@ -262,7 +269,8 @@ def span_report(found: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """docs with every span of text replaced by mark; overlapping spans become one. n_chars follows changed texts.
 
-    Columns, their order and clean rows stay as they are.
+    Columns, their order and clean rows stay as they are; a null text stays null, repeated rows stay rows of their own
+    and an empty table gives an empty one.
     """
     spans = free_name("secret_spans", docs.columns)
     found = secret_spans(docs, rules, spans)

@@ -132,11 +132,11 @@ class _Sketch:
 
 
 def _candidates(window: int, sketch):
-    """(h1, h2, n, doc_id) of windows estimated repeated, equal ones of a step added up."""
+    """(h1, h2, n, doc_id, key) of windows estimated repeated, equal ones of a step added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = column(batch, "doc_id")
+            ids, keys = column(batch, "doc_id"), column(batch, "key")
             for i, _, data, offsets in text_steps(column(batch, "text")):
                 _, _, text, h1, h2, anchor, _ = _windows(data, offsets, window)
                 on = np.flatnonzero(sketch.value.repeated(anchor))
@@ -151,9 +151,9 @@ def _candidates(window: int, sketch):
                         pa.array(h1[first].view(np.int64)),
                         pa.array(h2[first].astype(np.uint32).view(np.int32)),
                         pa.array(np.minimum(count, 2).astype(np.int32)),
-                        ids.take(pa.array(text[first] + i)),
+                        ids.take(pa.array(text[first] + i)), keys.take(pa.array(text[first] + i)),
                     ],
-                    names=["h1", "h2", "n", "doc_id"],
+                    names=["h1", "h2", "n", "doc_id", "key"],
                 )
 
     return run
@@ -220,15 +220,19 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
         bits[row.block * BLOCK_BYTES : (row.block + 1) * BLOCK_BYTES] = np.frombuffer(row.twice, np.uint8)
     sketch = spark.sparkContext.broadcast(_Sketch(blocks, width, bits))
 
-    found = source.mapInArrow(_candidates(window, sketch), "h1 long, h2 int, n int, doc_id long")
+    # rows that share a doc_id, or have none, are told apart by their texts
+    keyed = source.withColumn("key", F.xxhash64("text"))
+    found = keyed.mapInArrow(_candidates(window, sketch), "h1 long, h2 int, n int, doc_id long, key long")
     once = (
-        found.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.first("doc_id").alias("doc_id")).where("n = 1")
-        .groupBy(F.col("doc_id").alias("own")).agg(F.collect_list("h1").alias("h1"), F.collect_list("h2").alias("h2"))
+        found.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.first(F.struct("doc_id", "key")).alias("at")).where("n = 1")
+        .groupBy(F.col("at.doc_id").alias("own"), F.col("at.key").alias("own_key"))
+        .agg(F.collect_list("h1").alias("h1"), F.collect_list("h2").alias("h2"))  # of one text
     )
-    joined = source.join(once.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("own")), "left").select("doc_id", "text", "h1", "h2")
+    same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key"))
+    joined = keyed.join(once.hint("shuffle_hash"), same, "left").select("doc_id", "text", "h1", "h2")
     return joined.mapInArrow(_removed(window, sketch), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def digests(removed: DataFrame) -> DataFrame:
-    """kept as a SHA-256."""
+    """doc_id, n_words, n_removed, kept_sha256: one row for each row of removed; nothing kept has the digest of nothing."""
     return removed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
