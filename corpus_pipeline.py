@@ -58,7 +58,7 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-#: Trained scores, hashed signatures and tokenizers are beyond SQL; tests compare the stages with brute force.
+#: Trained scores, hashed signatures and tokenizers are beyond SQL; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
