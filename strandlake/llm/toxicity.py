@@ -9,7 +9,7 @@ sentences; Nyström's map over them gives features, and a linear support vector
 sentences: of a toxic document, those that score highest. A document scores as its worst sentence.
 
 A likeness is that of the best window with room for a letter between all of the landmark's, and one under LEAST of the
-landmark's own counts as 0. Only words that lack the letters of every subsequence are passed over, whose kernel is 0.
+landmark's own counts as 0. Only windows whose letters prove that are passed over.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ JOINED = 12
 POWER, LEAST = 2, 0.3
 #: Fitting is bounded: labelled documents of each label, characters of each, and landmarks.
 SAMPLE, LONGEST, LANDMARKS = 1_000, 6_000, 64
+#: Pieces like no landmark that a worker remembers (8 bytes each).
+REMEMBERED = 1_000_000
 REGULAR, EPOCHS, ROUNDS = 1e-4, 60, 3
 #: Likenesses in clean sentences, for each toxic one that holds a landmark, past which its disguises are not learnt.
 CROWD = 4
@@ -137,9 +139,9 @@ class Spelled:
         np.cumsum((self.letters.astype(U64) + U64(1)) * powers[:n], out=sums[1:])
         self.name = (sums[self.end] - sums[self.start]) * inverse[self.start]
         # which letters each piece has
-        held = np.append(_bits(self.letters), U64(0))
+        self.bits = np.append(_bits(self.letters), U64(0))
         bounds = np.stack([self.start, self.end], axis=1).ravel()
-        self.held = np.bitwise_or.reduceat(held, bounds)[::2] if len(bounds) else np.zeros(0, U64)
+        self.held = np.bitwise_or.reduceat(self.bits, bounds)[::2] if len(bounds) else np.zeros(0, U64)
 
 
 def _best(first: np.ndarray, last: np.ndarray, got: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +166,25 @@ def _best(first: np.ndarray, last: np.ndarray, got: np.ndarray, words: int) -> t
     return a[pick], v[pick]
 
 
+def _most(landmark: np.ndarray, norm: float) -> np.ndarray:
+    """The most that the kernel of a string with so many of the landmark's kinds of letters can be, over the landmark's own.
+
+    A subsequence weighs at most DECAY to the LENGTH in the string and comes at most once if no letter repeats. Each
+    letter of the landmark that the string has beyond one of its kind at most doubles how often it comes.
+    """
+    weight: Counter[tuple[int, ...]] = Counter()
+    for at in combinations(range(len(landmark)), LENGTH):
+        weight[tuple(landmark[list(at)].tolist())] += DECAY ** (at[-1] - at[0] + 1)
+    kinds = {c: _bits(np.array([c], np.uint8))[0].item() for c in set(landmark.tolist())}
+    names = sorted(set(kinds.values()))
+    out = np.zeros(65)
+    for size in range(len(names) + 1):
+        for held in combinations(names, size):
+            whole = sum(w for u, w in weight.items() if all(kinds[c] in held for c in u))
+            out[size] = max(out[size], whole * DECAY**LENGTH / norm)
+    return out
+
+
 @dataclass
 class Model:
     landmarks: list[bytes]
@@ -173,22 +194,31 @@ class Model:
     shift: float = 0.0
 
     def __post_init__(self):
+        self.unlike = np.zeros(0, U64)
         self.codes = [_CODE[np.frombuffer(z, np.uint8)] for z in self.landmarks]
         self.norms = [float(kernel(z[None, :], z)[0]) for z in self.codes]
         self.masks = [np.bitwise_or.reduce(_bits(z)) for z in self.codes]
         # what shares a subsequence has the letters of one; a landmark that repeats letters has short sets of them
         self.needs = [min(np.bitwise_or.reduce(_bits(np.array(s))).item().bit_count() for s in combinations(z, LENGTH)) for z in self.codes]
+        self.holds = [np.bitwise_and(_bits(np.arange(256, dtype=np.uint8)), m) > 0 for m in self.masks]
+        self.most = [_most(z, norm) for z, norm in zip(self.codes, self.norms)]
 
     def word_features(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, landmark, value) of kernels that are not 0, each over the landmark's own and to the POWER."""
         at, which, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         spelled = Spelled(words)
+        # equal pieces are computed once, and those like no landmark are remembered from step to step
+        names, piece, alike = np.unique(spelled.name ^ spelled.close.astype(U64), return_index=True, return_inverse=True)
+        unlike = self.unlike[np.minimum(np.searchsorted(self.unlike, names), max(0, len(self.unlike) - 1))] == names if len(self.unlike) else np.zeros(len(names), bool)
+        held, open_, like = spelled.held[piece], ~unlike, np.zeros(len(names), bool)
+        each_name = np.argsort(alike, kind="stable")
+        bounds = np.searchsorted(alike[each_name], np.arange(len(names) + 1))
         for k, (mask, need) in enumerate(zip(self.masks, self.needs)):
-            hit = np.flatnonzero(np.bitwise_count(spelled.held & mask) >= need)
-            if not len(hit):
+            some = np.flatnonzero(open_ & (np.bitwise_count(held & mask) >= need))
+            if not len(some):
                 continue
-            _, first, back = np.unique(spelled.name[hit] ^ spelled.close[hit].astype(U64), return_index=True, return_inverse=True)
-            rows = hit[first]
+            some = some[np.argsort(spelled.start[piece[some]], kind="stable")]  # reduceat also reads what lies between
+            rows = piece[some]
             # the best window of the piece, with room for a letter between all
             size = len(self.codes[k])
             width = np.where(spelled.close[rows], size, 2 * size - 1)
@@ -196,20 +226,34 @@ class Model:
             ahead = np.cumsum(many) - many
             start = np.repeat(spelled.start[rows] - ahead, many) + np.arange(many.sum())
             end = np.minimum(start + np.repeat(width, many), np.repeat(spelled.end[rows], many))
-            each = np.empty(len(start))
-            by_size = np.argsort(end - start, kind="stable")
-            for low in range(0, len(start), 4096):
+            # windows whose letters keep their kernel under LEAST are 0
+            inside = np.zeros(len(spelled.letters) + 1, np.int32)
+            np.cumsum(self.holds[k][spelled.letters], out=inside[1:])
+            kinds = np.bitwise_count(np.bitwise_or.reduceat(spelled.bits, np.stack([start, end], axis=1).ravel())[::2] & mask)
+            over = np.clip(inside[end] - inside[start] - kinds, 0, 12)
+            each = np.zeros(len(start))
+            may = np.flatnonzero(self.most[k][kinds] * (1 << over) >= LEAST)
+            by_size = may[np.argsort((end - start)[may], kind="stable")]
+            for low in range(0, len(may), 4096):
                 pick = by_size[low : low + 4096]
                 place = start[pick, None] + np.arange(end[pick[-1]] - start[pick[-1]])
                 letters = np.where(place < end[pick, None], spelled.letters[np.minimum(place, len(spelled.letters) - 1)], 0)
                 each[pick] = kernel(letters, self.codes[k])
-            got = np.maximum.reduceat(each, ahead)
-            got = np.minimum(got / self.norms[k], 1.0)[back]
-            hit, got = hit[got >= LEAST], got[got >= LEAST]
+            got = np.minimum(np.maximum.reduceat(each, ahead) / self.norms[k], 1.0)
+            some, got = some[got >= LEAST], got[got >= LEAST]
+            if not len(some):
+                continue
+            like[some] = True
+            # all pieces of these names
+            many = bounds[some + 1] - bounds[some]
+            hit = each_name[np.repeat(bounds[some] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            got = np.repeat(got, many)
             word, best = _best(spelled.owner[hit], spelled.last[hit], got, len(words.start))
             at.append(word)
             which.append(np.full(len(word), k))
             value.append(best**POWER)
+        fresh = names[open_ & ~like]
+        self.unlike = np.sort(np.concatenate([self.unlike, fresh])) if len(self.unlike) < REMEMBERED else fresh
         return np.concatenate(at), np.concatenate(which), np.concatenate(value)
 
     def decision(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
