@@ -190,6 +190,9 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return found.select("doc_id", "key", F.array_compact(F.array(*admitted)).alias("rules")).where(F.size("rules") > 0)
 
 
+_NONE = "cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)"
+
+
 def _spans(rule: Rule, order: int) -> Column:
     """array<struct<start, rank, end, kind>> of the rule's matches in text, in code points, end exclusive.
 
@@ -203,28 +206,51 @@ def _spans(rule: Rule, order: int) -> Column:
         F.transform(matches, lambda m: F.length(m)).alias("size"),
         F.transform(checked, lambda m: F.length(m)).alias("checked"),
     )
-    state = F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)").alias("found")),
-        lambda s, r: F.struct(
-            (s["at"] + r["gap"] + F.coalesce(r["size"], F.lit(0))).alias("at"),
-            F.when(
-                r["checked"] >= rule.least,
-                F.array_append(
-                    s["found"],
-                    F.struct(
-                        (s["at"] + r["gap"]).alias("start"), F.lit(order).alias("rank"),
-                        (s["at"] + r["gap"] + r["size"]).alias("end"), F.lit(rule.kind).alias("kind"),
+    taken = lambda r: r["gap"] + F.coalesce(r["size"], F.lit(0))
+
+    def block(z: Column) -> Column:
+        """Spans of one block of rows, which begins at z.ahead."""
+        return F.aggregate(
+            z["rows"],
+            F.struct(z["ahead"].alias("at"), F.expr(_NONE).alias("found")),
+            lambda s, r: F.struct(
+                (s["at"] + taken(r)).alias("at"),
+                F.when(
+                    r["checked"] >= rule.least,
+                    F.array_append(
+                        s["found"],
+                        F.struct(
+                            (s["at"] + r["gap"]).alias("start"), F.lit(order).alias("rank"),
+                            (s["at"] + r["gap"] + r["size"]).alias("end"), F.lit(rule.kind).alias("kind"),
+                        ),
                     ),
-                ),
-            ).otherwise(s["found"]).alias("found"),
-        ),
-        lambda s: s["found"],
-    )
-    return state
-
-
-_NONE = "cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)"
+                ).otherwise(s["found"]).alias("found"),
+            ),
+            lambda s: s["found"],
+        )
+
+    def places(rows: Column) -> Column:
+        # an array grows by copying, so rows are taken in about as many blocks as a block has rows
+        size = F.ceil(F.sqrt(F.size(rows))).cast("int")
+        firsts = F.sequence(F.lit(1), F.size(rows), size)
+        return _once(F.transform(firsts, lambda at: F.slice(rows, at, size)), spans)
+
+    def spans(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda rows: F.aggregate(rows, F.lit(0), lambda n, r: n + taken(r)))
+        ahead = F.aggregate(
+            sums,
+            F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all")),
+            lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["all"], s["at"]).alias("all")),
+            lambda s: s["all"],
+        )
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("rows"), ahead.alias("ahead")), block))
+
+    return _once(rows, places)
+
+
+def _once(value: Column, then) -> Column:
+    """then(value), with value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, column: str = "secret_spans") -> DataFrame:

@@ -83,6 +83,14 @@ def test_secrets(spark):
     assert got == want
 
 
+def test_secrets_of_a_very_long_text(spark):
+    text = "".join(f"{k:016x} token=abcdefghijk{'l' * (k % 3)}, " for k in range(20_000))
+    found = secrets.span_report(secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    spans = base_spans(text)
+    assert len(spans) > 30_000
+    assert found.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans).encode()).hexdigest()
+
+
 def test_secret_queries_and_masks(spark):
     queries = {r.kind: r.trigram_query() for r in secrets.BASE + secrets.MORE}
     assert queries["access"] == [["AKI", "KIA"]] and queries["hex"] == []
