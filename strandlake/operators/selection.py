@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.archive import numbered
+from ..ordering import numbered
 
 
 def catalog(stats: DataFrame, filename: Column, key: str) -> DataFrame:

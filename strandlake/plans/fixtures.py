@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..durable import staged
 from ..functions.residues import letters
 from ..operators import variants as ops
+from ..ordering import numbered
 from ..session import table
-from ..sources.archive import numbered
 
 # ------------------------------------------------------------------ sequences
 

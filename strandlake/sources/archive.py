@@ -7,44 +7,16 @@ is read.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup
 from ..operators.parsing import TUPLES
+from ..ordering import numbered  # noqa: F401
 
 BUCKETS = 64
 
 
-def numbered(rows: DataFrame, key: str, number: str = "ord", then: tuple[str, ...] = ()) -> DataFrame:
-    """rows with a number from 0 in the order of key (a number), then of further columns, without sorting them in one task.
-
-    Rows are dealt into ranges of key whose borders are taken once, as literals, so counting and ranking see the same
-    ranges. Ranks inside a range are shifted by the sizes of the ranges before; rows equal in all of them get any order.
-    """
-    spark = rows.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    borders = rows.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)] or [0.5], 10_000).alias("b")).first().b
-    part, rank, shift = (free_name(n, [*rows.columns, number]) for n in ("part", "rank", "shift"))
-    # parts numbers at most, whatever the table
-    above = reduce(lambda a, b: a + b, [(F.col(key) > F.lit(b)).cast("int") for b in sorted(set(borders or []))], F.lit(0))
-    dealt = rows.withColumn(part, F.coalesce(above, F.lit(-1)))
-    sizes = dealt.groupBy(part).agg(F.count("*").alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(shift))
-    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(part).orderBy(key, *then)))
-    return ranked.join(F.broadcast(shifts), part).select(*rows.columns, (F.col(shift) + F.col(rank) - 1).alias(number))
-
-
-def free_name(name: str, taken: list[str]) -> str:
-    """name, with underscores until no column has it."""
-    while name.lower() in {c.lower() for c in taken}:
-        name += "_"
-    return name
-
-
 #: Columns of the segments table: which tuples of a file repeat an earlier file's.
 SEGMENTS = "file_id long, tuple_no long, src_file long, src_tuple long, n_tuples long"
 
