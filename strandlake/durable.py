@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,3 +42,10 @@ def drop_staged(df: DataFrame) -> None:
     for uri in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(uri)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shared_uri(spark: SparkSession, path: str) -> str:
+    """path as a URI that names its file system, so that every executor reads and writes the same place."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub("^file:/+", "file:///", full)
