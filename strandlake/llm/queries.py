@@ -1,13 +1,14 @@
-"""The registered queries of the ten operators, over whole tables with production parameters."""
+"""The registered queries of the operators, over whole tables with production parameters."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_id, near_dedup, oracles, packing, quality, secrets, substring_dedup, toxicity, transport_stream
+from . import chat, common, decontamination, language_id, near_dedup, oracles, packing, periodic_runs, quality, secrets, substring_dedup, token_files, toxicity, transport_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +71,16 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{common.scratch_dir(spark)}/strandlake/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
+    token_files.write(_table(spark, sf_dir, "documents"), folder, tokenizer_file())
+    return token_files.documents(spark, folder)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), periodic_runs.by_document))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -82,6 +93,8 @@ def queries() -> dict[str, Query]:
         "op9_language_id": op9_language_id,
         "op10_perspective_rotation": op10_perspective_rotation,
         "op8_substring_dedup": op8_substring_dedup,
+        "op12_token_files": op12_token_files,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
