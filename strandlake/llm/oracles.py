@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, secrets
+from . import chat, prefix_trie, secrets
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -67,4 +67,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_secret_scan": _secret_scan(),
         "op8_substring_dedup": SUBSTRING_DEDUP,
         "op10_perspective_rotation": chat.SQL,
+        "op11_prefix_trie": prefix_trie.SQL,
     }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontamination, language_id, near_dedup, oracles, packing, periodic_runs, quality, secrets, substring_dedup, token_files, toxicity, transport_stream
+from . import chat, common, decontamination, language_id, near_dedup, oracles, packing, periodic_runs, prefix_trie, quality, secrets, substring_dedup, token_files, toxicity, transport_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,11 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.conversation_turns(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.with_shared_openings(turns, convs))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{common.scratch_dir(spark)}/strandlake/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
     token_files.write(_table(spark, sf_dir, "documents"), folder, tokenizer_file())
@@ -93,6 +98,7 @@ def queries() -> dict[str, Query]:
         "op9_language_id": op9_language_id,
         "op10_perspective_rotation": op10_perspective_rotation,
         "op8_substring_dedup": op8_substring_dedup,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_token_files": op12_token_files,
         "op13_periodic_runs": op13_periodic_runs,
     }
