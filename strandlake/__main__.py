@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .durable import drop_staged, staged
 from .functions import buckets
 from .operators import dedup, parsing, selection, variants
-from .sources import archive, fasta, vcf
+from .sources import archive, fasta, splits, vcf
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -55,12 +55,6 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
-def _joined(found):
-    """One sequence a file: its records' residues in order."""
-    row = F.array_sort(F.collect_list(F.struct("seq_no", "seq")))
-    return found.groupBy("file_id").agg(F.array_join(F.transform(row, lambda r: r["seq"]), "").alias("seq"))
-
-
 def named_files(spark: SparkSession, given: list[str]) -> list[str]:
     """The given paths; @path stands for the white-space separated paths in that file."""
     out: list[str] = []
@@ -70,22 +64,25 @@ def named_files(spark: SparkSession, given: list[str]) -> list[str]:
 
 
 def encode(spark: SparkSession, a) -> None:
-    contents = fasta.read_files(spark, *named_files(spark, a.files))
-    found = fasta.records(contents)
-    named = contents.select("file_id", F.col("filename").alias("name"), *fasta.layout(F.col("content")))
-    files = selection.catalog(fasta.file_stats(found).join(named, "file_id"), F.col("name"), "file_id")
-    files = selection.checked(files.drop("name"))
-    layout = fasta.sequences(found).select("file_id", "seq_no", "seq_name", "size", "start_pos", "line_len")
-    whole = _joined(found)
-    reference = whole.where("file_id = 0")
-    tuples = parsing.encode(whole.where("file_id > 0"), reference.first().seq, a.min_match, a.min_after, a.indel2)
+    named, cut = splits.ranges(spark, *named_files(spark, a.files))
+    pieces, ends = splits.scan(cut)
+    found = staged(splits.records(pieces), "records")
+    files = selection.catalog(splits.layouts(named, found, ends).withColumnRenamed("filename", "name"), F.col("name"), "file_id")
+    files = staged(selection.checked(files.drop("name")), "catalog")
+    layout = found.select("file_id", "seq_no", "seq_name", "size", "start_pos", "line_len")
+    # the parse takes a file at a time
+    row = F.array_sort(F.collect_list(F.struct("chunk", "bases")))
+    whole = splits.chunks(pieces).groupBy("file_id").agg(F.array_join(F.transform(row, lambda r: r["bases"]), "").alias("seq"))
+    reference = staged(whole.where("file_id = 0"), "reference")
+    first = reference.first()
+    tuples = parsing.encode(whole.where("file_id > 0"), first.seq if first else "", a.min_match, a.min_after, a.indel2)
     tuples = staged(tuples.withColumn("ref_pos", buckets.checked_position(F.col("ref_pos"))), "tuples")
     signed = tuples.withColumn("sig", F.concat_ws(":", "kind", "ref_pos", "len", "lit"))
     kept = dedup.retained(files.select("ord", "file_id"), a.level).where("retained")
     segments = staged(dedup.chosen_segments(dedup.segment_matches(dedup.window_hits(dedup.windows(signed), kept))), "segments")
     archive.write(a.archive, files, layout, reference, dedup.uncovered(tuples, segments), segments)
-    drop_staged(tuples)
-    drop_staged(segments)
+    for table in (tuples, segments, pieces, found, files, reference):
+        drop_staged(table)
 
 
 def decode(spark: SparkSession, a) -> None:

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,3 +50,10 @@ def shared_uri(spark: SparkSession, path: str) -> str:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
     return re.sub("^file:/+", "file:///", full)
+
+
+def store_of(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a URI and the path in it, for tasks that read or write bytes themselves."""
+    if uri.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), re.sub("^file:/+", "/", uri)
+    return pyarrow.fs.FileSystem.from_uri(uri)

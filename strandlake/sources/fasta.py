@@ -7,10 +7,10 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..durable import shared_uri, store_of
 from ..functions.residues import residues, wrapped
 
 #: A header marker, the rest of its line, the line's end, and everything up to the next marker.
@@ -22,16 +22,15 @@ def read_files(spark: SparkSession, *paths: str) -> DataFrame:
 
     Files are told apart by their whole paths, so names may repeat in different folders.
     """
-    order = spark.createDataFrame([(k, _qualified(spark, p), p.rstrip("/").rsplit("/", 1)[-1]) for k, p in enumerate(paths)], "ord int, at string, filename string")
+    order = spark.createDataFrame([(k, qualified(spark, p), p.rstrip("/").rsplit("/", 1)[-1]) for k, p in enumerate(paths)], "ord int, at string, filename string")
     read = spark.read.format("binaryFile").load(list(dict.fromkeys(paths)))
     named = read.select(F.regexp_replace("path", "^file:/+", "file:/").alias("at"), F.decode("content", "UTF-8").alias("content"))
     return named.join(F.broadcast(order), "at").select(F.col("ord").cast("long").alias("file_id"), "ord", "filename", "content")
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
+def qualified(spark: SparkSession, path: str) -> str:
     """The path as Spark reports it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return re.sub("^file:/+", "file:/", at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString())
+    return re.sub("^file:/+", "file:/", shared_uri(spark, path))
 
 
 def end_of_line(content: Column) -> Column:
@@ -99,11 +98,12 @@ def write_exact(found: DataFrame, path: str) -> list[str]:
     """Writes texts (file_id, filename, seq_no, text) to `<file name>.ori` in a folder, byte by byte; the paths written.
 
     A task writes a file record by record under a name of its own and renames it, so a rerun replaces a lost attempt.
-    Names that repeat are told apart by their file_id.
+    Names that repeat are told apart by their file_id. A path without a scheme is on Spark's default file system.
     """
+    uri = shared_uri(found.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+        store, folder = store_of(uri)
         store.create_dir(folder, recursive=True)
         now, out, done = None, None, []
 
