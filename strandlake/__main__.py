@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .durable import drop_staged, staged
 from .functions import buckets
-from .operators import dedup, parsing, selection, variants
+from .operators import dedup, parsing, repeats, selection, variants
 from .sources import archive, fasta, splits, vcf
 
 
@@ -79,7 +79,7 @@ def encode(spark: SparkSession, a) -> None:
     tuples = staged(tuples.withColumn("ref_pos", buckets.checked_position(F.col("ref_pos"))), "tuples")
     signed = tuples.withColumn("sig", F.concat_ws(":", "kind", "ref_pos", "len", "lit"))
     kept = dedup.retained(files.select("ord", "file_id"), a.level).where("retained")
-    segments = staged(dedup.chosen_segments(dedup.segment_matches(dedup.window_hits(dedup.windows(signed), kept))), "segments")
+    segments = staged(repeats.chosen_segments(dedup.windows(signed), kept), "segments")
     archive.write(a.archive, files, layout, reference, dedup.uncovered(tuples, segments), segments)
     for table in (tuples, segments, pieces, found, files, reference):
         drop_staged(table)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..durable import staged
 from ..functions import buckets, residues
-from ..operators import dedup, matching, parsing, selection
+from ..operators import dedup, matching, parsing, repeats, selection
 from ..session import table
 from ..sources import fasta
 from . import fixtures as fx
@@ -294,7 +294,8 @@ walk as (
 
 
 def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.chosen_segments(_segments(spark, sf_dir))
+    kept = dedup.retained(fx.files(spark, sf_dir), LEVEL).where("retained")
+    return repeats.chosen_segments(dedup.windows(fx.tuples(spark, sf_dir)), kept)
 
 
 @register(
@@ -313,8 +314,7 @@ def segment_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("segment_restore", f"with {fx.TUPLES} select file_id, tuple_no, kind, ref_pos, len, lit, sum(len) over (partition by file_id order by tuple_no)::bigint - len out_start from tuples")
 def segment_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.tuples(spark, sf_dir).select("file_id", "tuple_no", "kind", "ref_pos", "len", "lit", F.lit(0).cast("long").alias("out_start"), "sig")
-    hits = dedup.window_hits(dedup.windows(_exact(rows)), dedup.retained(fx.files(spark, sf_dir)).where("retained"))
-    chosen = staged(dedup.chosen_segments(dedup.segment_matches(hits)), "segments")
+    chosen = staged(repeats.chosen_segments(dedup.windows(_exact(rows)), dedup.retained(fx.files(spark, sf_dir)).where("retained")), "segments")
     return dedup.restored(dedup.uncovered(rows.drop("sig"), chosen), chosen, 20)
 
 

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..durable import staged, store_of
 from .fasta import qualified
 
-#: Bytes of a range; residues of a chunk.
-SPLIT, CHUNK = 32 << 20, 1 << 16
+#: Bytes of a range; residues of a row of it, and of a chunk.
+SPLIT, PART, CHUNK = 32 << 20, 1 << 14, 1 << 16
 
 #: Where in a file a character is: in a body or before the first record; in a header; after a header's CR, where an LF
 #: still ends the header; in the first line of a body.
@@ -143,39 +143,46 @@ def _residues(text: str) -> str:
     return text.encode().translate(None, _DROPPED).decode() if text.isascii() else _DROPPED_TEXT.sub("", text)
 
 
-PIECES = "file_id long, range_no long, seq_no long, name string, header_end string, line_len long, seq string"
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            text = _text(row["uri"], row["at"], row["size"], row["length"])
-            rows, seq_no = [], row["record"]
-            piece = {"file_id": row["file_id"], "range_no": row["range_no"], "seq_no": seq_no, "line_len": 0, "seq": ""}
-            for kind, a, b, _ in _spans(text, row["state"]):
-                if kind == "mark":
-                    rows.append(piece)
-                    seq_no += 1
-                    piece = piece | {"seq_no": seq_no, "name": "", "header_end": None, "line_len": 0, "seq": ""}
-                elif kind == "body":
-                    piece["seq"] = _residues(text[a:b])
-                elif kind == "line":
-                    piece["line_len"] = b - a
-                else:
-                    key = "name" if kind == "name" else "header_end"
-                    piece[key] = (piece.get(key) or "") + text[a:b]
-            rows.append(piece)
-            yield pa.RecordBatch.from_pylist([r for r in rows if r["seq_no"] >= 0], _schema(PIECES))
-
-
-def scan(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+PIECES = "file_id long, range_no long, seq_no long, part long, name string, header_end string, line_len long, seq string"
+
+
+def _read(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                text = _text(row["uri"], row["at"], row["size"], row["length"])
+                rows, seq_no = [], row["record"]
+                piece = {"file_id": row["file_id"], "range_no": row["range_no"], "seq_no": seq_no, "line_len": 0, "seq": ""}
+                for kind, a, b, _ in _spans(text, row["state"]):
+                    if kind == "mark":
+                        rows.append(piece)
+                        seq_no += 1
+                        piece = piece | {"seq_no": seq_no, "name": "", "header_end": None, "line_len": 0, "seq": ""}
+                    elif kind == "body":
+                        piece["seq"] = _residues(text[a:b])
+                    elif kind == "line":
+                        piece["line_len"] = b - a
+                    else:
+                        key = "name" if kind == "name" else "header_end"
+                        piece[key] = (piece.get(key) or "") + text[a:b]
+                rows.append(piece)
+                for whole in (r for r in rows if r["seq_no"] >= 0):
+                    rest = {**whole, "name": None, "header_end": None, "line_len": 0}
+                    cut = range(0, max(1, len(whole["seq"])), size)
+                    parts = [{**(whole if not at else rest), "part": k, "seq": whole["seq"][at : at + size]} for k, at in enumerate(cut)]
+                    yield pa.RecordBatch.from_pylist(parts, _schema(PIECES))
+
+    return run
+
+
+def scan(cut: DataFrame, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """(pieces, ends) of byte ranges. pieces: of each record in each range, the parts of its name, of its header's end,
     of its first line's length and of its residues that lie there. ends: (file_id, newline_at_eof)."""
     some = f"{RANGES}, {', '.join(f'{c} long' for c in _SUMMARY)}, closed boolean"
     summed = cut.repartition("file_id", "range_no").mapInArrow(_summed, some)
     ordered = summed.repartition("file_id").sortWithinPartitions("file_id", "range_no")  # a few numbers a range
     known = staged(ordered.mapInArrow(_carried, f"{RANGES}, closed boolean, state long, record long"), "ranges")
-    pieces = known.drop("closed").repartition("file_id", "range_no").mapInArrow(_read, PIECES)
+    pieces = known.drop("closed").repartition("file_id", "range_no").mapInArrow(_read(part), PIECES)
     ends = known.where(F.col("at") + F.col("size") >= F.col("length")).select("file_id", F.col("closed").alias("newline_at_eof"))
     return staged(pieces, "pieces"), ends
 
@@ -191,19 +198,19 @@ def records(pieces: DataFrame) -> DataFrame:
         text("name"), F.sum("line_len").alias("line_len"), F.sum(F.length("seq").cast("long")).alias("size"), text("header_end"), F.min("range_no").alias("range_no")
     )
     # residues before a record: those of the ranges before its first one, and of the records that begin before it there
-    placed = found.join(_before(pieces), ["file_id", "range_no", "seq_no"])
+    placed = found.join(_before(pieces).where("part = 0"), ["file_id", "range_no", "seq_no"])
     return placed.select("file_id", F.col("seq_no").cast("int").alias("seq_no"), F.col("name").alias("seq_name"), "line_len", "size", "start_pos", "header_end")
 
 
 def _before(pieces: DataFrame) -> DataFrame:
-    """(file_id, range_no, seq_no, start_pos): where in the residues of its file a piece begins."""
-    sizes = pieces.select("file_id", "range_no", "seq_no", F.length("seq").cast("long").alias("n"))
+    """(file_id, range_no, seq_no, part, start_pos): where in the residues of its file a piece begins."""
+    sizes = pieces.select("file_id", "range_no", "seq_no", "part", F.length("seq").cast("long").alias("n"))
     totals = sizes.groupBy("file_id", "range_no").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("file_id").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     carried = totals.select("file_id", "range_no", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("carried"))
-    inside = Window.partitionBy("file_id", "range_no").orderBy("seq_no").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file_id", "range_no").orderBy("seq_no", "part").rowsBetween(Window.unboundedPreceding, -1)
     local = sizes.withColumn("local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return local.join(carried, ["file_id", "range_no"]).select("file_id", "range_no", "seq_no", (F.col("carried") + F.col("local")).alias("start_pos"))
+    return local.join(carried, ["file_id", "range_no"]).select("file_id", "range_no", "seq_no", "part", (F.col("carried") + F.col("local")).alias("start_pos"))
 
 
 def layouts(files: DataFrame, found: DataFrame, ends: DataFrame) -> DataFrame:
@@ -218,7 +225,7 @@ def layouts(files: DataFrame, found: DataFrame, ends: DataFrame) -> DataFrame:
 
 def chunks(pieces: DataFrame, size: int = CHUNK) -> DataFrame:
     """(file_id, chunk, bases): the residues of each file, record after record, cut every `size`."""
-    placed = pieces.where("seq <> ''").join(_before(pieces), ["file_id", "range_no", "seq_no"])
+    placed = pieces.where("seq <> ''").join(_before(pieces), ["file_id", "range_no", "seq_no", "part"])
     n = F.length("seq")
     last = F.floor((F.col("start_pos") + n - 1) / size)
     cut = placed.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start_pos") / size), last)))

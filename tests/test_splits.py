@@ -38,13 +38,13 @@ def small(spark, paths):
     return rows, {r.file_id: r.asDict() for r in layout.collect()}
 
 
-@pytest.mark.parametrize("split", [1, 3, 7, 64, 1 << 20])
-def test_rows_at_any_split(spark, paths, small, split):
+@pytest.mark.parametrize("split,part", [(1, 1 << 20), (3, 1), (7, 1 << 20), (64, 5), (1 << 20, 7), (1 << 20, 1 << 20)])
+def test_rows_at_any_split(spark, paths, small, split, part):
     files, cut = splits.ranges(spark, *paths, split=split)
-    pieces, ends = splits.scan(cut)
+    pieces, ends = splits.scan(cut, part)
     found = splits.records(pieces)
     seqs: dict = {}
-    for p in sorted(pieces.collect(), key=lambda p: (p.file_id, p.seq_no, p.range_no)):
+    for p in sorted(pieces.collect(), key=lambda p: (p.file_id, p.seq_no, p.range_no, p.part)):
         seqs[p.file_id, p.seq_no] = seqs.get((p.file_id, p.seq_no), "") + p.seq
     assert {(r.file_id, r.seq_no): (r.seq_name, r.line_len, r.size, r.start_pos, seqs[r.file_id, r.seq_no]) for r in found.collect()} == small[0]
     assert {r.file_id: r.asDict() for r in splits.layouts(files, found, ends).collect()} == small[1]
