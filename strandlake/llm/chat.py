@@ -42,7 +42,8 @@ def rotate(conversations: DataFrame) -> DataFrame:
     """
     clean = conversations.where("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-        F.replace(escaped(F.coalesce(F.col("role").cast("string"), F.lit("unknown"))), F.lit("\n"), F.lit("\\n")).alias("role"),
+        # backslashes first, so that no two roles become one
+        F.replace(escaped(F.replace(F.coalesce(F.col("role").cast("string"), F.lit("unknown")), F.lit("\\"), F.lit("\\\\"))), F.lit("\n"), F.lit("\\n")).alias("role"),
         escaped(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"),
     )
     # places in a long conversation: rows are ranked in blocks of turn numbers, block sums carry on
@@ -84,7 +85,7 @@ def rotate(conversations: DataFrame) -> DataFrame:
 #: DuckDB's rendering of the same rows.
 SQL = f"""
 with t as (
-  select conv_id, turn, replace(replace(coalesce(role, 'unknown'), '<|', '<\\|'), chr(10), '\\n') role,
+  select conv_id, turn, replace(replace(replace(coalesce(role, 'unknown'), chr(92), repeat(chr(92), 2)), '<|', '<\\|'), chr(10), '\\n') role,
     replace(coalesce(text, ''), '<|', '<\\|') text from conversations where conv_id is not null),
 p as (select distinct conv_id, role perspective from t where role <> '{SYSTEM}'),
 r as (

@@ -15,10 +15,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import STEP_BYTES, column
 
 # Fixed values of the format: packet size, sync byte, table identifiers, stream kinds, clock.
 PACKET, SYNC = 188, 0x47
@@ -82,18 +83,31 @@ def _timestamp(value: int) -> bytes:
     )
 
 
+def _clock(value: int) -> bytes:
+    """A program clock reference of 90 kHz ticks."""
+    value &= (1 << 33) - 1
+    return bytes([value >> 25, value >> 17 & 255, value >> 9 & 255, value >> 1 & 255, (value & 1) << 7 | 0x7E, 0])
+
+
+def _counted(packet: bytes, counter: int) -> bytes:
+    return packet[:3] + bytes([packet[3] & 0xF0 | counter & 15]) + packet[4:]
+
+
 def write_stream(payload: bytes) -> bytes:
     """A transport stream that carries payload as one program with one private data stream."""
     step = UNIT * BLOCK
-    out = [_PAT, _PMT]
-    counter = 0
+    out, counter = [], 0
     for unit, at in enumerate(range(0, len(payload), step)):
         part = payload[at : at + step]
         size = len(part) + 8
         pes = b"\x00\x00\x01" + bytes([PRIVATE_STREAM, size >> 8, size & 255, 0x84, 0x80, 5]) + _timestamp(unit * TICKS) + part
-        flags = 0x40 if unit % GROUP == 0 else 0
+        flags, clock = 0, b""
+        if unit % GROUP == 0:
+            # a reader may start here: tables and the clock come again
+            flags, clock = 0x50, _clock(unit * TICKS)
+            out += [_counted(_PAT, unit // GROUP), _counted(_PMT, unit // GROUP)]
         # the first packet has an adaptation field with flags; the last is stuffed to its full size
-        first = 184 - 2
+        first = 184 - 2 - len(clock)
         later = -(-max(0, len(pes) - first) // 184)
         packets = np.full((1 + later, PACKET), 0xFF, np.uint8)
         packets[:, 0] = SYNC
@@ -104,8 +118,9 @@ def write_stream(payload: bytes) -> bytes:
         data = np.frombuffer(pes, np.uint8)
         short = max(0, first - len(data))
         packets[0, 3] |= 0x20
-        packets[0, 4], packets[0, 5] = 1 + short, flags
-        packets[0, 6 + short :] = data[: first - short]
+        packets[0, 4], packets[0, 5] = 1 + len(clock) + short, flags
+        packets[0, 6 : 6 + len(clock)] = np.frombuffer(clock, np.uint8)
+        packets[0, 6 + len(clock) + short :] = data[: first - short]
         rest = data[first - short :]
         whole = len(rest) // 184
         packets[1 : 1 + whole, 4:] = rest[: whole * 184].reshape(whole, 184)
@@ -135,12 +150,17 @@ class Stream:
 
     streams: dict[int, int] = field(default_factory=dict)  # pid -> stream kind
     units: list[Unit] = field(default_factory=list)
+    clocks: list[int] = field(default_factory=list)  # clock references in 90 kHz ticks
     packets: int = 0
     lost: int = 0  # breaks of continuity
     damaged: int = 0  # bad sync bytes, error flags, bad sections
 
 
-def _read_section(packet: bytes, at: int) -> tuple[int, bytes] | None:
+def _read_section(packet: bytes) -> tuple[int, bytes] | None:
+    """(table, body) of the section that a packet's payload begins with; None if it is not whole and sound."""
+    at = 4 if packet[3] & 0x20 == 0 else 5 + packet[4]
+    if at >= PACKET:
+        return None
     at += 1 + packet[at]
     if at + 3 > PACKET:
         return None
@@ -171,18 +191,20 @@ def read_stream(media: bytes) -> Stream:
     found.damaged += int((~sound).sum())
     pids = (grid[:, 1].astype(np.int64) & 31) << 8 | grid[:, 2]
     control, cc = grid[:, 3] >> 4 & 3, grid[:, 3] & 15
+    for c in grid[sound & (control >= 2) & (grid[:, 4] >= 7) & (grid[:, 4] <= PACKET - 5) & (grid[:, 5] & 0x10 > 0)][:, 6:11].astype(np.int64):
+        found.clocks.append(int(c[0] << 25 | c[1] << 17 | c[2] << 9 | c[3] << 1 | c[4] >> 7))
     maps: set[int] = set()
     for i in np.flatnonzero(sound & (pids == PAT_PID) & (grid[:, 1] & 0x40 > 0) & (control & 1 > 0)):
         packet = grid[i].tobytes()
-        section = _read_section(packet, 4 if control[i] == 1 else 5 + packet[4])
+        section = _read_section(packet)
         if section is None or section[0] != PAT_TABLE:
             found.damaged += 1
             continue
         maps |= {(b[2] & 31) << 8 | b[3] for k in range(0, len(section[1]) - 3, 4) if any((b := section[1][k : k + 4])[:2])}
     for i in np.flatnonzero(sound & np.isin(pids, sorted(maps)) & (grid[:, 1] & 0x40 > 0) & (control & 1 > 0)):
         packet = grid[i].tobytes()
-        section = _read_section(packet, 4 if control[i] == 1 else 5 + packet[4])
-        if section is None or section[0] != PMT_TABLE:
+        section = _read_section(packet)
+        if section is None or section[0] != PMT_TABLE or len(section[1]) < 4:
             found.damaged += 1
             continue
         body = section[1]
@@ -236,7 +258,7 @@ def describe(found: Stream) -> str:
     return (
         f"streams={','.join(f'{p:#x}:{k:#x}' for p, k in sorted(found.streams.items()))};packets={found.packets};"
         f"units={len(found.units)};pts={min(stamps, default='')}-{max(stamps, default='')};rap={len(ready)}:{digest:08x};"
-        f"lost={found.lost};damaged={found.damaged}"
+        f"pcr={len(found.clocks)};lost={found.lost};damaged={found.damaged}"
     )
 
 
@@ -246,10 +268,16 @@ _MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", p
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = column(batch, "doc_id"), column(batch, "text")
-        for low in range(0, len(ids), 256):
-            rows = [padded(texts[d].as_py()) for d in range(low, min(low + 256, len(ids)))]
+        size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < len(ids):
+            # streams of a step have a bound in bytes; a longer text is a step of its own
+            most = int(np.searchsorted(size, (size[low - 1] if low else 0) + STEP_BYTES, side="right"))
+            high = min(max(low + 1, most), low + 256)
+            rows = [padded(texts[d].as_py()) for d in range(low, high)]
             media = pa.array([write_stream(p) for p, _ in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.slice(low, 256), pa.array([n for _, n in rows], pa.int64()), media], schema=_MEDIA)
+            yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array([n for _, n in rows], pa.int64()), media], schema=_MEDIA)
+            low = high
 
 
 def media_column(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from strandlake import intervals
 from strandlake.llm import prefix_trie as pt
 
 KINDS = "conv_id long, turn long, role string, text string, depth int"
@@ -34,7 +35,8 @@ def found(df):
 
 @pytest.mark.parametrize("width,block,depths,members", [(16, 4096, 1 << 14, 512), (2, 3, 2, 3)])
 def test_against_sql(spark, monkeypatch, width, block, depths, members):
-    for name, value in zip(("WIDTH", "BLOCK", "DEPTHS", "MEMBERS"), (width, block, depths, members)):
+    monkeypatch.setattr(intervals, "BLOCK", block)
+    for name, value in zip(("WIDTH", "DEPTHS", "MEMBERS"), (width, depths, members)):
         monkeypatch.setattr(pt, name, value)
     rows = made(random.Random(width))
     ours = found(spark.createDataFrame(rows, KINDS)).toPandas()
@@ -57,7 +59,7 @@ def test_empty_and_single(spark):
 
 @pytest.mark.parametrize("block", [4, 4096])
 def test_places_and_minima(spark, monkeypatch, block):
-    monkeypatch.setattr(pt, "BLOCK", block)
+    monkeypatch.setattr(intervals, "BLOCK", block)
     rng = random.Random(block)
     values = [rng.randint(0, 9) for _ in range(70)] + [-1]
     array = spark.createDataFrame(list(enumerate(values)), "index long, value long")

@@ -176,3 +176,17 @@ def test_perspectives(spark, monkeypatch):
         assert all(whole[r.start : r.end] == r.segment for r in part.itertuples()) and part.end.max() == len(whole)
     assert "system" not in set(ours.perspective) and 12 not in set(ours.conv_id) and not ours[ours.segment.str.startswith("<|start|>system")]["mask"].any()
     assert chat.rotate(df.limit(0)).collect() == [] and len(conversations)
+
+
+def test_roles_that_look_alike(spark):
+    """A line feed and a backslash with n are different speakers."""
+    rows = [(1, 0, "a\nb", "x"), (1, 1, "a\\nb", "y"), (1, 2, "a\\\\nb", "z")]
+    conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    ours = chat.rotate(conversations).toPandas()
+    with duckdb.connect() as duck:
+        duck.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+        theirs = duck.sql(chat.SQL).df()
+    assert len(ours) == len(theirs) == 9
+    columns = sorted(ours.columns)
+    plain = lambda f: sorted(map(str, f[columns].astype(str).itertuples(index=False)))
+    assert plain(ours) == plain(theirs)
