@@ -137,41 +137,84 @@ def chosen_segments(matches: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(_choose, "file_id long, tuple_no long, src_file long, src_tuple long, n_tuples long")
 
 
-def _pointers(segments: DataFrame) -> DataFrame:
-    """(file_id, tuple_no, src_file, src_tuple) of every tuple that a segment covers."""
-    step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tuples") - 1))
-    rows = segments.select("file_id", F.col("tuple_no").alias("first"), "src_file", F.col("src_tuple").alias("src_first"), step.alias("k"))
-    return rows.select("file_id", (F.col("first") + F.col("k")).alias("tuple_no"), "src_file", (F.col("src_first") + F.col("k")).alias("src_tuple"))
+#: Tuples of a file that intervals are cut at, so that they are joined by place.
+SPAN = 1 << 10
+
+
+def _cut(rows: DataFrame, first: str) -> DataFrame:
+    """rows, a copy for each SPAN places that theirs (n_tuples from `first` on) touch, with span, and low and high there."""
+    last = F.floor((F.col(first) + F.col("n_tuples") - 1) / SPAN)
+    cut = rows.where("n_tuples > 0").withColumn("span", F.explode(F.sequence(F.floor(F.col(first) / SPAN), last)))
+    return cut.withColumns({"low": F.greatest(first, F.col("span") * SPAN), "high": F.least(F.col(first) + F.col("n_tuples"), (F.col("span") + 1) * SPAN)})
+
+
+def redirected(intervals: DataFrame, segments: DataFrame) -> DataFrame:
+    """Intervals (file_id, tuple_no, src_file, src_tuple, n_tuples, done) that repeat the same tuples one step further back.
+
+    What a segment covers in the source goes to where that one points, with its done; the rest stays and is done.
+    """
+    asked = _cut(intervals, "src_tuple").select("file_id", (F.col("tuple_no") + F.col("low") - F.col("src_tuple")).alias("tuple_no"), "src_file", "span", "low", "high")
+    there = _cut(segments, "tuple_no").select(
+        F.col("file_id").alias("src_file"), "span", F.col("low").alias("from"), F.col("high").alias("until"), F.col("src_file").alias("to_file"),
+        (F.col("src_tuple") + F.col("low") - F.col("tuple_no")).alias("to_tuple"), F.col("done").alias("there_done"),
+    )
+    near = (asked["src_file"] == there["src_file"]) & (asked["span"] == there["span"]) & (F.col("from") < F.col("high")) & (F.col("until") > F.col("low"))
+    joined = asked.join(there.select("*"), near, "left").drop(there["src_file"]).drop(there["span"])
+    low, high = F.greatest("low", "from"), F.least("high", "until")
+    hit = F.struct(low.alias("a"), high.alias("b"), "to_file", (F.col("to_tuple") + low - F.col("from")).alias("to"), F.col("there_done").alias("d"))
+    # at most SPAN of them
+    by = joined.groupBy("file_id", "tuple_no", "src_file", "low", "high").agg(F.array_sort(F.collect_list(F.when(F.col("from").isNotNull(), hit))).alias("hits"))
+    begins = F.concat(F.array("low"), F.transform("hits", lambda h: h["b"]))
+    ends = F.concat(F.transform("hits", lambda h: h["a"]), F.array("high"))
+    gaps = F.zip_with(begins, ends, lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    moved = by.select("file_id", "tuple_no", "low", F.explode("hits").alias("h"))
+    moved = moved.select("file_id", (F.col("tuple_no") + F.col("h.a") - F.col("low")).alias("tuple_no"), F.col("h.to_file").alias("src_file"), F.col("h.to").alias("src_tuple"), (F.col("h.b") - F.col("h.a")).alias("n_tuples"), F.col("h.d").alias("done"))
+    stay = by.select("file_id", "tuple_no", "low", "src_file", F.explode(F.filter(gaps, lambda g: g["a"] < g["b"])).alias("g"))
+    stay = stay.select("file_id", (F.col("tuple_no") + F.col("g.a") - F.col("low")).alias("tuple_no"), "src_file", F.col("g.a").alias("src_tuple"), (F.col("g.b") - F.col("g.a")).alias("n_tuples"), F.lit(True).alias("done"))
+    return moved.unionByName(stay)
+
+
+def resolved(segments: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(file_id, tuple_no, src_file, src_tuple, n_tuples): where the covered tuples of the wanted files (all, if None) are stored.
+
+    For some files, their segments are followed back a step at a time and nothing else is touched. For all files,
+    segments are followed by way of each other, so that steps double.
+    """
+    open_ = segments.withColumn("done", F.lit(False))
+    steps = open_
+    if wanted is not None:
+        open_ = open_.join(wanted, "file_id", "left_semi")
+    found = staged(open_, "intervals")
+    while not found.where("not done").isEmpty():
+        more = redirected(found.where("not done").drop("done"), steps if wanted is not None else found)
+        last, found = found, staged(found.where("done").unionByName(more), "intervals")
+        drop_staged(last)
+    return found.drop("done")
 
 
 def uncovered(tuples: DataFrame, segments: DataFrame) -> DataFrame:
     """Tuples that no segment covers."""
-    return tuples.join(_pointers(segments).select("file_id", "tuple_no"), ["file_id", "tuple_no"], "left_anti")
+    cut = _cut(segments, "tuple_no").select(F.col("file_id").alias("f"), "span", "low", "high")
+    here = (F.col("file_id") == F.col("f")) & (F.floor(F.col("tuple_no") / SPAN) == F.col("span")) & F.col("tuple_no").between(F.col("low"), F.col("high") - 1)
+    return tuples.join(cut, here, "left_anti")
 
 
-def restored(own: DataFrame, segments: DataFrame, files: int, wanted: DataFrame | None = None) -> DataFrame:
+def restored(own: DataFrame, segments: DataFrame, files: int = 0, wanted: DataFrame | None = None) -> DataFrame:
     """All tuples of the wanted files (all, if None) from those stored and the segments that cover the others.
 
-    A segment may repeat tuples that are covered in their own file; pointers are followed by doubling, in as many
-    rounds as the number of files has bits, since each leads to an earlier file.
+    Steps end when no segment leads on; `files` is no longer needed.
     """
-    at = staged(_pointers(segments), "pointers")
-    for _ in range(max(1, files).bit_length()):
-        then = at.select(F.col("file_id").alias("src_file"), F.col("tuple_no").alias("src_tuple"), F.col("src_file").alias("to_file"), F.col("src_tuple").alias("to_tuple"))
-        if at.join(then, ["src_file", "src_tuple"], "left_semi").isEmpty():
-            break
-        last, at = at, staged(
-            at.join(then, ["src_file", "src_tuple"], "left").select(
-                "file_id", "tuple_no", F.coalesce("to_file", "src_file").alias("src_file"), F.coalesce("to_tuple", "src_tuple").alias("src_tuple")
-            ), "pointers",
-        )
-        drop_staged(last)
-    mine = own
-    if wanted is not None:
-        at, mine = (x.join(F.broadcast(wanted), "file_id", "left_semi") for x in (at, own))
-    source = own.withColumnsRenamed({"file_id": "src_file", "tuple_no": "src_tuple"})
-    rows = at.join(source, ["src_file", "src_tuple"]).select(*own.columns).unionByName(mine)
-    return running(rows.drop("out_start"), F.col("len"), "out_start").select(*own.columns)
+    return looked_up(own, resolved(segments, wanted), wanted)
+
+
+def looked_up(own: DataFrame, places: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """All tuples of the wanted files (all, if None): those stored, and those that places (resolved) say are stored elsewhere."""
+    cut = _cut(places, "src_tuple").select("file_id", "src_file", "span", "low", "high", (F.col("tuple_no") - F.col("src_tuple")).alias("shift"))
+    source = own.withColumnRenamed("file_id", "own_file")
+    here = (F.col("own_file") == F.col("src_file")) & (F.floor(F.col("tuple_no") / SPAN) == F.col("span")) & F.col("tuple_no").between(F.col("low"), F.col("high") - 1)
+    lent = source.join(cut, here).withColumn("tuple_no", F.col("tuple_no") + F.col("shift")).select(*own.columns)
+    mine = own if wanted is None else own.join(F.broadcast(wanted), "file_id", "left_semi")
+    return running(lent.unionByName(mine).drop("out_start"), F.col("len"), "out_start").select(*own.columns)
 
 
 def expand(segments: DataFrame, tuples: DataFrame, count: str = "n_windows") -> DataFrame:

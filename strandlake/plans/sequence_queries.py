@@ -315,7 +315,7 @@ def segment_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.tuples(spark, sf_dir).select("file_id", "tuple_no", "kind", "ref_pos", "len", "lit", F.lit(0).cast("long").alias("out_start"), "sig")
     chosen = staged(repeats.chosen_segments(dedup.windows(_exact(rows)), dedup.retained(fx.files(spark, sf_dir)).where("retained")), "segments")
-    return dedup.restored(dedup.uncovered(rows.drop("sig"), chosen), chosen, 20)
+    return dedup.restored(dedup.uncovered(rows.drop("sig"), chosen), chosen)
 
 
 def _exact(rows: DataFrame) -> DataFrame:

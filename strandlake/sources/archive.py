@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import staged
 from ..operators import dedup
 from ..operators.parsing import TUPLES
 from ..ordering import numbered  # noqa: F401
@@ -31,7 +32,9 @@ def write_streams(path: str, tuples: DataFrame, segments: DataFrame, batch: int
     mode = "errorifexists" if batch is None else "overwrite"
     dealt = _bucketed(tuples).repartition("bucket").sortWithinPartitions("file_id", "tuple_no")
     dealt.write.mode(mode).partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/tuples{inside}")
-    segments.write.mode(mode).option("compression", "zstd").parquet(f"{path}/segments{inside}")
+    # sorted by bucket, so that row groups of others are passed over
+    dealt = _bucketed(segments).repartition("bucket").sortWithinPartitions("bucket", "file_id", "tuple_no")
+    dealt.write.mode(mode).option("compression", "zstd").parquet(f"{path}/segments{inside}")
 
 
 def write(path: str, files: DataFrame, sequences: DataFrame, reference: DataFrame, tuples: DataFrame, segments: DataFrame) -> None:
@@ -41,19 +44,29 @@ def write(path: str, files: DataFrame, sequences: DataFrame, reference: DataFram
     write_streams(path, tuples, segments)
 
 
+def _of_files(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """rows of files (file_id). The buckets that they lie in are known before rows are read, so others are not."""
+    buckets = [r.bucket for r in _bucketed(files.select("file_id")).select("bucket").distinct().collect()]  # at most BUCKETS
+    return rows.where(F.col("bucket").isin(buckets)).join(files.select("file_id").distinct(), "file_id", "left_semi")
+
+
 def read(spark: SparkSession, path: str, names: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, residues, tuples); with names, only of these files. Tuples that segments cover are looked up in the
-    files they repeat, so these are read too; without segments only the buckets of the named files are."""
+    files they repeat: segments are followed from the named files back, and only files met on the way are read."""
     files, residues = (spark.read.parquet(f"{path}/{x}") for x in ("files", "residues"))
     own = spark.read.schema(f"{TUPLES}, bucket int").parquet(f"{path}/tuples")
-    segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
-    depth = max(1, files.count())
-    wanted = None
-    if names is not None:
-        files = files.where(F.col("filename").isin(*dict.fromkeys(names)))
-        wanted = files.select("file_id", F.pmod(F.xxhash64("file_id"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-    if segments.isEmpty():
-        if wanted is not None:
-            own = own.join(F.broadcast(wanted), ["file_id", "bucket"], "left_semi")  # as many rows as names
-        return files, residues, own.drop("bucket")
-    return files, residues, dedup.restored(own.drop("bucket"), segments, depth, None if wanted is None else wanted.select("file_id"))
+    segments = spark.read.schema(f"{SEGMENTS}, bucket long").parquet(f"{path}/segments")
+    if names is None:
+        return files, residues, dedup.restored(own.drop("bucket"), segments.drop("bucket"))
+    files = files.where(F.col("filename").isin(*dict.fromkeys(names)))
+    wanted = files.select("file_id")
+    # files that the wanted ones repeat, and those that these do
+    met = fresh = staged(wanted, "met")
+    while not fresh.isEmpty():
+        further = _of_files(segments, fresh).select(F.col("src_file").alias("file_id")).distinct()
+        fresh = staged(further.join(met, "file_id", "left_anti"), "met")
+        met = staged(met.unionByName(fresh), "met")
+    near = _of_files(segments, met).drop("bucket")
+    places = dedup.resolved(near, wanted)
+    stored = _of_files(own, staged(places.select(F.col("src_file").alias("file_id")).unionByName(wanted).distinct(), "met")).drop("bucket")
+    return files, residues, dedup.looked_up(stored, places, wanted)
