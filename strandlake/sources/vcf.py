@@ -43,20 +43,24 @@ def split_lines(spark: SparkSession, path: str, male: set[str], low: int, high:
     """
     lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
     header = lines.where(F.col("value").startswith("#CHROM")).first()
+    if header is None:
+        raise ValueError(f"{path} has no #CHROM line, so its samples are unknown")
     samples = header.value.split()[len(FIXED) :]
-    body = lines.where((F.trim("value") != "") & ~F.col("value").startswith("##")).withColumn("f", F.split(F.trim("value"), r"\s+"))
-    meta = lines.where(F.col("value").startswith("##"))
-    top = F.col("f")[0] == "#CHROM"
-    pos = F.col("f")[1].try_cast("bigint")
-    parts = {"fem": (False, F.lit(True)), "mal": (True, pos.between(low, high)), "mal1": (True, pos < low), "mal2": (True, pos > high)}
-    out = None
-    for part, (kept, where) in parts.items():
+
+    def columns(kept: bool) -> Column:
         places = [*range(len(FIXED)), *(len(FIXED) + k for k, s in enumerate(samples) if (s in male) == kept)]
-        value = F.array_join(F.transform(F.array(*map(F.lit, places)), lambda k: F.get("f", k)), "\t")
-        rows = body.where(top | where).select(F.lit(part).alias("part"), "line_no", value.alias("value"))
-        rows = rows.unionByName(meta.select(F.lit(part).alias("part"), "line_no", "value"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        return F.array_join(F.transform(F.array(*map(F.lit, places)), lambda k: F.get("f", k)), "\t")
+
+    meta = F.col("value").startswith("##")
+    pos = F.when(F.col("value").startswith("#"), None).otherwise(F.col("f")[1].try_cast("bigint"))
+    top = meta | (F.col("f")[0] == "#CHROM")
+    wanted = {"fem": F.lit(True), "mal": pos.between(low, high), "mal1": pos < low, "mal2": pos > high}
+    # a line is read once and dealt to all of its parts
+    rows = lines.where(F.trim("value") != "").withColumn("f", F.split(F.trim("value"), r"\s+"))
+    rows = rows.withColumns({"fem": F.when(meta, F.col("value")).otherwise(columns(False)), "mal": F.when(meta, F.col("value")).otherwise(columns(True))})
+    parts = [F.when(top | where, F.struct(F.lit(part).alias("part"), F.col("fem" if part == "fem" else "mal").alias("value"))) for part, where in wanted.items()]
+    dealt = rows.select("line_no", F.explode(F.array_compact(F.array(*parts))).alias("p"))
+    return dealt.select("p.part", "line_no", "p.value")
 
 
 def write_lines(rows: DataFrame, path: str) -> None:

@@ -130,3 +130,18 @@ import __spark_entry__ as e
 assert len(e.queries()) == 49 and set(e.oracle_sql()) == set(e.queries()), len(e.queries())
 """
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True)
+
+
+def test_split_reads_its_file_once(spark, tmp_path):
+    import pytest
+
+    from strandlake.sources import vcf
+
+    (tmp_path / "x.vcf").write_text("##m\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb\nX\tbad\t.\tA\tC\t.\t.\t.\tGT\t0\t1\n\n")
+    rows = vcf.split_lines(spark, f"{tmp_path}/x.vcf", {"a"}, 10, 20)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    # a record without a place is in no region
+    assert sorted((r.part, r.value.split("\t")[-1]) for r in rows.collect()) == sorted([(p, "##m") for p in ("fem", "mal", "mal1", "mal2")] + [("fem", "b"), ("fem", "1"), ("mal", "a"), ("mal1", "a"), ("mal2", "a")])
+    (tmp_path / "none.vcf").write_text("X\t1\t.\tA\tC\t.\t.\t.\tGT\t0\n")
+    with pytest.raises(ValueError, match="none.vcf has no #CHROM"):
+        vcf.split_lines(spark, f"{tmp_path}/none.vcf", set(), 1, 2)
