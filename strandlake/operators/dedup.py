@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..durable import drop_staged, staged
 from ..functions.buckets import MIN_SEGMENT_BYTES, tuple_bytes
+from ..ordering import numbered
 
 #: Tuples of a file that are summed in one group.
 BLOCK = 1 << 16
@@ -250,3 +251,41 @@ def position_deltas(tuples: DataFrame) -> DataFrame:
     lead = F.coalesce(F.col("own_lead") - F.col("moved0"), F.col("lead0"))
     expected = F.col("moved0") + F.col("moved") - F.col("step") + lead
     return rows.select(*tuples.columns, expected.alias("expected"))
+
+
+#: Residues of a file that tuples are cut at, so that places are found by residue.
+RESIDUES = 1 << 16
+
+
+def segment_deltas(segments: DataFrame, tuples: DataFrame) -> DataFrame:
+    """segments (file_id, tuple_no, src_file, src_tuple, n_tuples) with the tuple each was expected at, and delta from it.
+
+    A file goes on in a source where its last segment of that source ended (at first, at the source's beginning), moved by
+    the residues that the file has had since then. The tuple that holds the last of these is passed if no more than
+    half of it lies beyond them; past the source's end, the expected tuple is the one after its last.
+    """
+    placed = staged(running(tuples.select("file_id", "tuple_no", "len"), F.col("len"), "before").select("file_id", "tuple_no", "len", "before"), "residues")
+    at = lambda file, tuple_, what, name: placed.select(F.col("file_id").alias(file), F.col("tuple_no").alias(tuple_), what.alias(name))
+    after = F.col("before") + F.col("len")
+    rows = segments.withColumns({"last": F.col("tuple_no") + F.col("n_tuples") - 1, "src_last": F.col("src_tuple") + F.col("n_tuples") - 1})
+    rows = rows.join(at("file_id", "tuple_no", F.col("before"), "had"), ["file_id", "tuple_no"])
+    rows = rows.join(at("file_id", "last", after, "has"), ["file_id", "last"]).join(at("src_file", "src_last", after, "src_has"), ["src_file", "src_last"])
+    # the segment before in the same pair of files, found by number, so that no pair is one task
+    order = numbered(rows, ["file_id", "src_file"], "no", then=("tuple_no",))
+    before = order.select("file_id", "src_file", (F.col("no") + 1).alias("no"), (F.col("src_last") + 1).alias("from"), F.col("has").alias("had0"), F.col("src_has").alias("src_had0"))
+    rows = order.join(before, ["file_id", "src_file", "no"], "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("from", "had0", "src_had0")})
+    rows = rows.withColumn("moved", F.col("had") - F.col("had0")).withColumn("target", F.col("src_had0") + F.col("moved"))
+    rows = staged(rows.select("file_id", "tuple_no", "src_file", "src_tuple", "n_tuples", "from", "moved", "target"), "deltas")
+
+    spans = placed.withColumn("span", F.explode(F.sequence(F.floor(F.col("before") / RESIDUES), F.floor((after - 1) / RESIDUES))))
+    spans = spans.select(F.col("file_id").alias("held_file"), "span", F.col("tuple_no").alias("held"), F.col("before").alias("held_from"), F.col("len").alias("held_len"))
+    far = rows.where("moved > 0").withColumn("asked", F.floor((F.col("target") - 1) / RESIDUES))
+    inside = (F.col("src_file") == F.col("held_file")) & (F.col("asked") == F.col("span"))
+    inside &= (F.col("held_from") < F.col("target")) & (F.col("target") <= F.col("held_from") + F.col("held_len"))
+    ends = tuples.groupBy(F.col("file_id").alias("src_file")).agg((F.max("tuple_no") + 1).alias("end"))
+    passed = F.when(F.col("held_len") <= 2 * (F.col("target") - F.col("held_from")), 1).otherwise(0)
+    found = far.join(spans, inside, "left").join(ends, "src_file").withColumn("expected", F.coalesce(F.col("held") + passed, F.col("end")))
+    near = rows.where("moved <= 0").withColumn("expected", F.col("from"))
+    names = ["file_id", "tuple_no", "src_file", "src_tuple", "n_tuples", "expected"]
+    return found.select(*names).unionByName(near.select(*names)).withColumn("delta", F.col("src_tuple") - F.col("expected"))

@@ -42,9 +42,9 @@ def checked_broadcast(df: DataFrame, residues: int) -> DataFrame:
 
 
 def seed_hits(files: DataFrame, reference: DataFrame, key: str = "doc_id", seq: str = "seq", k: int = MIN_MATCH) -> DataFrame:
-    """(key, alt_pos, ref_pos) of equal k-mers; all k-mers of the reference count."""
+    """(key, alt_pos, ref_pos) of equal k-mers; those of the reference that are rich in N are no seeds."""
     length = reference.agg(F.max(F.length(seq))).first()[0] or 0
-    index = checked_broadcast(reference_index(reference, seq, k, most_n=None), length)
+    index = checked_broadcast(reference_index(reference, seq, k), length)
     return kmers(spread(files.select(key, seq), key), key, seq, k, "alt_pos").join(index, "kmer").select(key, "alt_pos", "ref_pos")
 
 

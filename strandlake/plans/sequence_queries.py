@@ -142,7 +142,8 @@ def line_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ k-mers and matches
 
 KMERS = f"""{fx.SEQS}, {fx.REF},
-rk as (select k ref_pos, substr(ref_seq, k, {K}) kmer from (select ref_seq, unnest(range(1, length(ref_seq) - {K - 2})) k from ref)),
+rk as (select ref_pos, kmer from (select k ref_pos, substr(ref_seq, k, {K}) kmer from (select ref_seq, unnest(range(1, length(ref_seq) - {K - 2})) k from ref))
+  where length(kmer) - length(replace(kmer, 'N', '')) <= {residues.MAX_SEED_N}),
 ak as (select doc_id, k alt_pos, substr(seq, k, {K}) kmer from (select doc_id, seq, unnest(range(1, length(seq) - {K - 2})) k from seqs)),
 hits as (select doc_id, alt_pos, ref_pos from ak join rk using (kmer)),
 isl as (select *, alt_pos - row_number() over (partition by doc_id, ref_pos - alt_pos order by alt_pos) island from hits),
@@ -378,6 +379,28 @@ def tuple_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file_id", "tuple_no", "src_file", "delta", buckets.tuple_bucket(F.col("delta")).alias("bucket"))
 
 
+@register(
+    "segment_deltas",
+    f"""with recursive {WALK},
+    cum as (select file_id, tuple_no, len, sum(len) over (partition by file_id order by tuple_no) - len c from tuples),
+    s as (select w.file_id, w.pos tuple_no, w.src_file, w.src_tuple, w.n_tuples, a.c had, b.c + b.len has, g.c + g.len src_has from walk w
+      join cum a on a.file_id = w.file_id and a.tuple_no = w.pos join cum b on b.file_id = w.file_id and b.tuple_no = w.pos + w.n_tuples - 1
+      join cum g on g.file_id = w.src_file and g.tuple_no = w.src_tuple + w.n_tuples - 1),
+    l as (select *, coalesce(lag(src_tuple + n_tuples) over p, 0) t0, had - coalesce(lag(has) over p, 0) moved, coalesce(lag(src_has) over p, 0) s0
+      from s window p as (partition by file_id, src_file order by tuple_no)),
+    e as (select l.file_id, l.tuple_no, l.src_file, l.src_tuple, l.n_tuples, case when moved <= 0 then t0
+        when c.tuple_no is null then (select count(*) from tuples t where t.file_id = l.src_file)
+        when c.len <= 2 * (s0 + moved - c.c) then c.tuple_no + 1 else c.tuple_no end expected
+      from l left join cum c on c.file_id = l.src_file and c.c < s0 + moved and s0 + moved <= c.c + c.len),
+    d as (select *, src_tuple - expected delta from e)
+    select file_id, tuple_no, src_file, expected::bigint expected, delta::bigint delta, case when delta = 0 then 0 when delta > 0 then case when delta < 16 then 1
+      when delta < 256 then 2 else 3 end when delta > -16 then 4 when delta > -256 then 5 else 6 end bucket from d""",
+)
+def segment_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dedup.segment_deltas(_chosen(spark, sf_dir), fx.tuples(spark, sf_dir))
+    return rows.select("file_id", "tuple_no", "src_file", "expected", "delta", buckets.tuple_bucket(F.col("delta")).alias("bucket"))
+
+
 @register(
     "length_buckets",
     f"""with {fx.TUPLES} select file_id, case when len < 256 then 0 when len < 65792 then 1 else 2 end bucket,

@@ -86,3 +86,31 @@ def test_selective_decode_reads_its_closure(spark, tmp_path):
     assert files.count() == 1 and tuples.select("file_id").distinct().count() == 1
     cli.main(["decode", f"{tmp_path}/made", f"{tmp_path}/out", "f057.fa", "--ori"], spark)
     assert (tmp_path / "out" / "f057.fa.ori").read_bytes() == (tmp_path / "f057.fa").read_bytes()
+
+
+def test_segment_deltas_against_steps(spark, monkeypatch):
+    """Expected places by a join over residues against moving tuple by tuple."""
+    monkeypatch.setattr(dedup, "RESIDUES", 64)
+    rng = random.Random(6)
+    lens = {(f, t): rng.choice([1, 1, 1, 7, 30, 200]) for f in range(5) for t in range(60)}
+    segments = []
+    for f in range(1, 5):
+        at = rng.randrange(4)
+        while at < 58:
+            n = rng.randint(1, min(8, 60 - at))
+            segments.append((f, at, rng.randrange(f), rng.randrange(60 - n), n))
+            at += n + rng.randrange(6)
+    want, last = [], {}
+    for f, at, g, src, n in segments:
+        had = sum(lens[f, t] for t in range(at))
+        place, before = last.get((f, g), (0, 0))
+        left = had - before
+        while left > 0 and place < 60:
+            step = lens[g, place]
+            if step <= 2 * left:
+                place += 1
+            left -= step
+        want.append((f, at, g, src, n, place, src - place))
+        last[f, g] = src + n, had + sum(lens[f, t] for t in range(at, at + n))
+    tuples = spark.createDataFrame([(*k, v) for k, v in lens.items()], "file_id long, tuple_no long, len long")
+    assert sorted(map(tuple, dedup.segment_deltas(spark.createDataFrame(segments, SEG), tuples).collect())) == sorted(want)
