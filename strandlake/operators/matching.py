@@ -37,6 +37,21 @@ def reference_index(reference: DataFrame, seq: str = "seq", k: int = MIN_MATCH,
     return found
 
 
+def occupancy(index: DataFrame, kmer: str = "kmer") -> DataFrame:
+    """One row: places, distinct_estimate (a mergeable sketch of 4096 registers, some 2 % off) and slots of an index.
+
+    slots is the power of two that leaves a tenth of room, as a hash table of all places would have.
+    """
+    found = index.agg(F.count("*").alias("places"), F.hll_sketch_estimate(F.hll_sketch_agg(kmer, 12)).alias("distinct_estimate"))
+    slots = F.when(F.col("places") > 0, F.pow(F.lit(2.0), F.ceil(F.log2(F.col("places") * 1.1)))).otherwise(0)
+    return found.withColumn("slots", slots.cast("long"))
+
+
+def repeated_kmers(index: DataFrame, least: int = 2, kmer: str = "kmer") -> DataFrame:
+    """(kmer, n): k-mers with at least that many places, which a join by k-mer should salt."""
+    return index.groupBy(kmer).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
 def checked_broadcast(df: DataFrame, residues: int) -> DataFrame:
     return F.broadcast(df) if residues <= MOST_BROADCAST else df
 

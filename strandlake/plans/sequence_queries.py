@@ -159,6 +159,20 @@ def kmer_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ref_pos", F.decode("kmer", "US-ASCII").alias("kmer"))
 
 
+@register(
+    "index_occupancy",
+    f"""with {KMERS}, ak2 as (select kmer, count(*) n from ak where length(kmer) - length(replace(kmer, 'N', '')) <= {residues.MAX_SEED_N} group by 1)
+    select sum(n)::bigint places, pow(2, ceil(log2(sum(n) * 1.1)))::bigint slots, count(*) filter (n > 1) repeated, max(n) most, true as estimate_close from ak2""",
+)
+def index_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the index of all documents; the sketch is held against an exact count
+    found = matching.kmers(matching.spread(fx.seqs(spark, sf_dir), "doc_id"), "doc_id", "seq", K).where(residues.n_count(F.decode("kmer", "US-ASCII")) <= residues.MAX_SEED_N)
+    counts = matching.repeated_kmers(found, 1).agg(F.count("*").alias("distinct"), F.count_if(F.col("n") > 1).alias("repeated"), F.max("n").alias("most"))
+    rows = matching.occupancy(found).crossJoin(counts)  # a row each
+    close = F.abs(F.col("distinct_estimate") - F.col("distinct")) <= 0.06 * F.col("distinct")
+    return rows.select("places", "slots", "repeated", "most", close.alias("estimate_close"))
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.seed_hits(fx.seqs(spark, sf_dir), fx.reference(spark, sf_dir), k=K)
 

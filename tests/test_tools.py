@@ -127,7 +127,7 @@ class Block:
             raise ModuleNotFoundError(name)
 sys.meta_path.insert(0, Block())
 import __spark_entry__ as e
-assert len(e.queries()) == 50 and set(e.oracle_sql()) == set(e.queries()), len(e.queries())
+assert len(e.queries()) == 51 and set(e.oracle_sql()) == set(e.queries()), len(e.queries())
 """
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True)
 
