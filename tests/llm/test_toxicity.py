@@ -2,11 +2,12 @@
 
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
 
-from strandlake.llm import language_id, toxicity
+from strandlake.llm import language_id, toxicity, tuning
 from strandlake.llm.common import Words
 
 
@@ -84,3 +85,28 @@ def test_fitting_sees_disguises():
     forms = toxicity._disguised(b"idiot")
     assert {b"i-d-i-o-t", b"ixdxixoxt"} <= set(forms)
     assert {b"idiot"[:i] + c + b"idiot"[i:] for i in range(1, 5) for c in (b"x", b" ")} <= set(forms)
+
+
+def test_landmarks_are_whole_characters():
+    toxic = [f"vraiment réeuxa rôle {'abcdefghijklmnop'[k]} numéro{k}" for k in range(12)]
+    found = toxicity._mine(toxic, [f"texte paisible numéro{k} du matin{k}" for k in range(40)], 8)
+    assert found and all(z.decode() for z in found)
+
+
+def test_sample_takes_few_texts_of_one_id(spark):
+    ids = [d for d in range(1, 60) if zlib.crc32(str(d).encode()) % 3 != 1][:20]
+    docs = spark.createDataFrame([(ids[0], f"text {k}") for k in range(500)] + [(d, "calm") for d in ids[1:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d == ids[0])) for d in range(1, 60)], "doc_id long, toxic int")
+    rows = toxicity.labelled(docs, labels)
+    assert sum(r.doc_id == ids[0] for r in rows) == toxicity.ROWS and {r.doc_id for r in rows} == set(ids)
+
+
+def test_settings_are_compared_without_held_out_rows(monkeypatch):
+    assert tuning.figures([(1, 0.9), (1, 0.2), (0, 0.8), (0, 0.2)], 0.7) == (0.5, 0.5, 0.5, 0.625)
+    word = tuning.altered("ab stupid été", 3)
+    assert [len(w) for w in word.split()] == [2, 7, 3]
+    for name in ("DECAY", "LEAST", "CROWD"):
+        monkeypatch.setattr(toxicity, name, getattr(toxicity, name))
+    rows = [(d, f"you {'idiot' if d % 3 == 0 else 'friend'} number{d} of day{d * 7}", int(d % 3 == 0)) for d in range(150)]
+    ((f1, precision, recall, area, spelled), setting), *others = tuning.compare(rows, {"DECAY": (0.8,), "LEAST": (0.4,), "CROWD": (4, 8)}, 2)
+    assert f1 > 0.95 and area > 0.95 and spelled >= tuning.TOLERANT and len(others) == 1
