@@ -61,10 +61,12 @@ def windows(tuples: DataFrame, least: int = MIN_SEGMENT_BYTES) -> DataFrame:
     return framed.where(F.col("own") & (F.col("width") >= least)).select("file_id", "tuple_no", "window", "bytes", "size")
 
 
-def window_hits(found: DataFrame, kept: DataFrame) -> DataFrame:
-    """(file_id, tuple_no, src_file, src_tuple, size) of equal windows in earlier retained files."""
+def window_hits(found: DataFrame, kept: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
+    """(file_id, tuple_no, src_file, src_tuple, size) of equal windows in earlier retained files; of fresh files, if given."""
     source = found.join(kept.select("file_id"), "file_id", "left_semi")
     source = source.select(F.col("file_id").alias("src_file"), F.col("tuple_no").alias("src_tuple"), "window")
+    if fresh is not None:
+        found = found.join(fresh.select("file_id"), "file_id", "left_semi")
     return found.join(source, "window").where("src_file < file_id").select("file_id", "tuple_no", "src_file", "src_tuple", "size")
 
 

@@ -278,17 +278,23 @@ def chosen_repeats(best: DataFrame) -> DataFrame:
 PAIRS = 16
 
 
-def chosen_segments(found: DataFrame, kept: DataFrame, pairs: int = PAIRS) -> DataFrame:
+def chosen_segments(found: DataFrame, kept: DataFrame, pairs: int = PAIRS, fresh: DataFrame | None = None) -> DataFrame:
     """(file_id, tuple_no, src_file, src_tuple, n_tuples): a greedy parse of each file of windows from left to right.
 
     At each place that no segment covers yet, the repeat of an earlier file of kept that reaches farthest is taken; of
     equals, that of the earliest file and place. Pairs are counted before they are made: where they are at most `pairs` a
     place they are joined, else places are sorted. Either way work grows with the places, and the result is the same.
+    With fresh (file_id), only these files are parsed; the others are there to be repeated.
     """
     found = staged(found, "windows")
     marked = found.select("file_id", "window").join(kept.select("file_id", F.lit(1).alias("kept")), "file_id", "left")
-    many = marked.groupBy("window").agg(F.count("*").alias("n"), F.count("kept").alias("sources"))
+    if fresh is None:
+        marked = marked.withColumn("asked", F.lit(1))
+    else:
+        marked = marked.join(fresh.select("file_id", F.lit(1).alias("asked")), "file_id", "left")
+    many = marked.groupBy("window").agg(F.count("asked").alias("n"), F.count("kept").alias("sources"))
     work = many.agg(F.sum("n").alias("places"), F.sum(F.col("n").cast("double") * F.col("sources")).alias("pairs")).first()
     if (work.pairs or 0) <= pairs * (work.places or 0):
-        return dedup.chosen_segments(dedup.segment_matches(dedup.window_hits(found, kept)))
-    return chosen_repeats(longest_repeats(found, kept))
+        return dedup.chosen_segments(dedup.segment_matches(dedup.window_hits(found, kept, fresh)))
+    best = longest_repeats(found, kept)
+    return chosen_repeats(best if fresh is None else best.join(fresh.select("file_id"), "file_id", "left_semi"))

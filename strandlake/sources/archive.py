@@ -69,12 +69,16 @@ def _of_files(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.where(F.col("bucket").isin(buckets)).join(files.select("file_id").distinct(), "file_id", "left_semi")
 
 
+def _table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """The table without the number of the batch that wrote a row."""
+    return spark.read.schema(schema).parquet(f"{path}/{name}").select(*(part.split()[0] for part in schema.split(", ")))
+
+
 def read(spark: SparkSession, path: str, names: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, residues, tuples); with names, only of these files. Tuples that segments cover are looked up in the
     files they repeat: segments are followed from the named files back, and only files met on the way are read."""
     files, residues = (spark.read.parquet(f"{path}/{x}") for x in ("files", "residues"))
-    own = spark.read.schema(f"{STORED}, bucket int").parquet(f"{path}/tuples")
-    segments = spark.read.schema(f"{SEGMENTS}, bucket long").parquet(f"{path}/segments")
+    own, segments = (_table(spark, path, name, schema) for name, schema in (("tuples", f"{STORED}, bucket int"), ("segments", f"{SEGMENTS}, bucket long")))
     if names is None:
         return files, residues, dedup.restored(delta_decoded(own.drop("bucket")), segments.drop("bucket"))
     files = files.where(F.col("filename").isin(*dict.fromkeys(names)))
