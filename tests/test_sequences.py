@@ -241,6 +241,14 @@ def test_segments_restore_streams(spark):
     assert plain(dedup.restored(left, segments, 6, only)) == [r for r in rows if r[0] == 5]
 
 
+def test_seeds_rich_in_n_count(spark):
+    reference = spark.createDataFrame([("NANCYNINNENNINANDCOLD",)], "seq string")
+    docs = spark.createDataFrame([(1, "NANCYNINNENNINANDCOLD"), (2, "XXNINNENNINANDCOLD"), (3, "NINNENNINAN")], "doc_id long, seq string")
+    hits = sorted(map(tuple, matching.seed_hits(docs, reference).collect()))
+    assert hits == [*((1, k, k) for k in range(1, 8)), (2, 3, 6), (2, 4, 7)]
+    assert matching.reference_index(reference).count() < 7  # the second stage's index leaves them out
+
+
 def test_packed_tuples(spark):
     rows = [("MATCH", 7, 300, None), ("MATCH", 2**31 - 3, 2**24 - 1, None), ("LIT", None, 1, "a"), ("LIT", None, 1, "T"), ("N_RUN", None, 15, None), ("n_RUN", None, 70000, None)]
     df = spark.createDataFrame(rows, "kind string, ref_pos long, len long, lit string")
