@@ -31,8 +31,8 @@ Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 SALTS = 256
 #: Words whose ids a worker remembers (some 40 bytes each).
 REMEMBERED = 600_000
-#: Search nodes before the incumbent stands; when there are over 300 pieces, bins tried at a node and fillings looked at for them.
-NODES, WIDTH, TRIES = 6_000, 4, 60
+#: Search nodes of a round; bins tried at a node and fillings looked at for them in the first round; steps of the second.
+NODES, WIDTH, TRIES, STEPS = 6_000, 4, 60, 20_000_000
 
 # ---------------------------------------------------------------- bin completion
 
@@ -109,12 +109,13 @@ def _sums(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
     return out[::-1]
 
 
-def _fillings(counts: dict[int, int], room: int, most: int, tries: int | None = None) -> Iterator[tuple[int, dict[int, int]]]:
+def _fillings(counts: dict[int, int], room: int, most: int, tries: int | None = None, steps: list[int] | None = None) -> Iterator[tuple[int, dict[int, int]]]:
     """(waste, pieces of each length) of the undominated fillings of room that waste no more than most, least waste first.
 
     A table of the sums that lengths can make leads straight to fillings of each waste, without dead ends. A filling
     is dominated if a free length fits in what it leaves, or in place of one or two of its pieces. After `tries`
-    fillings the search for more ends; if all of these are dominated, the first one is given.
+    fillings the search for more ends; if all of these are dominated, the first one is given. `steps` is what all
+    searches together may still spend, in lengths compared.
     """
     lengths = sorted((x for x, many in counts.items() if many and x <= room), reverse=True)
     sums = _sums(lengths, counts, room)
@@ -154,66 +155,77 @@ def _fillings(counts: dict[int, int], room: int, most: int, tries: int | None =
                 if spare:
                     yield spare
                 return
+            if steps is not None:
+                steps[0] -= len(lengths) + 1
+                if steps[0] < 0:
+                    return
 
 
 def complete_bins(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[Filling, int]]:
     """A packing of counts (length -> pieces) as (filling, bins alike).
 
-    Exact when the search ends within its nodes; else the best packing found, never worse than best-fit decreasing.
-    With over 300 pieces a branch repeats its filling as often as it goes, or else uses it once, and only WIDTH bins
-    are tried at a node: that keeps branches short and is no longer exhaustive.
+    Exact when the second round ends within its nodes; else the best packing found, never worse than best-fit decreasing.
+    The first round tries WIDTH bins at a node, repeated as often as they go or else used once, which keeps branches
+    short. Unless that meets the bound, the second one tries every undominated bin. Both run whatever the number of
+    pieces. Pieces that nothing else fits beside are set aside before.
     """
     counts = {x: n for x, n in counts.items() if n}
+    alone = {x: n for x, n in counts.items() if x + min(counts) > capacity}
+    counts = {x: n for x, n in counts.items() if x not in alone}
     best = best_fit_decreasing(counts, capacity)
-    best_bins, bound = sum(n for _, n in best), lower_bound(counts, capacity)
+    best_bins, bound = sum(n for _, n in best), lower_bound(counts, capacity) if counts else 0
     total = sum(x * n for x, n in counts.items())
-    alike = sum(counts.values()) > 300
-    left, bins, waste = Counter(counts), 0, 0
+    left, bins, waste, steps = Counter(counts), 0, 0, [STEPS]
 
-    def options() -> Iterator[tuple[int, dict[int, int], int]]:
+    def options(first: bool) -> Iterator[tuple[int, dict[int, int], int]]:
         """(waste, pieces of each length, how often) of the bins that may come next, the best first."""
         largest, held = max(left), dict(left)
         held[largest] -= 1
-        for lost, need in _fillings(held, capacity - largest, (best_bins - 1) * capacity - total - waste, TRIES if alike else None):
+        spare = (best_bins - 1) * capacity - total - waste
+        for lost, need in _fillings(held, capacity - largest, spare, *((TRIES, None) if first else (None, steps))):
             need[largest] = need.get(largest, 0) + 1
-            often = min((held[x] + (x == largest)) // many for x, many in need.items()) if alike else 1
+            often = min((held[x] + (x == largest)) // many for x, many in need.items()) if first else 1
             # many bins at once must not waste more than is left to waste either
-            often = min(often, ((best_bins - 1) * capacity - total - waste) // lost) if lost else often
+            often = min(often, spare // lost) if lost else often
             for times in (often, 1) if often > 1 else (1,):
                 yield lost, need, times
 
-    def coming_bins() -> Iterator[tuple[int, dict[int, int], int]]:
-        # with many pieces, the first few only: thousands of levels must not hold a table of sums each
-        return iter(list(islice(options(), WIDTH))) if alike else options()
-
-    # one bin a level: what may still come, and what stands; bins are taken out of and put back into one count
-    levels: list[tuple[Iterator, list]] = [(coming_bins(), [])] if left else []
-    while levels and nodes and best_bins > bound:
-        coming, stands = levels[-1]
-        if stands:
-            lost, need, times = stands.pop()
+    for first in (True, False):
+        nodes_left = nodes
+        # one bin a level: what may still come, how many came, and what stands; bins are taken out of and put back into one
+        # count. A level holds a few bins and makes the next ones anew: thousands of levels must not hold a table of sums each
+        levels: list[list] = [[iter(()), 0, []]] if left else []
+        while levels and nodes_left and best_bins > bound:
+            coming, came, stands = levels[-1]
+            if stands:
+                lost, need, times = stands.pop()
+                for x, many in need.items():
+                    left[x] += many * times
+                bins, waste = bins - times, waste - lost * times
+            found = next(coming, None)
+            if found is None and not (first and came):
+                more = list(islice(options(first), came, came + max(WIDTH, came)))
+                levels[-1][:2] = iter(more), came + len(more)
+                found = next(levels[-1][0], None)
+            if found is None:
+                levels.pop()
+                continue
+            nodes_left -= 1
+            lost, need, times = found
+            stands.append(found)
             for x, many in need.items():
-                left[x] += many * times
-            bins, waste = bins - times, waste - lost * times
-        found = next(coming, None)
-        if found is None:
-            levels.pop()
-            continue
-        nodes -= 1
-        lost, need, times = found
-        stands.append(found)
-        for x, many in need.items():
-            left[x] -= many * times
-            if not left[x]:
-                del left[x]
-        bins, waste = bins + times, waste + lost * times
-        if not left:
-            if bins < best_bins:
-                best_bins = bins
-                best = [(tuple(sorted(need.items(), reverse=True)), times) for _, ((_, need, times),) in levels]
-        elif waste <= (best_bins - 1) * capacity - total:
-            levels.append((coming_bins(), []))
-    return best
+                left[x] -= many * times
+                if not left[x]:
+                    del left[x]
+            bins, waste = bins + times, waste + lost * times
+            if not left:
+                if bins < best_bins:
+                    best_bins = bins
+                    best = [(tuple(sorted(need.items(), reverse=True)), times) for _, _, ((_, need, times),) in levels]
+            elif waste <= (best_bins - 1) * capacity - total:
+                levels.append([iter(()), 0, []])
+        left, bins, waste = Counter(counts), 0, 0
+    return [*best, *((((x, 1),), n) for x, n in alone.items())]
 
 
 # ---------------------------------------------------------------- tokens and pieces

@@ -52,6 +52,15 @@ def test_optimal_on_small_instances():
         assert bins_of(packing.complete_bins(Counter(items), capacity), items, capacity) == exhaustive(items, capacity)
 
 
+def test_search_is_the_same_whatever_the_number_of_pieces():
+    items = [25, 26, 27, 29, 30, 30, 31, 31, 32, 32, 33, 34, 34, 35, 35, 35, 35, 36, 37, 37, 38, 39, 39, 39, 40, 40, 40, 40]
+    other = [20, 21, 22, 23, 24, 26, 28, 29, 31, 32, 33, 35, 37, 38, 39, 42, 42, 42, 42, 42, 43, 44, 44, 45, 47, 48, 49]
+    for sizes in (items, other):
+        for full in (0, 272, 300, 5000):
+            many = [*sizes, *[100] * full]
+            assert bins_of(packing.complete_bins(Counter(many), 100), many, 100) == 10 + full
+
+
 def test_search_beats_best_fit():
     items = [6, 5, 5, 4, 4, 3, 3] * 1 + [44, 24, 24, 22, 21, 17, 8, 8, 6, 6]
     for sizes, capacity, want in (([44, 24, 24, 22, 21, 17, 8, 8, 6, 6], 61, 3), (items[:7], 10, 3)):
