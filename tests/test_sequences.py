@@ -249,6 +249,41 @@ def test_seeds_rich_in_n_count(spark):
     assert matching.reference_index(reference).count() < 7  # the second stage's index leaves them out
 
 
+def test_hashed_seeds_are_all_seeds(spark, monkeypatch):
+    """Windows told by a hash against every window, over steps that cut texts; only those that occur become rows."""
+    rng = random.Random(14)
+    ref = "".join(rng.choice("ACGT") for _ in range(300))
+    docs = spark.createDataFrame([(k, mutated(rng, ref).upper() if k % 3 else "".join(rng.choice("ACGT") for _ in range(rng.randrange(90)))) for k in range(40)] + [(98, ""), (99, None)], "doc_id long, seq string")
+    reference = spark.createDataFrame([(ref,)], "seq string")
+    for k in (1, 7, 15, 16):
+        index = matching.reference_index(reference, k=k, most_n=None)
+        want = sorted(map(tuple, matching.kmers(docs, "doc_id", "seq", k, "alt_pos").join(index, "kmer").select("doc_id", "alt_pos", "ref_pos").collect()))
+        assert sorted(map(tuple, matching.seed_hits(docs, reference, k=k).collect())) == want and want
+    assert matching.seeded_kmers(docs, ref, "doc_id", "seq", 15).count() < matching.kmers(docs, "doc_id", "seq", 15).count()
+    assert matching.seed_hits(docs, spark.createDataFrame([("ACG",)], "seq string")).isEmpty()
+
+
+def test_steps_cut_texts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(matching, "STEP", 7)
+    texts = pa.array([b"", b"ABCDEFGHIJ", b"KLM", b"NOPQRSTUVWXYZ"]).slice(1)
+    steps = list(matching._steps(texts, 2))
+    assert b"".join(bytes(raw[:7]) for raw, _ in steps) == b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    whole = matching._hashes(np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8), 3)
+    assert np.concatenate([matching._hashes(raw, 3) for raw, _ in steps]).tolist() == whole.tolist()
+
+
+def test_bytes_are_counted_once(spark):
+    texts = ["abcAB", "zz\u00e9", "", None, "N" * 3000]
+    got = {r.byte: r.n for r in matching.byte_counts(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()}
+    want = {}
+    for b in "".join(t or "" for t in texts).encode():
+        want[b] = want.get(b, 0) + 1
+    assert got == want
+
+
 def test_packed_tuples(spark):
     rows = [("MATCH", 7, 300, None), ("MATCH", 2**31 - 3, 2**24 - 1, None), ("LIT", None, 1, "a"), ("LIT", None, 1, "T"), ("N_RUN", None, 15, None), ("n_RUN", None, 70000, None)]
     df = spark.createDataFrame(rows, "kind string, ref_pos long, len long, lit string")
