@@ -9,8 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import staged
+from .matching import checked_broadcast
+
 #: Residues in a row of a reference that single places are looked up in, and of one that slices are cut from.
 LOOKUP, SLICE = 1 << 10, 1 << 14
+#: Positions whose first lines are broadcast.
+POSITIONS = 1 << 19
 
 
 def variant_class(info: Column, chrom: Column | None = None, ref: Column | None = None, alts: Column | None = None) -> Column:
@@ -44,11 +49,16 @@ def _chunks(reference: DataFrame, size: int, more: int = 0) -> tuple[DataFrame,
     return reference.where(F.length("ref_seq") > 0).select(*keys, F.explode(cut).alias("c")).select(*keys, "c.*"), keys
 
 
+def _near(cut: DataFrame, reference: DataFrame) -> DataFrame:
+    """Chunks of a reference, broadcast if it is small: variants then stay where they are."""
+    return checked_broadcast(cut, reference.agg(F.sum(F.length("ref_seq"))).first()[0] or 0)
+
+
 def reference_base(rows: DataFrame, reference: DataFrame, name: str = "base", length: int = 1) -> DataFrame:
     """rows (chrom, pos) with the reference's residues from there on; empty beyond it. Joined by chromosome and chunk."""
     cut, keys = _chunks(reference, LOOKUP, length - 1)
     at = rows.withColumn("chunk", F.floor((F.col("pos") - 1) / LOOKUP))
-    joined = at.join(cut, [*keys, "chunk"], "left")
+    joined = at.join(_near(cut, reference), [*keys, "chunk"], "left")
     base = F.col("bases").substr((F.col("pos") - F.col("chunk") * LOOKUP).cast("int"), F.lit(length))
     return joined.withColumn(name, F.coalesce(base, F.lit(""))).select(*rows.columns, name)
 
@@ -63,7 +73,7 @@ def reference_slices(rows: DataFrame, reference: DataFrame, name: str = "piece")
     low = F.greatest(F.col("from_") - 1, F.col("chunk") * SLICE)
     high = F.least(F.col("to_") - 1, (F.col("chunk") + 1) * SLICE)
     text = F.col("bases").substr((low - F.col("chunk") * SLICE + 1).cast("int"), (high - low).cast("int"))
-    return spread.join(cut, [*keys, "chunk"]).withColumn(name, text).drop("bases")
+    return spread.join(_near(cut, reference), [*keys, "chunk"]).withColumn(name, text).drop("bases")
 
 
 def classified(variants: DataFrame, reference: DataFrame, partition: tuple[str, ...] = ("chrom",), haploid: bool = False) -> DataFrame:
@@ -73,11 +83,14 @@ def classified(variants: DataFrame, reference: DataFrame, partition: tuple[str,
     all. A second record at a position can't be an SNP. A filter other than PASS or . is a warning only. With haploid,
     single-letter records of chromosome Y are SNPs whatever INFO says.
     """
-    # by position, so a chromosome's records aren't ordered in one task
-    order = Window.partitionBy(*partition, "pos").orderBy("line_no")
+    # the least line of each position, so records are not sorted; as few rows as positions are broadcast
+    firsts = variants.groupBy(*(F.col(c).alias(f"first_{c}") for c in (*partition, "pos"))).agg(F.min("line_no").alias("first_line"))
+    firsts = staged(firsts, "positions")
+    firsts = F.broadcast(firsts) if firsts.count() <= POSITIONS else firsts
     y_rule = (F.col("chrom"), F.col("ref"), F.col("alts")) if haploid else ()
     rows = reference_base(variants.withColumn("class", variant_class(F.col("info"), *y_rule)), reference)
-    rows = rows.withColumn("repeated", F.row_number().over(order) > 1)
+    same = [F.col(c).eqNullSafe(F.col(f"first_{c}")) for c in (*partition, "pos")]
+    rows = rows.join(firsts, same).withColumn("repeated", F.col("line_no") > F.col("first_line")).drop(*firsts.columns)
     rows = rows.withColumn("end", end_of(F.col("info")))
     first = F.substring("ref", 1, 1)
     reason = (
@@ -130,7 +143,11 @@ def events(variants: DataFrame, genotypes: DataFrame) -> DataFrame:
     variants are classified; genotypes: line_no, sample, hap, allele. Records without the alternative are dropped
     before anything is shuffled.
     """
-    called = genotypes.where("allele > 0").join(variants.where("valid"), "line_no")
+    return called_events(genotypes.where("allele > 0").join(variants.where("valid"), "line_no"))
+
+
+def called_events(called: DataFrame) -> DataFrame:
+    """What valid variants do, of which each row is one on one haplotype that has its allele."""
     chosen = F.get(F.col("alts"), F.col("allele") - 1)
     tail = F.substring(chosen, 2, 1_000_000_000)
     insert = F.when((F.col("class") == "INDEL") & (F.length("ref") == 1), tail).when((F.col("class") == "SV") & (chosen != "<DEL>"), tail).otherwise("")
@@ -175,7 +192,7 @@ def consensus(found: DataFrame, haplotypes: DataFrame, reference: DataFrame) ->
     (ref_seq) and events of any chrom count. Deleted bases vanish, an SNP on a deleted base too; insertions follow their
     base even if it is deleted.
     """
-    sizes = reference.withColumn("size", F.length("ref_seq").cast("long")).drop("ref_seq")
+    sizes = reference.withColumn("size", F.coalesce(F.length("ref_seq"), F.lit(0)).cast("long")).drop("ref_seq")
     by = "chrom" in reference.columns
     owners = haplotypes.select(*(c for c in _keys(haplotypes) if by or c != "chrom"))
     # a row for each chromosome
@@ -198,16 +215,19 @@ def consensus(found: DataFrame, haplotypes: DataFrame, reference: DataFrame) ->
     # a base of the reference, text of the records, and the reference up to the next event
     base = F.when(opens & F.col("letter").isNull(), slot(0, no_text, F.col("pos"), F.col("pos") + 1))
     lead = F.concat(F.when(opens, F.coalesce("letter", F.lit(""))).otherwise(""), "emitted")
-    text = F.when(lead != "", slot(1, lead, none, none))
+    text = F.when((lead != "") | (F.col("line_no") == -1), slot(1, lead, none, none))  # every haplotype has a part
     tail = F.when((until > F.col("pos")) & (until > first), slot(2, no_text, first, until))
     parts = rows.select(*keys, "pos", "line_no", F.explode(F.array_compact(F.array(base, text, tail))).alias("p")).select(*keys, "pos", "line_no", "p.*")
-    slices = reference_slices(parts.where("text is null").drop("text"), reference, "text")
-    pieces = slices.select(*keys, "pos", "line_no", "slot", "chunk", "text").unionByName(
-        parts.where("text is not null").select(*keys, "pos", "line_no", "slot", F.lit(0).cast("long").alias("chunk"), "text")
-    )
+    # slices get their residues where they stand, so parts are not shuffled again before they are put together
+    cut, names = _chunks(reference, SLICE)
+    chunks = F.sequence(F.floor((F.col("from_") - 1) / SLICE), F.floor((F.col("to_") - 2) / SLICE))
+    spread = parts.withColumn("chunk", F.explode(F.when(F.col("text").isNull(), chunks).otherwise(F.array(F.lit(0).cast("long")))))
+    low = F.greatest(F.col("from_") - 1, F.col("chunk") * SLICE)
+    high = F.least(F.col("to_") - 1, (F.col("chunk") + 1) * SLICE)
+    slice_ = F.col("bases").substr((low - F.col("chunk") * SLICE + 1).cast("int"), (high - low).cast("int"))
+    pieces = spread.join(_near(cut, reference), [*names, "chunk"], "left").withColumn("text", F.coalesce("text", slice_))
     listed = F.array_sort(F.collect_list(F.struct("pos", "line_no", "slot", "chunk", "text")))
-    made = pieces.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda r: r["text"]), "").alias("seq"))
-    return owners.select(*keys).distinct().join(made, keys, "left").withColumn("seq", F.coalesce("seq", F.lit("")))
+    return pieces.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda r: r["text"]), "").alias("seq"))
 
 
 def cut_regions(regions: DataFrame, reference: DataFrame, key: str) -> DataFrame:

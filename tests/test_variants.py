@@ -67,6 +67,25 @@ def test_classes_and_validity(spark):
     }
 
 
+def test_small_references_and_positions_are_broadcast(spark, monkeypatch):
+    """Records stay where they are, and joins by shuffle give the same; a chromosome without a name repeats too."""
+    ref = spark.createDataFrame([("1", "ACGTACGTAC"), ("2", "TTTT")], "chrom string, ref_seq string")
+    rows = [(k, c, p, b, ["G"], "PASS", "VT=SNP") for k, (c, p, b) in enumerate([("1", 1, "A"), ("1", 1, "A"), ("2", 1, "T"), ("2", 9, "T"), (None, 3, "T"), (None, 3, "T")])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = ops.classified(df, ref)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.line_no, r.repeated, r.reason) for r in found.collect())
+    assert got == [(0, False, None), (1, True, "repeated"), (2, False, None), (3, False, "ref mismatch"), (4, False, "ref mismatch"), (5, True, "repeated")]
+    haps = spark.createDataFrame([("s", c, h) for c in "12" for h in (0, 1)], "sample string, chrom string, hap int")
+    events = spark.createDataFrame([("s", "1", 0, 2, 7, "x", "", 0)], "sample string, chrom string, hap int, pos long, line_no long, letter string, insert string, del_len long")
+    whole = sorted(map(tuple, ops.consensus(events, haps, ref).collect()))
+    assert whole == [("s", "1", 0, "AxGTACGTAC"), ("s", "1", 1, "ACGTACGTAC"), ("s", "2", 0, "TTTT"), ("s", "2", 1, "TTTT")]
+    monkeypatch.setattr("strandlake.operators.matching.MOST_BROADCAST", 0)
+    monkeypatch.setattr(ops, "POSITIONS", 0)
+    assert sorted((r.line_no, r.repeated, r.reason) for r in ops.classified(df, ref).collect()) == got
+    assert sorted(map(tuple, ops.consensus(events, haps, ref).collect())) == whole
+
+
 def test_genotype_text(spark):
     cases = {"0|1": (0, 1), "2|0": (2, 0), ".": (0, 0), ".|.": (0, 0), "0/1": (0, 0), "1": (1, 1), "1/0": (1, 1), "": (0, 0)}
     df = spark.createDataFrame([(g,) for g in cases], "gt string")
