@@ -39,12 +39,8 @@ def running(tuples: DataFrame, step: Column, name: str) -> DataFrame:
     carried = sums.select("file_id", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("carried"))
     inside = Window.partitionBy("file_id", "block").orderBy("tuple_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = sized.withColumn(name, F.sum("step").over(inside) - F.col("step"))
-    return rows.join(carried, ["file_id", "block"]).withColumn(name, F.col(name) + F.col("carried")).drop("carried", "step")
-
-
-def offsets(tuples: DataFrame) -> DataFrame:
-    """tuples with bytes, block and the offset of each in its file's packed stream."""
-    return running(tuples.withColumn("bytes", tuple_bytes(F.col("kind"))), F.col("bytes"), "offset")
+    # a row for each BLOCK tuples
+    return rows.join(F.broadcast(carried), ["file_id", "block"]).withColumn(name, F.col(name) + F.col("carried")).drop("carried", "step")
 
 
 def windows(tuples: DataFrame, least: int = MIN_SEGMENT_BYTES) -> DataFrame:
@@ -52,9 +48,12 @@ def windows(tuples: DataFrame, least: int = MIN_SEGMENT_BYTES) -> DataFrame:
 
     Windows that the file's end cuts short of `least` bytes are left out. A block sees the first tuples of the next.
     """
-    placed = offsets(tuples).select("file_id", "block", "tuple_no", "sig", "bytes", "offset", F.lit(True).alias("own"))
-    lent = placed.where((F.col("tuple_no") % BLOCK < least) & (F.col("block") > 0))
-    rows = placed.unionByName(lent.withColumn("block", F.col("block") - 1).withColumn("own", F.lit(False)))
+    block = F.floor(F.col("tuple_no") / BLOCK)
+    blocks = F.when((F.col("tuple_no") % BLOCK < least) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    placed = tuples.select("file_id", "tuple_no", "sig", tuple_bytes(F.col("kind")).alias("bytes"), F.explode(blocks).alias("block"))
+    # only differences of offsets count, so they are summed within a block, and tuples are read and shuffled once
+    inside = Window.partitionBy("file_id", "block").orderBy("tuple_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.withColumn("offset", F.coalesce(F.sum("bytes").over(inside), F.lit(0))).withColumn("own", F.col("block") == block)
     ahead = Window.partitionBy("file_id", "block").orderBy("offset").rangeBetween(0, least - 1)
     framed = rows.withColumn("window", F.array_join(F.collect_list("sig").over(ahead), "|")).withColumn("width", F.sum("bytes").over(ahead))
     framed = framed.withColumn("size", F.count("*").over(ahead))

@@ -40,20 +40,21 @@ SEGMENTS = "file_id long, tuple_no long, src_file long, src_tuple long, n_tuples
 def _grams(found: DataFrame, kept: DataFrame) -> DataFrame:
     """(file_id, tuple_no, gram): up to GRAM windows from each place on, as far as they occur in an earlier retained file
     or in a later one of a retained place. Others end a gram like the end of the file, as no repeat goes on there."""
-    keyed = found.select("file_id", "tuple_no", F.unhex(F.md5(F.col("window").cast("binary"))).alias("key"))
+    keyed = found.select("file_id", "tuple_no", "window")
     source = kept.select("file_id", F.lit(True).alias("kept"))
     marked = keyed.join(source, "file_id", "left")
     earliest = F.min(F.when(F.col("kept"), F.col("file_id")))
-    shared = marked.groupBy("key").agg(earliest.alias("low"), F.max("file_id").alias("high")).where("low < high").select("key", F.lit(True).alias("on"))
-    rows = keyed.join(shared, "key", "left").withColumn("block", F.floor(F.col("tuple_no") / BLOCK)).withColumn("own", F.lit(True))
-    lent = rows.where((F.col("tuple_no") % BLOCK < GRAM - 1) & (F.col("block") > 0))
-    rows = rows.unionByName(lent.withColumn("block", F.col("block") - 1).withColumn("own", F.lit(False)))
+    shared = marked.groupBy("window").agg(earliest.alias("low"), F.max("file_id").alias("high")).where("low < high").select("window")
+    # small numbers stand for windows: they shuffle at a fraction of a hash's bytes, and tell windows apart for certain
+    shared = numbered(shared, "window", "key")
+    block = F.floor(F.col("tuple_no") / BLOCK)
+    blocks = F.when((F.col("tuple_no") % BLOCK < GRAM - 1) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    rows = keyed.join(shared, "window", "left").select("file_id", "tuple_no", F.coalesce("key", F.lit(-1).cast("long")).alias("key"), F.explode(blocks).alias("block"))
     ahead = Window.partitionBy("file_id", "block").orderBy("tuple_no").rangeBetween(0, GRAM - 1)
-    gram = F.collect_list(F.struct(F.coalesce("on", F.lit(False)).alias("on"), "key")).over(ahead)
-    rows = rows.withColumn("gram", gram).where("own and on")
-    end = F.array_position(F.transform("gram", lambda w: w["on"]), False)
+    rows = rows.withColumn("gram", F.collect_list("key").over(ahead)).where((F.col("block") == block) & (F.col("key") >= 0))
+    end = F.array_position("gram", F.lit(-1).cast("long"))
     cut = F.slice("gram", 1, F.when(end > 0, (end - 1).cast("int")).otherwise(F.size("gram")))
-    return rows.select("file_id", "tuple_no", F.transform(cut, lambda w: w["key"]).alias("gram"))
+    return rows.select("file_id", "tuple_no", cut.alias("gram"))
 
 
 def _tied(rows: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -209,8 +210,8 @@ def longest_repeats(found: DataFrame, kept: DataFrame) -> DataFrame:
     """(file_id, tuple_no, src_file, src_tuple, n_tuples): at every place whose window occurs in an earlier file of kept,
     the repeat that reaches farthest; of equals, that of the earliest file and place.
 
-    found: windows (file_id, tuple_no, window, size) of tuples, told apart by 128 bits of a hash; a repeat's tuples are the
-    first of each window that it shares and all of its last one. kept: file_id, fewer than 2^22 of them.
+    found: windows (file_id, tuple_no, window, size) of tuples; a repeat's tuples are the first of each window that it
+    shares and all of its last one. kept: file_id, fewer than 2^22 of them.
     """
     found = staged(found.select("file_id", "tuple_no", "window", "size"), "windows")
     sources = staged(numbered(kept.select("file_id").distinct(), "file_id", "no"), "sources")

@@ -50,3 +50,15 @@ def test_equal_literals(spark):
     best = repeats.longest_repeats(found, kept)
     assert best.count() == n - 10  # a row a window, where pairs would be nearly n * n
     assert repeats.chosen_segments(found, kept).collect() == [(1, 0, 0, 0, n)]
+
+
+def test_windows_and_grams_are_made_in_one_reading(spark):
+    """Tuples are read once to make windows; grams hold small numbers, not hashes."""
+    rows = [(f, n, "MATCH" if n % 3 else "LIT", "abc"[n % 3]) for f in (1, 2, 3) for n in range(40)]
+    tuples = spark.createDataFrame(rows, "file_id long, tuple_no long, kind string, sig string")
+    found = dedup.windows(tuples)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    kept = spark.createDataFrame([(1,), (2,)], "file_id long")
+    grams = repeats._grams(found, kept)
+    assert dict(grams.dtypes)["gram"] == "array<bigint>"
+    assert {k for r in grams.collect() for k in r.gram} == set(range(found.select("window").distinct().count()))
