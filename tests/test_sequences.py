@@ -284,6 +284,17 @@ def test_bytes_are_counted_once(spark):
     assert got == want
 
 
+def test_matches_rich_in_n_are_whole(spark, tmp_path):
+    """seed_matches and longest_match keep matches whose k-mers hold more N than the second stage's index takes."""
+    docs = [(0, "nancy ninnennin and cold"), (1, "xx NINNENNINANDCOLD"), (2, "cold nancy ninnennin an")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from strandlake.plans import sequence_queries as q
+
+    matches = sorted((r.doc_id, r.alt_pos, r.ref_pos, r.len) for r in q.seed_matches(spark, str(tmp_path)).collect())
+    assert matches == [(0, 1, 1, 21), (1, 3, 6, 16), (2, 5, 1, 16)]
+    assert sorted((r.doc_id, r.alt_pos, r.ref_pos, r.len) for r in q.longest_match(spark, str(tmp_path)).collect()) == matches
+
+
 def test_packed_tuples(spark):
     rows = [("MATCH", 7, 300, None), ("MATCH", 2**31 - 3, 2**24 - 1, None), ("LIT", None, 1, "a"), ("LIT", None, 1, "T"), ("N_RUN", None, 15, None), ("n_RUN", None, 70000, None)]
     df = spark.createDataFrame(rows, "kind string, ref_pos long, len long, lit string")
