@@ -31,6 +31,8 @@ Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 SALTS = 256
 #: Words whose ids a worker remembers (some 40 bytes each).
 REMEMBERED = 600_000
+#: Bytes of text that are coded at once: beside the table of known words, a worker's memory goes with this.
+CODED_BYTES = 2 * STEP_BYTES
 #: Search nodes of a round; bins tried at a node and fillings looked at for them in the first round; steps of the second.
 NODES, WIDTH, TRIES, STEPS = 6_000, 4, 60, 20_000_000
 
@@ -372,8 +374,8 @@ def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
             size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
             low = 0
             while low < len(ids):
-                high = max(low + 1, low + int(np.searchsorted(np.cumsum(size[low : low + 100_000]), 4 * STEP_BYTES)))
-                if size[low] > 4 * STEP_BYTES:
+                high = max(low + 1, low + int(np.searchsorted(np.cumsum(size[low : low + 100_000]), CODED_BYTES)))
+                if size[low] > CODED_BYTES:
                     flat = encoder.whole(texts[low].as_py())
                     ends = np.array([len(flat)])
                 else:
@@ -400,6 +402,7 @@ def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
                 low = high
+                pa.default_memory_pool().release_unused()
         pa.default_memory_pool().release_unused()  # workers live on between stages
 
     return run

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandlake.llm import packing
@@ -152,3 +153,12 @@ def test_pack(spark):
 
 def test_pack_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH, keep_ids=False).collect() == []
+
+
+def test_pieces_are_made_in_small_steps():
+    """A worker codes at most 2 MB of texts at once, however many rows a batch has; a longer text is a step of its own."""
+    texts = ["word " * 13_000] * 100 + ["long " * 600_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(101)), pa.array(texts)], names=["doc_id", "text"])
+    steps = [{r for r in out.column(0).to_pylist()} for out in packing._pieces(PATH, 4096, 1, False)(iter([batch]))]
+    assert sorted(r for step in steps for r in step) == list(range(101))
+    assert all(sum(len(texts[r]) for r in step) <= 2 << 20 or step == {100} for step in steps)
