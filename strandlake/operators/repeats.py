@@ -275,27 +275,83 @@ def chosen_repeats(best: DataFrame) -> DataFrame:
     return rows.repartition("file_id").sortWithinPartitions("file_id", "tuple_no").mapInArrow(_walk, SEGMENTS)
 
 
-#: Pairs of equal windows a place, on average, up to which pairing them costs less than the sorted order.
-PAIRS = 16
+#: Windows from each place on that are compared where the first one lies; a first window that stands more often than HEAVY
+#: times is too much for one group.
+NEAR, HEAVY = 4, 1 << 20
+
+
+def _near(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """(file_id, tuple_no, src_file, src_tuple, n_tuples, wide, wide_size): at every place, the repeat of up to NEAR windows
+    that reaches farthest, or null; of equals, that of the earliest file and place.
+
+    The earliest retained place of those that share L windows is the answer for L, if its file is an earlier one; so nothing
+    is paired. wide holds the NEAR windows from places that share them with an earlier retained file or a later one.
+    """
+    block = F.floor(F.col("tuple_no") / BLOCK)
+    blocks = F.when((F.col("tuple_no") % BLOCK < NEAR - 1) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    rows = found.select("file_id", "tuple_no", "window", "size", F.explode(blocks).alias("block"))
+    order, g = Window.partitionBy("file_id", "block").orderBy("tuple_no"), [f"g{k}" for k in range(NEAR)]
+    for k in range(NEAR):
+        follows = F.lead("tuple_no", k).over(order) == F.col("tuple_no") + k
+        rows = rows.withColumns({g[k]: F.when(follows, F.lead("window", k).over(order)), f"n{k}": F.when(follows, F.lead("size", k).over(order) + k)})
+    rows = rows.where(F.col("block") == block).drop("window", "size", "block")
+    rows = rows.join(kept.select("file_id", F.lit(True).alias("kept")), "file_id", "left")
+    # one shuffle and one sort: groups of more windows lie in those of fewer
+    rows = rows.repartition("g0").sortWithinPartitions(*g)
+    place = F.when(F.col("kept"), F.struct(F.col("file_id").alias("file"), F.col("tuple_no").alias("place")))
+    rows = rows.withColumn("high", F.max("file_id").over(Window.partitionBy(*g)))
+    for k in reversed(range(NEAR)):
+        rows = rows.withColumn(f"e{k}", F.min(place).over(Window.partitionBy(*g[: k + 1])))
+    shared = [F.coalesce(F.col(f"g{k}").isNotNull() & (F.col(f"e{k}.file") < F.col("file_id")), F.lit(False)) for k in range(NEAR)]
+    reach = F.coalesce(*(F.when(shared[k], F.col(f"n{k}")) for k in reversed(range(NEAR))))
+    # the fewest windows that reach as far
+    source = F.coalesce(*(F.when(shared[k] & (F.col(f"n{k}") == reach), F.col(f"e{k}")) for k in range(NEAR)))
+    wide = F.col(g[-1]).isNotNull() & (F.col(f"e{NEAR - 1}.file") < F.col("high"))
+    rows = rows.select("file_id", "tuple_no", source.alias("s"), reach.cast("long").alias("n_tuples"), F.when(wide, F.to_json(F.array(*g))).alias("wide"), F.when(wide, F.col(f"n{NEAR - 1}")).alias("wide_size"))
+    rows = rows.where("s is not null or wide is not null")
+    return rows.select("file_id", "tuple_no", F.col("s.file").alias("src_file"), F.col("s.place").alias("src_tuple"), "n_tuples", "wide", "wide_size")
+
+
+def near_repeats(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """longest_repeats, where no window stands more than HEAVY times: only places that share NEAR windows are put in order."""
+    near = staged(_near(found, kept), "near")
+    own = near.where("src_file is not null").drop("wide", "wide_size")
+    open_ = near.where("wide is not null")
+    if open_.isEmpty():
+        return own
+    # longer repeats are repeats of windows NEAR as wide; a window of its own stands after each run of these
+    ends = open_.select("file_id", (F.col("tuple_no") + 1).alias("tuple_no")).join(open_.select("file_id", "tuple_no"), ["file_id", "tuple_no"], "left_anti")
+    ends = ends.select("file_id", "tuple_no", F.concat_ws(":", "file_id", "tuple_no").alias("window"), F.lit(None).cast("long").alias("size"))
+    wide = open_.select("file_id", "tuple_no", F.col("wide").alias("window"), F.col("wide_size").cast("long").alias("size")).unionByName(ends)
+    far = longest_repeats(wide, kept)
+    far = staged(far.join(open_.select("file_id", "tuple_no", "wide_size"), ["file_id", "tuple_no"]).where("n_tuples > wide_size").drop("wide_size"), "far")
+    settled = near.where("src_file is not null and wide is null").drop("wide", "wide_size")
+    rest = open_.where("src_file is not null").drop("wide", "wide_size").join(far.select("file_id", "tuple_no"), ["file_id", "tuple_no"], "left_anti")
+    return settled.unionByName(rest).unionByName(far)
+
+
+#: Pairs of equal windows a place, on average, up to which they are joined; more only if asked for.
+PAIRS = 0
 
 
 def chosen_segments(found: DataFrame, kept: DataFrame, pairs: int = PAIRS, fresh: DataFrame | None = None) -> DataFrame:
     """(file_id, tuple_no, src_file, src_tuple, n_tuples): a greedy parse of each file of windows from left to right.
 
     At each place that no segment covers yet, the repeat of an earlier file of kept that reaches farthest is taken; of
-    equals, that of the earliest file and place. Pairs are counted before they are made: where they are at most `pairs` a
-    place they are joined, else places are sorted. Either way work grows with the places, and the result is the same.
-    With fresh (file_id), only these files are parsed; the others are there to be repeated.
+    equals, that of the earliest file and place. Work grows with the places: short repeats are found where their first
+    window lies, longer ones by the order of their places; where a window stands more than HEAVY times, all are. Up to
+    `pairs` pairs of equal windows a place are joined instead; with less than 0 all places are put in order. The result is
+    the same. With fresh (file_id), only these files are parsed; the others are there to be repeated.
     """
     found = staged(found, "windows")
-    marked = found.select("file_id", "window").join(kept.select("file_id", F.lit(1).alias("kept")), "file_id", "left")
-    if fresh is None:
-        marked = marked.withColumn("asked", F.lit(1))
+    kept = staged(kept.select("file_id").distinct(), "sources")
+    if pairs >= 0:
+        marked = found.select("file_id", "window").join(kept.select("file_id", F.lit(1).alias("kept")), "file_id", "left")
+        many = marked.groupBy("window").agg(F.count("*").alias("n"), F.count("kept").alias("sources"))
+        work = many.agg(F.max("n").alias("most"), F.sum("n").alias("places"), F.sum(F.col("n").cast("double") * F.col("sources")).alias("pairs")).first()
+        if (work.pairs or 0) <= pairs * (work.places or 0):
+            return dedup.chosen_segments(dedup.segment_matches(dedup.window_hits(found, kept, fresh)))
+        best = near_repeats(found, kept) if work.most <= HEAVY else longest_repeats(found, kept)
     else:
-        marked = marked.join(fresh.select("file_id", F.lit(1).alias("asked")), "file_id", "left")
-    many = marked.groupBy("window").agg(F.count("asked").alias("n"), F.count("kept").alias("sources"))
-    work = many.agg(F.sum("n").alias("places"), F.sum(F.col("n").cast("double") * F.col("sources")).alias("pairs")).first()
-    if (work.pairs or 0) <= pairs * (work.places or 0):
-        return dedup.chosen_segments(dedup.segment_matches(dedup.window_hits(found, kept, fresh)))
-    best = longest_repeats(found, kept)
+        best = longest_repeats(found, kept)
     return chosen_repeats(best if fresh is None else best.join(fresh.select("file_id"), "file_id", "left_semi"))

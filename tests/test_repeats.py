@@ -35,6 +35,20 @@ def test_against_pairs(spark, monkeypatch, seed, cell, gram, block):
     assert ours == theirs and ours
 
 
+@pytest.mark.parametrize("seed,near,block", [(1, 4, 1 << 16), (2, 2, 4)])
+def test_short_repeats_where_they_lie(spark, monkeypatch, seed, near, block):
+    """The default, which pairs nothing, against pairs."""
+    for name, value in (("NEAR", near), ("BLOCK", block), ("GRAM", 3)):
+        monkeypatch.setattr(repeats, name, value)
+    found = dedup.windows(spark.createDataFrame(streams(seed), "file_id long, tuple_no long, sig string, kind string"))
+    kept = spark.createDataFrame([(f,) for f in (0, 1, 3, 4)], "file_id long")
+    theirs = sorted(repeats.chosen_segments(found, kept, pairs=10**9).collect())
+    monkeypatch.setattr(dedup, "window_hits", None)
+    assert sorted(repeats.chosen_segments(found, kept).collect()) == theirs and theirs
+    # the repeat at every place, not only where the parse takes one
+    assert sorted(repeats.near_repeats(found, kept).select(*(c.split()[0] for c in repeats.SEGMENTS.split(", "))).collect()) == sorted(repeats.longest_repeats(found, kept).collect())
+
+
 def test_nothing_repeats(spark):
     rows = [(f, i, f"{f} {i}", "MATCH") for f in range(2) for i in range(5)]
     assert both(spark, rows, (0, 1)) == ([], [])
