@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,8 +157,18 @@ class Words:
         return mix((sums[k:] - sums[:-k]) * inverse[: total - k + 1], k), self.first[text] >= at + k
 
 
-def text_steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows of about STEP_BYTES; null is empty."""
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system, as workers live on between stages: Arrow's, and what malloc keeps (glibc only)."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def text_steps(texts: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of rows of at most `most` bytes, or of one longer row; null is empty."""
     texts = texts.fill_null("")
     if not pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.large_string())
@@ -166,10 +177,10 @@ def text_steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + STEP_BYTES, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
-    pa.default_memory_pool().release_unused()  # workers live on between stages
+    release()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -23,16 +23,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, column, staged
+from .common import STEP_BYTES, column, release, staged
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 #: Groups that the pieces of one length are dealt into for ranking.
 SALTS = 256
-#: Words whose ids a worker remembers (some 40 bytes each).
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers (some 40 bytes each, and as much again while a step looks its words up).
+REMEMBERED = 100_000
 #: Bytes of text that are coded at once: beside the table of known words, a worker's memory goes with this.
-CODED_BYTES = 2 * STEP_BYTES
+CODED_BYTES = STEP_BYTES
 #: Search nodes of a round; bins tried at a node and fillings looked at for them in the first round; steps of the second.
 NODES, WIDTH, TRIES, STEPS = 6_000, 4, 60, 20_000_000
 
@@ -403,7 +403,7 @@ def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
                 yield pa.RecordBatch.from_arrays(out, names=names)
                 low = high
                 pa.default_memory_pool().release_unused()
-        pa.default_memory_pool().release_unused()  # workers live on between stages
+            release()
 
     return run
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, U64, Words, column, power_tables, text_steps
+from .common import SPACES, STEP_BYTES, U64, Words, column, power_tables, text_steps
 
 # DECAY, LEAST and CROWD were chosen by tuning.py, from labelled rows that are not held out.
 #: Length of subsequences, decay a character of span, and longest piece of a word that one kernel evaluation takes.
@@ -36,6 +36,8 @@ JOINED = 12
 POWER, LEAST = 2, 0.4
 #: Fitting is bounded: labelled documents of each label, characters of each, and landmarks.
 SAMPLE, LONGEST, LANDMARKS = 1_000, 6_000, 64
+#: Bytes of text that are scored at once: a worker's memory goes with this, some 150 bytes each.
+SCORED_BYTES = STEP_BYTES // 2
 #: Texts of one doc_id that the fit may take.
 ROWS = 4
 #: Pieces like no landmark that a worker remembers (8 bytes each).
@@ -496,7 +498,7 @@ def _score(model):
         fitted: Model = model.value
         for batch in batches:
             ids = column(batch, "doc_id")
-            for i, j, data, offsets in text_steps(column(batch, "text")):
+            for i, j, data, offsets in text_steps(column(batch, "text"), SCORED_BYTES):
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(fitted.scores(data, offsets))], names=["doc_id", "score"])
 
     return run
@@ -520,7 +522,7 @@ def score_of(text: Column, model: Model, spark) -> Column:
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts))
-        for i, j, data, offsets in text_steps(texts):
+        for i, j, data, offsets in text_steps(texts, SCORED_BYTES):
             out[i:j] = sent.value.scores(data, offsets)
         return pa.array(out)
 

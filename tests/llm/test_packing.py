@@ -1,6 +1,8 @@
 """Bin completion against exhaustive search, and packed pieces against the tokenizer."""
 
+import platform
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -8,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from strandlake.llm import packing
+from strandlake.llm import common, packing, toxicity
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
@@ -162,3 +164,37 @@ def test_pieces_are_made_in_small_steps():
     steps = [{r for r in out.column(0).to_pylist()} for out in packing._pieces(PATH, 4096, 1, False)(iter([batch]))]
     assert sorted(r for step in steps for r in step) == list(range(101))
     assert all(sum(len(texts[r]) for r in step) <= 2 << 20 or step == {100} for step in steps)
+
+
+def test_workers_remember_few_words():
+    """A worker codes at most 1 MB of texts at once and remembers at most 100,000 words; ids are those of the tokenizer."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(10_000)) for k in range(25)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(25)), pa.array(texts)], names=["doc_id", "text"])
+    steps = [out.to_pylist() for out in packing._pieces(PATH, 4096, 1, True)(iter([batch]))]
+    assert all(sum(len(texts[r]) for r in {p["doc_id"] for p in step}) <= 1 << 20 for step in steps)
+    assert len(packing._encoders[PATH, 1].words) <= 100_001
+    got = {}
+    for piece in (p for step in steps for p in step):
+        got[piece["doc_id"]] = got.get(piece["doc_id"], []) + piece["ids"]
+    whole = tokenizers.Tokenizer.from_file(PATH)
+    assert all(got[k] == [*whole.encode(texts[k], add_special_tokens=False).ids, 1] for k in (0, 12, 24))
+
+
+@pytest.mark.skipif(platform.libc_ver()[0] != "glibc", reason="needs glibc")
+def test_workers_give_freed_memory_back():
+    """What malloc keeps for later goes back once a batch's texts are read, as one worker serves all stages."""
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+    list(common.text_steps(pa.array(["a b"])))
+    before = held()
+    rows = [np.ones(2_000) for _ in range(10_000)]  # 160 MB
+    last = rows[-1]
+    del rows
+    list(common.text_steps(pa.array(["a b"])))
+    assert held() < before + 40 and len(last) == 2_000
+
+
+def test_texts_are_scored_in_small_steps():
+    """Toxicity takes at most half a MB of texts at once; a longer text is a step of its own."""
+    texts = ["so " * 60_000] * 9 + ["long " * 200_000]
+    steps = [(i, j) for i, j, _, _ in common.text_steps(pa.array(texts), toxicity.SCORED_BYTES)]
+    assert steps == [(0, 2), (2, 4), (4, 6), (6, 8), (8, 9), (9, 10)]
