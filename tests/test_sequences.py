@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -332,3 +333,34 @@ def test_expected_positions_do_not_depend_on_blocks(spark, monkeypatch):
     for block in (1 << 16, 8):
         monkeypatch.setattr(dedup, "BLOCK", block)
         assert {(r.file_id, r.tuple_no): r.expected for r in dedup.position_deltas(df).collect()} == want
+
+
+@pytest.mark.parametrize("k,letters,most,small", [(15, "ACGN", 3, True), (15, "ABXYZ", 3, False), (5, "ABN", 1, True), (16, "AZ", 3, True), (2, "ABC", 2, False)])
+def test_kmer_counts(spark, monkeypatch, k, letters, most, small):
+    """k-mers are counted from stretches of letters: runs of one letter, N, short and empty texts, whatever the size of the parts."""
+    if small:
+        for name, value in (("LETTERS", 64), ("SORTED", 100), ("PARTITION", 700), ("STEP", 37)):
+            monkeypatch.setattr(matching, name, value)
+    rng = random.Random(k)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice((0, k - 1, k, k + 1, 90)))) for _ in range(60)] + ["A" * 300, "N" * 40, "", None]
+    texts += texts[:20]
+    counts = {}
+    for text in texts:
+        for p in range(len(text or "") - k + 1):
+            if text[p : p + k].count("N") <= most:
+                counts[text[p : p + k]] = counts.get(text[p : p + k], 0) + 1
+    rows = spark.createDataFrame([(t,) for t in texts], "seq string")
+    found = matching.kmer_counts(rows, "seq", k, most).collect()
+    assert {bytes(r.kmer).decode(): r.n for r in found} == counts and len(found) == len(counts)
+
+
+def test_occupancy_makes_no_row_for_a_place(spark):
+    """What index_occupancy shuffles are letters, at most some 4 bytes a k-mer."""
+    from strandlake.plans import sequence_queries
+
+    found = sequence_queries.index_occupancy(spark, "/root/testdata/sf0.001")
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    rng = random.Random(1)
+    raw = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(100_000)).encode()
+    cut = matching._stretches(np.frombuffer(raw, np.uint8), np.array([0]), 15, 3, 7)
+    assert sum(len(b) for b in cut.column(1).to_pylist()) < 4 * len(raw)
