@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..durable import staged
 from ..intervals import first_below, least_between, least_of, minima, next_below
-from ..ordering import numbered
+from ..ordering import numbered, running_sums
 from . import dedup
 
 #: Windows, or groups of them, that are compared at once; places of the order that a task solves by itself.
@@ -206,6 +206,18 @@ def _far_earliest(rows: DataFrame, asked: DataFrame, size: int) -> DataFrame:
     return spans.join(least, ["first", "last"]).select("at", F.col("least").alias("earliest"))
 
 
+def _placed(found: DataFrame, sources: DataFrame) -> DataFrame:
+    """(at, file_id, tuple_no, shared, source, place): places in order, what each shares with the one before it, and where
+    repeats may come from. sources: (file_id, no), fewer than 2^22 of them."""
+    order, levels = _ordered(staged(_grams(found, sources), "grams"))
+    order = staged(order, "order")
+    return order.join(_shared(order, levels), "at", "left").join(sources, "file_id", "left").select(
+        "at", "file_id", "tuple_no", F.coalesce("shared", F.lit(0)).alias("shared"),
+        F.when(F.col("no").isNotNull(), F.col("file_id")).otherwise(NOWHERE).alias("source"),
+        F.when(F.col("no").isNotNull(), F.col("no") * (1 << TUPLE_BITS) + F.col("tuple_no")).otherwise(NOWHERE).alias("place"),
+    )
+
+
 def longest_repeats(found: DataFrame, kept: DataFrame) -> DataFrame:
     """(file_id, tuple_no, src_file, src_tuple, n_tuples): at every place whose window occurs in an earlier file of kept,
     the repeat that reaches farthest; of equals, that of the earliest file and place.
@@ -215,15 +227,9 @@ def longest_repeats(found: DataFrame, kept: DataFrame) -> DataFrame:
     """
     found = staged(found.select("file_id", "tuple_no", "window", "size"), "windows")
     sources = staged(numbered(kept.select("file_id").distinct(), "file_id", "no"), "sources")
-    order, levels = _ordered(staged(_grams(found, sources), "grams"))
-    order = staged(order, "order")
-    size = order.count() + 1  # and a place after the last, which shares nothing
+    rows = staged(_placed(found, sources), "order")
+    size = rows.count() + 1  # and a place after the last, which shares nothing
     spark = found.sparkSession
-    rows = order.join(_shared(order, levels), "at", "left").join(sources, "file_id", "left").select(
-        "at", "file_id", "tuple_no", F.coalesce("shared", F.lit(0)).alias("shared"),
-        F.when(F.col("no").isNotNull(), F.col("file_id")).otherwise(NOWHERE).alias("source"),
-        F.when(F.col("no").isNotNull(), F.col("no") * (1 << TUPLE_BITS) + F.col("tuple_no")).otherwise(NOWHERE).alias("place"),
-    )
     nothing = F.lit(0).cast("long")
     last = spark.range(size - 1, size).select(F.col("id").alias("at"), F.lit(-NOWHERE).alias("file_id"), F.lit(-1).cast("long").alias("tuple_no"), nothing.alias("shared"), F.lit(NOWHERE).alias("source"), F.lit(NOWHERE).alias("place"))
     rows = staged(rows.unionByName(last), "places")
@@ -276,10 +282,28 @@ def chosen_repeats(best: DataFrame) -> DataFrame:
 
 
 #: Windows from each place on that are compared where the first one lies; a first window that stands more often than HEAVY
-#: times is too much for one group.
+#: times is too much for one group. NEAR is 2 at least: where the second window differs, a run of equal windows ends.
 NEAR, HEAVY = 4, 1 << 20
 
 
+def _following(found: DataFrame, before: bool = False) -> DataFrame:
+    """(file_id, tuple_no, g0, n0, g1, n1, ...): the NEAR windows from each place on, as far as the file has them, and the
+    tuples up to the end of each; with `before`, also the window before the place (before), null at the file's first."""
+    block, inside = F.floor(F.col("tuple_no") / BLOCK), F.col("tuple_no") % BLOCK
+    blocks = F.array(block)
+    blocks = F.when((inside < NEAR - 1) & (block > 0), F.concat(blocks, F.array(block - 1))).otherwise(blocks)
+    if before:
+        blocks = F.when(inside == BLOCK - 1, F.concat(blocks, F.array(block + 1))).otherwise(blocks)
+    rows = found.select("file_id", "tuple_no", "window", "size", F.explode(blocks).alias("block"))
+    order = Window.partitionBy("file_id", "block").orderBy("tuple_no")
+    for k in range(NEAR):
+        follows = F.lead("tuple_no", k).over(order) == F.col("tuple_no") + k
+        rows = rows.withColumns({f"g{k}": F.when(follows, F.lead("window", k).over(order)), f"n{k}": F.when(follows, F.lead("size", k).over(order) + k)})
+    if before:
+        rows = rows.withColumn("before", F.when(F.lag("tuple_no").over(order) == F.col("tuple_no") - 1, F.lag("window").over(order)))
+    return rows.where(F.col("block") == block).drop("window", "size", "block")
+
+
 def _near(found: DataFrame, kept: DataFrame) -> DataFrame:
     """(file_id, tuple_no, src_file, src_tuple, n_tuples, wide, wide_size): at every place, the repeat of up to NEAR windows
     that reaches farthest, or null; of equals, that of the earliest file and place.
@@ -287,14 +311,7 @@ def _near(found: DataFrame, kept: DataFrame) -> DataFrame:
     The earliest retained place of those that share L windows is the answer for L, if its file is an earlier one; so nothing
     is paired. wide holds the NEAR windows from places that share them with an earlier retained file or a later one.
     """
-    block = F.floor(F.col("tuple_no") / BLOCK)
-    blocks = F.when((F.col("tuple_no") % BLOCK < NEAR - 1) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-    rows = found.select("file_id", "tuple_no", "window", "size", F.explode(blocks).alias("block"))
-    order, g = Window.partitionBy("file_id", "block").orderBy("tuple_no"), [f"g{k}" for k in range(NEAR)]
-    for k in range(NEAR):
-        follows = F.lead("tuple_no", k).over(order) == F.col("tuple_no") + k
-        rows = rows.withColumns({g[k]: F.when(follows, F.lead("window", k).over(order)), f"n{k}": F.when(follows, F.lead("size", k).over(order) + k)})
-    rows = rows.where(F.col("block") == block).drop("window", "size", "block")
+    rows, g = _following(found), [f"g{k}" for k in range(NEAR)]
     rows = rows.join(kept.select("file_id", F.lit(True).alias("kept")), "file_id", "left")
     # one shuffle and one sort: groups of more windows lie in those of fewer
     rows = rows.repartition("g0").sortWithinPartitions(*g)
@@ -312,6 +329,13 @@ def _near(found: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.select("file_id", "tuple_no", F.col("s.file").alias("src_file"), F.col("s.place").alias("src_tuple"), "n_tuples", "wide", "wide_size")
 
 
+def _wide(open_: DataFrame) -> DataFrame:
+    """Windows NEAR as wide, of which longer repeats are repeats; a window of its own stands after each run of these."""
+    ends = open_.select("file_id", (F.col("tuple_no") + 1).alias("tuple_no")).join(open_.select("file_id", "tuple_no"), ["file_id", "tuple_no"], "left_anti")
+    ends = ends.select("file_id", "tuple_no", F.concat_ws(":", "file_id", "tuple_no").alias("window"), F.lit(None).cast("long").alias("size"))
+    return open_.select("file_id", "tuple_no", F.col("wide").alias("window"), F.col("wide_size").cast("long").alias("size")).unionByName(ends)
+
+
 def near_repeats(found: DataFrame, kept: DataFrame) -> DataFrame:
     """longest_repeats, where no window stands more than HEAVY times: only places that share NEAR windows are put in order."""
     near = staged(_near(found, kept), "near")
@@ -319,11 +343,7 @@ def near_repeats(found: DataFrame, kept: DataFrame) -> DataFrame:
     open_ = near.where("wide is not null")
     if open_.isEmpty():
         return own
-    # longer repeats are repeats of windows NEAR as wide; a window of its own stands after each run of these
-    ends = open_.select("file_id", (F.col("tuple_no") + 1).alias("tuple_no")).join(open_.select("file_id", "tuple_no"), ["file_id", "tuple_no"], "left_anti")
-    ends = ends.select("file_id", "tuple_no", F.concat_ws(":", "file_id", "tuple_no").alias("window"), F.lit(None).cast("long").alias("size"))
-    wide = open_.select("file_id", "tuple_no", F.col("wide").alias("window"), F.col("wide_size").cast("long").alias("size")).unionByName(ends)
-    far = longest_repeats(wide, kept)
+    far = longest_repeats(_wide(open_), kept)
     far = staged(far.join(open_.select("file_id", "tuple_no", "wide_size"), ["file_id", "tuple_no"]).where("n_tuples > wide_size").drop("wide_size"), "far")
     settled = near.where("src_file is not null and wide is null").drop("wide", "wide_size")
     rest = open_.where("src_file is not null").drop("wide", "wide_size").join(far.select("file_id", "tuple_no"), ["file_id", "tuple_no"], "left_anti")
@@ -355,3 +375,131 @@ def chosen_segments(found: DataFrame, kept: DataFrame, pairs: int = PAIRS, fresh
     else:
         best = longest_repeats(found, kept)
     return chosen_repeats(best if fresh is None else best.join(fresh.select("file_id"), "file_id", "left_semi"))
+
+
+# ---------------------------------------------------------------- repeats that begin at a place
+
+
+def _near_starts(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """(file_id, tuple_no, src_file, src_tuple, n_windows, n_tuples, before, open, wide, wide_size): as _near, of repeats that
+    do not begin earlier: the source's window before, if any, is another one than the place's.
+
+    Of the places that share L windows, the earliest retained one (e) and the earliest with another window before it than
+    that one has (o) are enough: one of them is the answer for L. open: so it is for all NEAR windows, and perhaps more.
+    """
+    g = [f"g{k}" for k in range(NEAR)]
+    rows = _following(found, before=True).join(kept.select("file_id", F.lit(True).alias("kept")), "file_id", "left")
+    rows = rows.repartition("g0").sortWithinPartitions(*g)
+    rows = rows.withColumn("high", F.max("file_id").over(Window.partitionBy(*g)))
+    place = F.struct(F.col("file_id").alias("file"), F.col("tuple_no").alias("place"), "before")
+    for k in reversed(range(NEAR)):
+        group = Window.partitionBy(*g[: k + 1])
+        rows = rows.withColumn("e", F.min(F.when(F.col("kept"), place)).over(group))
+        rows = rows.withColumn("o", F.min(F.when(F.col("kept") & F.coalesce(F.col("before") != F.col("e.before"), F.lit(True)), place)).over(group))
+        taken = F.when(F.col("before") == F.col("e.before"), F.col("o")).otherwise(F.col("e"))
+        here = F.coalesce(F.col(f"g{k}").isNotNull() & (taken["file"] < F.col("file_id")), F.lit(False))
+        if k == NEAR - 1:
+            wide = F.col(g[k]).isNotNull() & (F.col("e.file") < F.col("high"))
+            rows = rows.withColumns({"wide": F.when(wide, F.to_json(F.array(*g))), "wide_size": F.when(wide, F.col(f"n{k}")), "open": here})
+            rows = rows.withColumn("s", F.lit(None).cast("struct<file:bigint,place:bigint,n:int,tuples:bigint>"))
+        found_here = F.struct(taken["file"].cast("long").alias("file"), taken["place"].cast("long").alias("place"), F.lit(k + 1).alias("n"), F.col(f"n{k}").cast("long").alias("tuples"))
+        rows = rows.withColumn("s", F.coalesce("s", F.when(here, found_here))).drop("e", "o")
+    rows = rows.where("s is not null or wide is not null")
+    return rows.select(
+        "file_id", "tuple_no", F.col("s.file").alias("src_file"), F.col("s.place").alias("src_tuple"), F.col("s.n").cast("long").alias("n_windows"),
+        F.col("s.tuples").alias("n_tuples"), F.when(F.col("wide").isNotNull(), F.col("before")).alias("before"), "open", "wide", "wide_size",
+    )
+
+
+def _least_two(place: np.ndarray, before: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row k holds of each 2^k neighbours the least place, the window before it, and the least place with another before it."""
+    rows = [(place, before, np.full(len(place), NOWHERE))]
+    while 2 << len(rows) - 1 <= len(place):
+        half = 1 << len(rows) - 1
+        rows.append(_either(tuple(c[:-half] for c in rows[-1]), tuple(c[half:] for c in rows[-1])))
+    return rows
+
+
+def _either(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    swap = b[0] < a[0]
+    (place, before, other), (place_b, before_b, other_b) = (tuple(np.where(swap, y, x) for x, y in zip(p, q)) for p, q in ((a, b), (b, a)))
+    return place, before, np.minimum(other, np.where(before_b != before, place_b, other_b))
+
+
+def _starts(cell: pd.DataFrame) -> pd.DataFrame:
+    """How many windows the longest repeat that begins at each open place has, and the earliest place that it repeats.
+
+    A cell holds whole groups of places that share a window; each place's length is found by halving.
+    """
+    cell = cell.sort_values("at")
+    shared, own, place = (cell[c].to_numpy(np.int64) for c in ("shared", "own", "place"))
+    n = len(cell)
+    before = pd.factorize(cell["before"])[0].astype(np.int64)
+    before = np.where(before < 0, -1 - np.arange(n), before)  # a file's first place is like no other
+    shared[0] = 0
+    ahead, mirrored, two = minima(shared), minima(shared[::-1].copy()), _least_two(place, before)
+    asked = np.flatnonzero(cell["open"].to_numpy(bool))
+
+    def earliest(at: np.ndarray, need: np.ndarray) -> np.ndarray:
+        last = next_below(ahead, at + 1, need) - 1
+        first = n - 1 - next_below(mirrored, n - 1 - at, need)
+        power = np.frexp((last - first + 1).astype(float))[1] - 1
+        out = np.full(len(at), NOWHERE)
+        for k in np.unique(power):
+            some = np.flatnonzero(power == k)
+            both = _either(tuple(c[first[some]] for c in two[k]), tuple(c[last[some] + 1 - (1 << k)] for c in two[k]))
+            out[some] = np.where(both[1] == before[at[some]], both[2], both[0])
+        return np.where(out < own[at], out, NOWHERE)
+
+    low, high = np.zeros(len(asked), np.int64), np.maximum(shared[asked], np.append(shared[1:], 0)[asked])
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        right = (earliest(asked, np.maximum(middle, 1)) < NOWHERE) & (middle > 0)
+        low, high = np.where(right, middle, low), np.where(right, high, middle - 1)
+    some = low > 0
+    asked, low = asked[some], low[some]
+    return pd.DataFrame({"file_id": cell["file_id"].to_numpy()[asked], "tuple_no": cell["tuple_no"].to_numpy()[asked], "k": low, "earliest": earliest(asked, low)})
+
+
+def _grouped(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of an order (at, shared, ...) with cell: whole groups of places that share a window with the one before them, of
+    those groups in which a place is wanted (at). A cell is CELL places and what the last group goes beyond them."""
+    rows = running_sums(rows.withColumn("first", (F.col("shared") == 0).cast("long")), "at", {"sum": F.col("first")})
+    rows = staged(rows.withColumn("group", F.col("sum") + F.col("first")).drop("sum", "first"), "groups")
+    groups = rows.join(wanted, "at", "left_semi").select("group").distinct().join(rows.groupBy("group").agg(F.min("at").alias("least")), "group")
+    return rows.join(groups, "group").withColumn("cell", F.floor(F.col("least") / CELL)).drop("least")
+
+
+def starting_repeats(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """(file_id, tuple_no, src_file, src_tuple, n_windows, n_tuples): at every place, of the repeats of earlier files of kept
+    that begin there, so that they do not go on before it, the one of most windows; of equals, that of the earliest file
+    and place.
+
+    This is dedup.best_segments(dedup.segment_matches(dedup.window_hits(...))), but nothing is paired, so work grows with
+    the places. found: windows (file_id, tuple_no, window, size); kept: file_id.
+    """
+    near = staged(_near_starts(found, kept), "starts")
+    names = ["file_id", "tuple_no", "src_file", "src_tuple", "n_windows", "n_tuples"]
+    own = near.where("src_file is not null").select(*names)
+    if near.where("open").isEmpty():
+        return own
+    open_ = near.where("wide is not null")
+    sources = staged(numbered(kept.select("file_id").distinct(), "file_id", "no"), "sources")
+    wide = staged(_wide(open_), "wide")
+    # sources before a file, so that places of earlier files are less than this; a row a file
+    files = open_.select("file_id", F.lit(0).alias("is")).unionByName(sources.select("file_id", F.lit(1).alias("is"))).groupBy("file_id").agg(F.max("is").alias("is"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file_id", (F.coalesce(F.sum("is").over(earlier), F.lit(0)) * (1 << TUPLE_BITS)).alias("own"))
+    rows = _placed(wide, sources).join(open_.select("file_id", "tuple_no", "before", "open"), ["file_id", "tuple_no"])
+    rows = staged(rows.join(F.broadcast(files), "file_id").drop("source"), "places")
+    rows = _grouped(rows, rows.where("open").select("at"))
+    made = rows.groupBy("cell").applyInPandas(_starts, "file_id long, tuple_no long, k long, earliest long")
+    made = made.withColumn("no", F.shiftright("earliest", TUPLE_BITS)).join(sources.select("no", F.col("file_id").alias("src_file")), "no")
+    sizes = open_.select("file_id", F.col("tuple_no").alias("last"), "wide_size")
+    made = made.withColumn("last", F.col("tuple_no") + F.col("k") - 1).join(sizes, ["file_id", "last"])
+    far = staged(made.select(
+        "file_id", "tuple_no", "src_file", F.col("earliest").bitwiseAND(F.lit((1 << TUPLE_BITS) - 1)).alias("src_tuple"),
+        (F.col("k") + NEAR - 1).alias("n_windows"), (F.col("wide_size") + F.col("k") - 1).cast("long").alias("n_tuples"),
+    ), "far")
+    rest = own.join(far.select("file_id", "tuple_no"), ["file_id", "tuple_no"], "left_anti")
+    return rest.unionByName(far)

@@ -76,3 +76,34 @@ def test_windows_and_grams_are_made_in_one_reading(spark):
     grams = repeats._grams(found, kept)
     assert dict(grams.dtypes)["gram"] == "array<bigint>"
     assert {k for r in grams.collect() for k in r.gram} == set(range(found.select("window").distinct().count()))
+
+
+def windows_and_sources(spark, rows, kept):
+    found = dedup.windows(spark.createDataFrame(rows, "file_id long, tuple_no long, sig string, kind string"))
+    return found, spark.createDataFrame([(f,) for f in kept], "file_id long")
+
+
+SMALL = [(1, {}), (2, {"NEAR": 2, "BLOCK": 4, "CELL": 5, "GRAM": 2}), (3, {"NEAR": 2, "BLOCK": 8, "CELL": 3, "GRAM": 3}), (4, {"NEAR": 3, "GRAM": 2})]
+
+
+@pytest.mark.parametrize("seed,small", SMALL)
+def test_repeats_that_begin_at_a_place(spark, monkeypatch, seed, small):
+    """The best run of equal windows at each place where one begins, without pairs of equal windows."""
+    for name, value in small.items():
+        monkeypatch.setattr(repeats, name, value)
+    found, kept = windows_and_sources(spark, streams(seed), (0, 1, 3, 4))
+    theirs = dedup.best_segments(dedup.segment_matches(dedup.window_hits(found, kept)))
+    names = theirs.columns
+    theirs = sorted(theirs.collect())
+    monkeypatch.setattr(dedup, "window_hits", None)
+    assert sorted(repeats.starting_repeats(found, kept).select(*names).collect()) == theirs
+    assert max(r.n_windows for r in theirs) > 8
+
+
+def test_repeats_of_equal_literals_are_not_paired(spark):
+    n = 3000
+    rows = [(f, i, "a", "LIT") for f in range(2) for i in range(n)]
+    found, kept = windows_and_sources(spark, rows, (0,))
+    # a run begins at a file's first place, or where the source's file begins
+    best = repeats.starting_repeats(found, kept)
+    assert best.count() == n - 10 and best.where("tuple_no = 0").collect()[0].n_windows == n - 10
