@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -503,3 +505,153 @@ def starting_repeats(found: DataFrame, kept: DataFrame) -> DataFrame:
     ), "far")
     rest = own.join(far.select("file_id", "tuple_no"), ["file_id", "tuple_no"], "left_anti")
     return rest.unionByName(far)
+
+
+# ---------------------------------------------------------------- totals of pairs of files
+
+
+def _summed(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(unique), np.int64)
+    np.add.at(total, at, np.concatenate(sums))
+    return [unique], [total]
+
+
+class _PairSums:
+    """Of groups of places, told one after another by their files, sums over pairs of files of the product of their places."""
+
+    def __init__(self, files: int) -> None:
+        self.files, self.open, self.keys, self.sums = files, None, [], []
+
+    def add(self, group: np.ndarray, file: np.ndarray, goes_on: bool) -> None:
+        """Places in the order of their groups (from 0); group 0 goes on from the last call's last group, if so told."""
+        if not goes_on:
+            self.close()
+        if not len(group):
+            return
+        entries, n = np.unique(group * (2 * self.files) + file, return_counts=True)
+        if self.open is not None:
+            (entries,), (n,) = _summed([self.open[0], entries], [self.open[1], n])
+        last = np.searchsorted(entries, int(group[-1]) * 2 * self.files)
+        self._pairs(entries[:last], n[:last])
+        self.open = entries[last:] % (2 * self.files), n[last:]
+
+    def close(self) -> None:
+        if self.open is not None:
+            self._pairs(*self.open)
+        self.open = None
+
+    def _pairs(self, entries: np.ndarray, n: np.ndarray) -> None:
+        # a file is told by its number twice, and one more if repeats may come from it
+        group, file = entries // (2 * self.files), entries % (2 * self.files)
+        begin = np.searchsorted(group, group)
+        ends = np.cumsum(np.arange(len(group)) - begin)
+        at = 0
+        while at < len(group):  # the pairs of as many entries as make some million
+            had = ends[at - 1] if at else 0
+            to = max(int(np.searchsorted(ends, had + (1 << 20), "right")), at + 1)
+            count = np.arange(at, to) - begin[at:to]
+            a = np.repeat(np.arange(at, to), count)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[at:to], count)
+            kept = file[b] % 2 == 1
+            a, b, at = a[kept], b[kept], to
+            self.keys.append((file[a] // 2) * self.files + file[b] // 2)
+            self.sums.append(n[a].astype(np.int64) * n[b])
+            if sum(map(len, self.keys)) > 1 << 21:
+                self.keys, self.sums = _summed(self.keys, self.sums)
+
+
+def _near_pairs(files: int):
+    """Sorted places (file, tuple_no, g0, g1, ...) become sums (level, key, n) of pairs of files that share the windows g0 to
+    g<level>, and the places (level null, file, tuple_no, key) that share all of them with another, by a number of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, before, wide, group, held = [_PairSums(files) for _ in range(NEAR)], None, None, TaskContext.get().partitionId() << 33, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            file, tuple_no = (batch.column(k).to_numpy().astype(np.int64) for k in range(2))
+            new = np.zeros(batch.num_rows, bool)
+            for k in range(NEAR):
+                column = batch.column(2 + k)
+                first = pa.array([before[k] if before else None], column.type)
+                moved = pa.concat_arrays([first, column.slice(0, len(column) - 1)])
+                new = new | pc.fill_null(pc.not_equal(column, moved), True).to_numpy(zero_copy_only=False)
+                full = column.is_valid().to_numpy(zero_copy_only=False)
+                # places without that many windows are none of a group's: each is new, and passed over
+                number = np.cumsum(new)
+                number = number[full]
+                # the first place that counts goes on with the open group only if nothing new lies before it
+                goes_on = not len(number) or number[0] == 0
+                sums[k].add(number - (number[0] if len(number) else 0), file[full], goes_on)
+            before = [batch.column(2 + k)[batch.num_rows - 1].as_py() for k in range(NEAR)]
+            # of places that share all windows with the one before or after; the batch's last place waits for the next one
+            number = group + np.cumsum(new)
+            group = int(number[-1])
+            if held is not None:
+                file, tuple_no, number, new, full = (np.append(h, c) for h, c in zip(held, (file, tuple_no, number, new, full)))
+            same = ~new & full
+            shared = (same | np.append(same[1:], False)) & full
+            held = tuple(c[-1:] for c in (file, tuple_no, number, new, full))
+            yield _pair_batch(None, *(c[:-1][shared[:-1]] for c in (number, file, tuple_no)))
+        if held is not None and (~held[3] & held[4])[0]:
+            yield _pair_batch(None, held[2], held[0], held[1])
+        for k in range(NEAR):
+            sums[k].close()
+            if sums[k].keys:
+                (keys,), (n,) = _summed(sums[k].keys, sums[k].sums)
+                yield _pair_batch(k, keys, np.zeros_like(keys), n)
+
+    return run
+
+
+def _pair_batch(level: int | None, key: np.ndarray, file: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([level] * len(key), pa.int32()), *(pa.array(c, pa.int64()) for c in (key, file, n))]
+    return pa.RecordBatch.from_arrays(columns, names=["level", "key", "file", "n"])
+
+
+def _lengths(cell: pd.DataFrame) -> pd.DataFrame:
+    """The most windows that two files share at places of a cell: of a file's places, the last one in the order counts."""
+    cell = cell.sort_values("at")
+    since, most = {}, {}
+    for file, shared, kept in zip(cell["file_id"].tolist(), cell["shared"].tolist(), (cell["source"] != NOWHERE).tolist()):
+        if not shared:
+            since.clear()
+        for other, (least, source) in since.items():
+            least = min(least, shared)
+            since[other] = least, source
+            if file != other and (kept if file < other else source):
+                pair = (max(file, other), min(file, other))
+                if least > most.get(pair, 0):
+                    most[pair] = least
+        since[file] = 1 << 62, kept
+    return pd.DataFrame([(*pair, k) for pair, k in most.items()], columns=["file_id", "src_file", "k"]).astype("int64")
+
+
+def pair_totals(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """(file_id, src_file, segments, windows, longest) of files that share windows with earlier files of kept: runs of equal
+    windows, equal windows, and the windows of the longest run.
+
+    That is what dedup.segment_matches(dedup.window_hits(...)) gives by pair of files, but nothing is paired: windows are
+    counted by file, and a run ends wherever two windows are equal and the next two are not.
+    """
+    sources = staged(numbered(kept.select("file_id").distinct(), "file_id", "no"), "sources")
+    files = staged(numbered(found.select("file_id").distinct(), "file_id", "f").join(sources.select("file_id", F.lit(1).alias("kept")), "file_id", "left"), "files")
+    names = [f"g{k}" for k in range(NEAR)]
+    rows = _following(found).join(files.select("file_id", (F.col("f") * 2 + F.coalesce("kept", F.lit(0))).alias("file")), "file_id")
+    rows = rows.select("file", "tuple_no", *names).repartition("g0").sortWithinPartitions(*names)
+    count = files.count()
+    made = staged(rows.mapInArrow(_near_pairs(count), "level int, key long, file long, n long"), "pairs")
+    number = files.select(F.col("f"), "file_id")
+    sums = made.where("level is not null").groupBy("level", "key").agg(F.sum("n").alias("n")).withColumns({"f": F.floor(F.col("key") / count), "g": F.col("key") % count})
+    sums = sums.join(number, "f").join(number.select(F.col("f").alias("g"), F.col("file_id").alias("src_file")), "g").select("file_id", "src_file", F.col("level").cast("long").alias("level"), "n")
+    wide = made.where("level is null").select(F.floor(F.col("file") / 2).alias("f"), F.col("n").alias("tuple_no"), F.col("key").cast("string").alias("wide"), F.lit(None).cast("long").alias("wide_size"))
+    if not wide.isEmpty():
+        wide = wide.join(number, "f").drop("f")
+        order = staged(_placed(staged(_wide(wide), "wide"), sources), "places")
+        far = _grouped(order, order.select("at")).select("cell", "at", "file_id", "shared", "source")
+        far = far.groupBy("cell").applyInPandas(_lengths, "file_id long, src_file long, k long")
+        sums = sums.unionByName(far.select("file_id", "src_file", (F.col("k") + NEAR - 2).alias("level"), F.lit(0).cast("long").alias("n")))
+    windows = F.sum(F.when(F.col("level") == 0, F.col("n")).otherwise(0))
+    segments = windows - F.sum(F.when(F.col("level") == 1, F.col("n")).otherwise(0))
+    return sums.groupBy("file_id", "src_file").agg(segments.alias("segments"), windows.alias("windows"), (F.max("level") + 1).alias("longest"))

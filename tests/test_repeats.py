@@ -100,6 +100,25 @@ def test_repeats_that_begin_at_a_place(spark, monkeypatch, seed, small):
     assert max(r.n_windows for r in theirs) > 8
 
 
+@pytest.mark.parametrize("seed,small", SMALL)
+def test_totals_of_pairs(spark, monkeypatch, seed, small):
+    """Runs of equal windows of pairs of files: how many, of how many windows, and the longest, without pairs of windows."""
+    for name, value in small.items():
+        monkeypatch.setattr(repeats, name, value)
+    found, kept = windows_and_sources(spark, streams(seed), (0, 1, 3, 4))
+    theirs = {}
+    for r in dedup.segment_matches(dedup.window_hits(found, kept)).collect():
+        n, windows, longest = theirs.get((r.file_id, r.src_file), (0, 0, 0))
+        theirs[r.file_id, r.src_file] = n + 1, windows + r.n_windows, max(longest, r.n_windows)
+    monkeypatch.setattr(dedup, "window_hits", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        ours = repeats.pair_totals(found, kept).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.file_id, r.src_file): (r.segments, r.windows, r.longest) for r in ours} == theirs and len(ours) == len(theirs)
+
+
 def test_repeats_of_equal_literals_are_not_paired(spark):
     n = 3000
     rows = [(f, i, "a", "LIT") for f in range(2) for i in range(n)]
@@ -107,3 +126,5 @@ def test_repeats_of_equal_literals_are_not_paired(spark):
     # a run begins at a file's first place, or where the source's file begins
     best = repeats.starting_repeats(found, kept)
     assert best.count() == n - 10 and best.where("tuple_no = 0").collect()[0].n_windows == n - 10
+    (total,) = repeats.pair_totals(found, kept).collect()
+    assert (total.segments, total.windows, total.longest) == (2 * (n - 10) - 1, (n - 10) ** 2, n - 10)
